@@ -8,10 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, packing, quality, topk, warc
+from . import ann, bpe, chat, packing, quality, secrets, topk, warc
 from .common import scratch_path, table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scanned = secrets.scan_secrets(docs, secrets.train_scanner(docs), ["doc_id"])
+    spans = F.col("secret_spans")
+    of = lambda *kinds: F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    written = lambda found: F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return scanned.select("doc_id", *counts, F.sha2(written(of("assign", "access", "hex")), 256).alias("base_sha256"), written(spans).alias("spans"), F.size(of("network")).cast("long").alias("n_network"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
@@ -49,6 +59,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "digest_ok")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_format, op3_bpe, op4_exact_top_k, op5_packing, op6_quality, op8_neighbours, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_chat_format, op3_bpe, op4_exact_top_k, op5_packing, op6_quality, op8_neighbours, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
