@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, packing, quality, secrets, topk, warc
+from . import ann, bpe, chat, neardup, packing, quality, secrets, topk, warc
 from .common import scratch_path, table
 
 
@@ -49,6 +49,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDupConfig(words=2, percent=80))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -59,6 +63,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "digest_ok")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_chat_format, op3_bpe, op4_exact_top_k, op5_packing, op6_quality, op8_neighbours, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_chat_format, op3_bpe, op4_exact_top_k, op5_packing, op6_quality, op7_near_duplicates, op8_neighbours, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {}
