@@ -38,7 +38,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df; for a file scan the bytes of its files. It reads no data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
@@ -66,3 +66,12 @@ class Memo:
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps: it does so when the driver has collected its
+    garbage, which a driver with little to do may put off for long."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
