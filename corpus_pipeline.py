@@ -1,13 +1,71 @@
-"""The corpus pipeline: STAGES in order, each on what the one before it kept."""
+"""The corpus pipeline: STAGES in order, each on all that the one before it kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from sheaf.llm import neardup, packing, quality, secrets, suffix
+from sheaf.llm.common import release, scratch_path, table
 
+#: What stands in a text for each secret.
+REDACTED = "[SECRET]"
+#: Documents with a lower quality score go.
+LEAST_QUALITY = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is LEAST_QUALITY or more, as they are."""
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model, docs.columns, score_col="__score")
+    return scored.where(F.col("__score") >= LEAST_QUALITY).drop("__score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group, by shingles of five words and a similarity of 0.8. Documents
+    without an id, or without words, stay; rows that repeat an id stay or go together."""
+    groups = neardup.near_duplicates(docs, neardup.NearDupConfig(words=5, percent=80))
+    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings of 50 bytes or more that documents with smaller ids have. n_chars follows."""
+    clean = suffix.without_repeats(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with REDACTED in place of each secret. n_chars follows."""
+    scanned = secrets.scan_secrets(docs, secrets.train_scanner(docs), docs.columns, replacement=REDACTED)
+    clean = scanned.withColumn("text", F.col("redacted").cast(docs.schema["text"].dataType)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_array", drop_repeats),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+#: SQL can express none of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, each but the last written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        release(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -200,14 +200,15 @@ def score_quality(docs: DataFrame, model: ByteConvolution | None, columns: list[
     """The given columns and a score from 0 to 1 for each row's whole text. A null text counts as empty; an empty text
     has the score of padding alone. Without a model every score is 0.5."""
 
+    n, at_text = len(columns), columns.index(text_col) if text_col in columns else len(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [(x or "").encode() for x in part.column(part.num_columns - 1).to_pylist()]
+                texts = [(x or "").encode() for x in part.column(at_text).to_pylist()]
                 scores = model.scores(texts) if model else np.full(len(texts), 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], [*columns, score_col])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(scores, pa.float64())], [*columns, score_col])
 
-    source = docs.select(*columns, F.col(text_col).cast("string").alias("__scored_text"))
-    schema = source.drop("__scored_text").schema.add(score_col, "double")
-    return source.mapInArrow(run, schema)
+    source = docs.select(*columns, *[text_col] * (at_text == n))
+    return source.mapInArrow(run, docs.select(*columns).schema.add(score_col, "double"))

@@ -242,6 +242,7 @@ def scan_secrets(docs: DataFrame, model: CharacterConvolution | None, columns: l
     With a replacement, also redacted: the text with each union of overlapping spans replaced by it. Null texts count
     as empty and have no spans. Rows stay as they are, repeated ones too; no shuffle.
     """
+    n, at_text = len(columns), columns.index(text_col) if text_col in columns else len(columns)
     names = [*columns, "secret_spans"] + ["redacted"] * (replacement is not None)
 
     def redact(text: str, spans: list[Span]) -> str:
@@ -265,14 +266,14 @@ def scan_secrets(docs: DataFrame, model: CharacterConvolution | None, columns: l
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 spans, clean = [], []
-                for text in part.column(part.num_columns - 1).to_pylist():
+                for text in part.column(at_text).to_pylist():
                     found = all_spans(text or "", model)
                     spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
                     if replacement is not None:
                         clean.append(None if text is None else redact(text, found))
                 extra = [pa.array(clean, pa.string())] if replacement is not None else []
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(spans, SPANS), *extra], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(spans, SPANS), *extra], names)
 
-    source = docs.select(*columns, F.col(text_col).cast("string").alias("__scanned_text"))
-    schema = source.drop("__scanned_text").schema.add("secret_spans", SPAN_TYPE)
+    source = docs.select(*columns, *[text_col] * (at_text == n))
+    schema = docs.select(*columns).schema.add("secret_spans", SPAN_TYPE)
     return source.mapInArrow(run, schema.add("redacted", "string") if replacement is not None else schema)

@@ -131,8 +131,8 @@ def settle(a: np.ndarray, c: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tu
 
 def _by_document(doc: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     order = np.lexsort((key, doc))
-    first = runs(doc[order], key[order])
-    for start, end in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+    edges = [*runs(doc[order], key[order]).tolist(), len(order)]
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
         yield int(doc[order[start]]), int(key[order[start]]), order[start:end]
 
 
@@ -455,8 +455,9 @@ def removed_spans(length: int, places: list[bytes], ranges: list[bytes], config:
     return np.stack([low[new], high[np.r_[new[1:], len(high)] - 1]], 1)
 
 
-def repeated_substrings(docs: DataFrame, config: SuffixConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, places, ranges) of each row: what removed_spans needs to tell which bytes are repeats.
+def repeated_substrings(docs: DataFrame, config: SuffixConfig | None = None, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None) -> DataFrame:
+    """(id, text, places, ranges [, others]) of each row: what removed_spans needs to tell which bytes are repeats. The
+    named other columns come back as a struct.
 
     A byte is a repeat if a string of `least` bytes covers it that also starts in a row with a smaller id; strings are
     those of the whole input, within rows. Null texts count as empty. Rows without an id come after all others, and
@@ -465,6 +466,8 @@ def repeated_substrings(docs: DataFrame, config: SuffixConfig | None = None, id_
     config = config or SuffixConfig()
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if others is not None:
+        base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("others"))
     base = base.withColumns({"k": F.coalesce("id", F.lit(LAST)), "h": F.xxhash64("text")})
     partitions = partitions_for(docs, config.partition_bytes)
     parts = min(1 << 15, 4 << (partitions - 1).bit_length())
@@ -481,7 +484,7 @@ def repeated_substrings(docs: DataFrame, config: SuffixConfig | None = None, id_
 
     every = found.select("k", "h", "places", F.lit(None).cast("binary").alias("ranges")).where("places is not null").unionByName(ranges.select("k", "h", F.lit(None).cast("binary").alias("places"), "ranges"))
     marks = every.groupBy("k", "h").agg(F.collect_list("places").alias("places"), F.collect_list("ranges").alias("ranges"))
-    return base.join(marks, ["k", "h"], "left").select("id", "text", "places", "ranges")
+    return base.join(marks, ["k", "h"], "left").select("id", "text", "places", "ranges", *["others"] * (others is not None))
 
 
 def remove_repeats(docs: DataFrame, config: SuffixConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -525,3 +528,26 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> str:
         out.append(data[at:low])
         at = high
     return b"".join([*out, data[at:]]).decode()
+
+
+def without_repeats(docs: DataFrame, config: SuffixConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, their texts without the repeated bytes; of characters that are only in part repeats, all bytes stay."""
+    config = config or SuffixConfig()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = []
+                for text, places, ranges in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if text is not None and (places or ranges):
+                        data = text.encode()
+                        text = whole_characters(data, removed_spans(len(data), places or [], ranges or [], config).tolist())
+                    texts.append(text)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(3)], ["text", "others"])
+
+    others = [c for c in docs.columns if c != text_col]
+    found = repeated_substrings(docs, config, id_col, text_col, others).select("text", "places", "ranges", "others")
+    schema = found.select("text", "others").schema
+    clean = found.mapInArrow(run, schema)
+    return clean.select(*(F.col("text").cast(docs.schema[text_col].dataType).alias(text_col) if c == text_col else F.col("others").getField(c).alias(c) for c in docs.columns))
