@@ -13,6 +13,8 @@ import base64
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,23 @@ from .common import Memo
 #: The characters that \s stands for in the tokenizers' pattern.
 WHITE = "\\t\\n\\x0B\\x0C\\r\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
-#: A space followed by white space or nothing. Texts without one can be cut before every space, as no match of the
-#: pattern holds a space behind another character and no run of white space then holds two spaces.
-IRREGULAR = re.compile(f" (?:[{WHITE}]|\\Z)")
+#: White space followed by white space or by nothing.
+IRREGULAR = re.compile(f"[{WHITE}](?:[{WHITE}]|\\Z)")
+
+
+def words_of(text: str) -> list[str] | None:
+    """A text cut before every space and every line feed, or None if it has white space next to white space or at its
+    end. No match of the pattern holds a space or a line feed behind another character then, so the words' ids are the
+    text's. The first word is written as it is, others without their space or with their line feed."""
+    if IRREGULAR.search(text):
+        return None
+    first, *lines = text.split("\n")
+    words = first.split(" ")
+    for line in lines:
+        head, *rest = line.split(" ")
+        words.append("\n" + head)
+        words += rest
+    return words
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,13 +56,21 @@ def compile_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]"))
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class TreeEncoder:
     """Encodes and decodes with the given ranks; pattern cuts a text into pieces that are encoded one by one."""
 
     #: Windows up to so many bytes are merged by scanning, longer ones with a heap.
     SCANNED = 48
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000):
         self.ranks, self.pattern = ranks, compile_pattern(pattern)
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -154,25 +178,29 @@ class TreeEncoder:
         out: list[int] = []
         for match in self.pattern.finditer(text):
             out += self.piece(match.group().encode())
-        return np.array(out, "<u4").tobytes()
+        return packed(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if IRREGULAR.search(text):
+        words = words_of(text)
+        if words is None:
             return self._ids(text)
-        first, *words = text.split(" ")
-        young, out = self.chunks.young.get, [self._ids(first)]
-        for word in words:
-            ids = young(word)
-            if ids is None:
+        found = [self._ids(words[0])]
+        del words[0]
+        found += map(self.chunks.young.get, words)
+        at = 0
+        try:
+            while True:
+                at = found.index(None, at)
+                word = words[at - 1]
                 ids = self.chunks.get(word)
                 if ids is None:
-                    ids = self._ids(" " + word)
+                    ids = self._ids(word if word[:1] == "\n" else " " + word)
                     if len(word) < 64:
                         self.chunks.put(word, ids)
-                young = self.chunks.young.get
-            out.append(ids)
-        return b"".join(out)
+                found[at] = ids
+        except ValueError:  # no word is left
+            return b"".join(found)
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenates up the tree."""

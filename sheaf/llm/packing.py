@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import IRREGULAR
+from .bpe import packed, words_of
 from .common import Memo
 
 
@@ -69,10 +69,10 @@ def pack(lengths: np.ndarray, config: PackConfig) -> np.ndarray:
 
 
 class ChunkTokenizer:
-    """A tokenizer file's ids of whole texts. Texts are cut before each single space, where the byte-level pattern
-    always cuts, and each distinct word is encoded once by the tokenizer; other texts are encoded as they are."""
+    """A tokenizer file's ids of whole texts. Texts are cut where the byte-level pattern always cuts, and each distinct
+    word is encoded by the tokenizer once, as long as it is remembered; irregular texts are encoded as they are."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,34 +81,44 @@ class ChunkTokenizer:
         self.memo = Memo(memo)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | None] = []
+        memo, found, cut = self.memo, [], []
+        missing: dict[str, bytes | None] = {}
         for text in texts:
-            odd = IRREGULAR.search(text) or any(x in text for x in self.special)
-            cut.append(None if odd else text.split(" "))
-        young, old = self.memo.young, self.memo.old
-        unseen: set[str] = set()
-        for words in cut:
+            words = None if any(x in text for x in self.special) else words_of(text)
+            cut.append(words)
+            got = list(map(memo.young.get, words)) if words else []
             if words:
-                unseen.update(w for w in words[1:] if w not in young)
-        known = {w: old[w] for w in unseen if w in old}
-        ask = [w for w in unseen if w not in known]
-        whole = [text if words is None else words[0] for text, words in zip(texts, cut, strict=True)]
-        got = self._encode([*whole, *(" " + w for w in ask)])
-        known.update(zip(ask, got[len(whole) :], strict=True))
-        out = []
-        for words, first in zip(cut, got, strict=False):
-            if words is None:
-                out.append(first)
-            else:
-                out.append(first + b"".join([young[w] if w in young else known[w] for w in words[1:]]))
-        for word, ids in known.items():
+                got[0], at = b"", 0
+                try:
+                    while True:
+                        at = got.index(None, at)
+                        missing[words[at]] = None
+                        at += 1
+                except ValueError:  # no word is left
+                    pass
+            found.append(got)
+        for word in missing:
+            missing[word] = memo.old.get(word)
+        ask = [word for word, ids in missing.items() if ids is None]
+        whole = [words[0] if words else text for text, words in zip(texts, cut, strict=True)]
+        answers = self._encode([*whole, *(word if word[:1] == "\n" else " " + word for word in ask)])
+        missing.update(zip(ask, answers[len(whole) :], strict=True))
+        for words, got in zip(cut, found, strict=True):
+            at = 0
+            try:
+                while True:
+                    at = got.index(None, at)
+                    got[at] = missing[words[at]]
+            except ValueError:
+                pass
+        for word, ids in missing.items():
             if len(word) < 64:
-                self.memo.put(word, ids)
-        return out
+                memo.put(word, ids)
+        return [first + b"".join(got) for first, got in zip(answers, found, strict=False)]
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
