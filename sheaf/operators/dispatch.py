@@ -108,14 +108,21 @@ def convert_sources(sources: DataFrame, registry: Registry, keep_data_uris: bool
         none = lambda: F.lit(None).cast("string")
         return sources.select("source_id", none().alias("converter"), F.lit("unsupported").alias("status"), none().alias("markdown"), none().alias("title"), F.lit("unsupported format").alias("error"), F.array().cast(ATTEMPTS).alias("attempts"))
     tests = candidates([(n, p, a) for n, p, a, _ in entries], F.col("extension"), F.col("mime_type"), F.col("content"))
-    offered = sources.withColumn("candidates", tests)
+    # kept on disk: hints and candidates are long expressions, which every later filter would repeat
+    offered = sources.withColumn("candidates", tests).persist(StorageLevel.DISK_ONLY)
+    sources = offered.drop("candidates")
 
     def tried(rows: DataFrame) -> DataFrame:
         """Converts rows with a column `converter`."""
         out = None
+        # which converters are asked for at all: at most as many names as there are converters
+        asked = {r[0] for r in rows.select("converter").where(F.col("converter").isNotNull()).distinct().collect()}
         for name, _, _, convert in entries:
-            part = convert(rows.where(F.col("converter") == name)).select("source_id", F.lit(name).alias("converter"), "markdown", "title", "error")
-            out = part if out is None else out.unionByName(part)
+            if name in asked:
+                part = convert(rows.where(F.col("converter") == name)).select("source_id", F.lit(name).alias("converter"), "markdown", "title", "error")
+                out = part if out is None else out.unionByName(part)
+        if out is None:
+            out = rows.where("false").select("source_id", "converter", *(F.lit(None).cast("string").alias(c) for c in ("markdown", "title", "error")))
         return out.persist(StorageLevel.DISK_ONLY)
 
     state = offered.select("source_id", "candidates", F.array().cast(ATTEMPTS).alias("attempts"))

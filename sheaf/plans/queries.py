@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -367,3 +370,24 @@ def q30_decode_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
     latin = F.regexp_replace("text", r"[^\x{20}-\x{7E}\x{A0}-\x{FF}]", "?")
     label = F.get(F.array(*map(F.lit, ("windows-1252", "latin1", " ISO-8859-1 "))), (F.col("doc_id") % 3).cast("int"))
     return read(spark, sf_dir, "documents").select("doc_id", decode_text(F.encode(latin, "ISO-8859-1"), label).alias("decoded"))
+
+
+def _workbook(rows: pd.DataFrame) -> pd.DataFrame:
+    """An .xlsx package of one region's nations."""
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+    lines = [("key", "name"), *((int(k), n) for k, n in sorted(zip(rows["n_nationkey"], rows["n_name"], strict=True)))]
+    sheet = "".join("<row>" + "".join(map(cell, line)) + "</row>" for line in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {space} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{rows["r_name"].iloc[0]}" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{sheet}</sheetData></worksheet>")
+    return pd.DataFrame({"source_id": [int(rows["r_regionkey"].iloc[0])], "content": [out.getvalue()]})
+
+
+@query(f"""SELECT r_regionkey::BIGINT AS source_id, '## ' || r_name || chr(10) || chr(10) || {sql_table('', "'| ' || n_nationkey || ' | ' || n_name || ' |'", 'key | name', 'n_nationkey', 2)} AS markdown FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""")
+def q31_binary_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    files = nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy("r_regionkey").applyInPandas(_workbook, "source_id long, content binary")
+    return office.convert_xlsx(files).select("source_id", "markdown")
