@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,13 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(least, min(200_000, -(-estimate // bytes_each)) if estimate < 1 << 60 else least)
 
 
+def sampled(df: DataFrame, key: Column, rows: int, of: int) -> DataFrame:
+    """At most `rows` rows of df, those with the smallest hashes; of: about how many rows there are. A threshold on the
+    hash comes first, so that all tasks together send about twice the sample, however many tasks there are."""
+    share = min(1.0, (2 * rows + 100) / max(of, 1))
+    return df.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(key, F.lit(1 << 30)), *df.columns).limit(rows)
+
+
 class Memo:
     """A dictionary of at most 2 x size entries: when full, the young half becomes the old one, which is then let go."""
 
@@ -71,7 +81,7 @@ class Memo:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished steps: it does so when the driver has collected its
     garbage, which a driver with little to do may put off for long."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -129,11 +129,16 @@ def settle(a: np.ndarray, c: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tu
     return order, doc[order] > np.repeat(doc[order][first], np.diff(np.r_[first, len(order)]))
 
 
-def _by_document(doc: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+def document_runs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by document, and the edges of each one's run in it."""
     order = np.lexsort((key, doc))
-    edges = [*runs(doc[order], key[order]).tolist(), len(order)]
-    for start, end in zip(edges[:-1], edges[1:], strict=True):
-        yield int(doc[order[start]]), int(key[order[start]]), order[start:end]
+    return order, np.r_[runs(doc[order], key[order]), len(order)]
+
+
+def binaries(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of data[edges[i]:edges[i + 1]] for each i, without a loop."""
+    offsets = (edges * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
 MESSAGES = "part int, k long, h long, payload binary"
@@ -145,11 +150,12 @@ def _find_anchors(config: SuffixConfig, parts: int):
     shift = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "k", "h", "payload"]
         held: list[tuple] = []
         docs: list[tuple[int, int]] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
             table = np.array(docs, np.int64).reshape(-1, 2)
             number, place, a, c = (np.concatenate([h[i] for h in held]) for i in range(4))
@@ -160,13 +166,16 @@ def _find_anchors(config: SuffixConfig, parts: int):
             many = np.flatnonzero(np.repeat(count > 1, count))
             keep = np.ones(len(a), bool)
             rows: list[tuple] = []
+            early = None
             if len(many):
                 docs_of, keys_of = table[number[many], 0], table[number[many], 1]
                 inner, repeats = settle(a[many], c[many], docs_of, keys_of)
                 found = many[inner[repeats]]
                 keep[found] = False
-                for k, h, at in _by_document(table[number[found], 0], table[number[found], 1]):
-                    rows.append((-1 - (h & 0xFFFF), k, h, place[found[at]].astype("<u4").tobytes()))
+                inner, edges = document_runs(table[number[found], 0], table[number[found], 1])
+                found = found[inner]
+                heads = table[number[found[edges[:-1]]]]
+                early = pa.RecordBatch.from_arrays([pa.array((-1 - (heads[:, 1] & 0xFFFF)).astype(np.int32)), pa.array(heads[:, 0]), pa.array(heads[:, 1]), binaries(place[found].astype("<u4"), edges)], names)
             number, place, a, c = number[keep], place[keep], a[keep], c[keep]
             part = (a >> shift).astype(np.int64) if shift is not None else np.zeros(len(a), np.int64)
             first = runs(part)
@@ -177,7 +186,9 @@ def _find_anchors(config: SuffixConfig, parts: int):
                 rows.append((int(part[start]), len(used), 0, table[used].tobytes() + made.tobytes()))
             held.clear(), docs.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "k", "h", "payload"])
+            if early:
+                yield early
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
         for batch in batches:
             ks, hs, texts = (batch.column(i) for i in range(3))
@@ -197,111 +208,145 @@ def _find_anchors(config: SuffixConfig, parts: int):
                     docs += own
                     size += len(a)
                 if docs and (size > 1_500_000 or len(docs) >= 60_000):
-                    yield flush()
+                    yield from flush()
         if docs and size:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-FOUND = "k long, h long, places binary, asked binary"
+FOUND = "k long, h long, places binary, asked binary, asked_places binary"
+
+#: A context that is asked for: its anchor's hash and the number of its places.
+ASKED = np.dtype([("a", "<u8"), ("n", "<u4")])
 
 
 def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition's anchors: (k, h, places of repeats, anchors whose contexts are needed). What is needed is a run of
-    (hash, number of places, places): a context once, with all its places in its smallest document."""
+    """One partition's anchors: (k, h, places of repeats, contexts that are asked for and their places). A context is
+    asked for once, with all its places in its smallest document."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
     tables, pieces, base = [], [], 0
-    found: list[tuple] = []
+
+    def rows(k: np.ndarray, h: np.ndarray, places: pa.Array | None, asked: pa.Array | None, asked_places: pa.Array | None) -> Iterator[pa.RecordBatch]:
+        none = pa.nulls(len(k), pa.binary())
+        whole = pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), *(none if x is None else x for x in (places, asked, asked_places))], names)
+        for at in range(0, len(k), 20_000):
+            yield whole.slice(at, 20_000)
+
     for batch in batches:
-        for part, n, h, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if part < 0:
-                found.append((n, h, payload, None))
-                continue
+        part = batch.column(0).to_numpy()
+        early = pa.array(part < 0)
+        if (part < 0).any():
+            own = batch.filter(early)
+            yield from rows(own.column(1).to_numpy(), own.column(2).to_numpy(), own.column(3), None, None)
+        for n, payload in zip(*(batch.filter(pa.array(part >= 0)).column(i).to_pylist() for i in (1, 3)), strict=True):
             tables.append(np.frombuffer(payload, "<i8", 2 * n).reshape(n, 2))
             made = np.frombuffer(payload, ANCHOR, offset=16 * n)
             pieces.append((made["a"], made["c"], made["doc"].astype(np.int64) + base, made["place"]))
             base += n
-    if pieces:
-        table = np.concatenate(tables)
-        a, c, number, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
-        del pieces
-        order = np.argsort(a)
-        first = runs(a[order])
-        count = np.diff(np.r_[first, len(a)])
-        many = order[np.repeat(count > 1, count)]
-        a, c, number, place = a[many], c[many], number[many], place[many]
-        doc, key = table[number, 0], table[number, 1]
-        order, repeats = settle(a, c, doc, key)
-        a, c, doc, key, place = a[order], c[order], doc[order], key[order], place[order]
-        for k, h, at in _by_document(doc[repeats], key[repeats]):
-            found.append((k, h, place[repeats][at].astype("<u4").tobytes(), None))
-        keep = ~repeats
-        a, c, doc, key, place = a[keep], c[keep], doc[keep], key[keep], place[keep]
-        first = runs(a)
-        length = np.diff(np.r_[first, len(a)])
-        # a context needs looking at if its anchor has another one, and one of another document
-        kinds = np.zeros(len(first), bool)
-        if len(a):
-            kinds = (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)) & (np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first))
-        some = np.repeat(kinds, length)
-        a, c, doc, key, place = a[some], c[some], doc[some], key[some], place[some]
-        asked = runs(a, c, doc, key)
-        number = np.diff(np.r_[asked, len(a)])
-        for k, h, at in _by_document(doc[asked], key[asked]):
-            words = []
-            for i in at.tolist():
-                words += [np.array([a[asked[i]]], "<u8").tobytes(), np.array([number[i]], "<u4").tobytes(), place[asked[i] : asked[i] + number[i]].astype("<u4").tobytes()]
-            found.append((k, h, None, b"".join(words)))
-    for at in range(0, len(found), 20_000):
-        columns = zip(*found[at : at + 20_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["k", "h", "places", "asked"])
+    if not pieces:
+        return
+    table = np.concatenate(tables)
+    a, c, number, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    del pieces
+    order = np.argsort(a)
+    first = runs(a[order])
+    count = np.diff(np.r_[first, len(a)])
+    many = order[np.repeat(count > 1, count)]
+    a, c, number, place = a[many], c[many], number[many], place[many]
+    doc, key = table[number, 0], table[number, 1]
+    order, repeats = settle(a, c, doc, key)
+    a, c, doc, key, place = a[order], c[order], doc[order], key[order], place[order]
+    found = np.flatnonzero(repeats)
+    if len(found):
+        order, edges = document_runs(doc[found], key[found])
+        found = found[order]
+        heads = found[edges[:-1]]
+        yield from rows(doc[heads], key[heads], binaries(place[found].astype("<u4"), edges), None, None)
+    keep = ~repeats
+    a, c, doc, key, place = a[keep], c[keep], doc[keep], key[keep], place[keep]
+    if not len(a):
+        return
+    first = runs(a)
+    length = np.diff(np.r_[first, len(a)])
+    # a context needs looking at if its anchor has another one, and one of another document
+    kinds = (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)) & (np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first))
+    some = np.repeat(kinds, length)
+    a, c, doc, key, place = a[some], c[some], doc[some], key[some], place[some]
+    if not len(a):
+        return
+    asked = runs(a, c, doc, key)
+    number = np.diff(np.r_[asked, len(a)])
+    order, edges = document_runs(doc[asked], key[asked])
+    heads = np.empty(len(order), ASKED)
+    heads["a"], heads["n"] = a[asked[order]], number[order]
+    total = np.r_[0, np.cumsum(number[order])]
+    spread = np.repeat(asked[order], number[order]) + np.arange(total[-1]) - np.repeat(total[:-1], number[order])
+    lead = asked[order[edges[:-1]]]
+    yield from rows(doc[lead], key[lead], None, binaries(heads, edges), binaries(place[spread].astype("<u4"), total[edges]))
 
 
 def _context_type(config: SuffixConfig) -> np.dtype:
-    return np.dtype([("a", "<u8"), ("k", "<i8"), ("h", "<i8"), ("n", "<u4"), ("row", "<i2", (config.context,))])
+    return np.dtype([("a", "<u8"), ("k", "<i8"), ("h", "<i8"), ("n", "<u4"), ("left", "<u2"), ("right", "<u2"), ("row", "u1", (config.context,))])
+
+
+def _padded(made: np.ndarray) -> np.ndarray:
+    """The contexts' symbols, their pads restored."""
+    rows = made["row"].astype(np.int16)
+    column = np.arange(rows.shape[1])
+    rows[column < made["left"][:, None]] = PAD
+    rows[column >= rows.shape[1] - made["right"][:, None].astype(int)] = PAD
+    return rows
 
 
 def _fetch_contexts(config: SuffixConfig, parts: int):
-    """Reads (k, h, text, what is asked for); sends each context, padded at a document's ends, to its anchor's part."""
+    """Reads (k, h, text, asked, asked_places); sends each context, padded at a document's ends, to its anchor's part."""
     kind = _context_type(config)
-    shift = 64 - (parts - 1).bit_length() if parts > 1 else 64
+    shift = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else None
+    names = ["part", "k", "h", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal size
-            rows = [(part, len(made), 0, b"".join(made) + b"".join(places)) for part, (made, places) in waiting.items()]
+            made, places = (np.concatenate(x) for x in zip(*waiting, strict=True))
             waiting.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "k", "h", "payload"])
+            part = (made["a"] >> shift).astype(np.int64) if shift is not None else np.zeros(len(made), np.int64)
+            order = np.argsort(part, kind="stable")
+            n = made["n"].astype(np.int64)
+            start = (np.cumsum(n) - n)[order]
+            n = n[order]
+            total = np.r_[0, np.cumsum(n)]
+            spread = np.repeat(start - total[:-1], n) + np.arange(total[-1])
+            made, places = made[order], places[spread]
+            edges = [*runs(part[order]).tolist(), len(order)]
+            rows = [(int(part[order[low]]), high - low, 0, made[low:high].tobytes() + places[total[low] : total[high]].tobytes()) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
         for batch in batches:
             for i in range(batch.num_rows):
-                k, h, asked = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), b"".join(batch.column(3)[i].as_py())
-                text = batch.column(2)[i].as_py().encode()
-                row = np.full(len(text) + 2 * config.least, PAD, "<i2")
-                row[config.least : config.least + len(text)] = np.frombuffer(text, np.uint8)
-                head = np.frombuffer(np.array([k, h], "<i8").tobytes(), np.uint8).tobytes()
-                at = 0
-                while at < len(asked):
-                    n = int.from_bytes(asked[at + 8 : at + 12], "little")
-                    places = asked[at + 12 : at + 12 + 4 * n]
-                    start = int.from_bytes(places[:4], "little") + config.least - config.reach
-                    part = int.from_bytes(asked[at : at + 8], "little") >> shift
-                    made = asked[at : at + 8] + head + asked[at + 8 : at + 12] + row[start : start + config.context].tobytes()
-                    bucket = waiting.setdefault(part, ([], []))
-                    bucket[0].append(made)
-                    bucket[1].append(places)
-                    size += len(made) + len(places)
-                    at += 12 + 4 * n
-                if size > 16 << 20:
+                k, h, text, asked, places = (batch.column(c)[i].as_py() for c in range(5))
+                data = text.encode()
+                row = np.zeros(len(data) + 2 * config.least, np.uint8)
+                row[config.least : config.least + len(data)] = np.frombuffer(data, np.uint8)
+                heads, places = np.frombuffer(b"".join(asked), ASKED), np.frombuffer(b"".join(places), "<u4")
+                n = heads["n"].astype(np.int64)
+                at = places[np.cumsum(n) - n].astype(np.int64) + config.least - config.reach
+                made = np.empty(len(heads), kind)
+                made["a"], made["n"], made["k"], made["h"] = heads["a"], heads["n"], k, h
+                made["row"] = row[at[:, None] + np.arange(config.context)]
+                made["left"] = np.maximum(config.least - at, 0)
+                made["right"] = np.maximum(at + config.context - config.least - len(data), 0)
+                waiting.append((made, places))
+                size += made.nbytes + places.nbytes
+                if size > 24 << 20:
                     yield flush()
         if waiting:
             yield flush()
 
-    assert kind.itemsize == 8 + 16 + 4 + 2 * config.context
     return run
 
 
@@ -419,7 +464,7 @@ def _compare_contexts(config: SuffixConfig):
             pick = order[begin[at] : begin[to] if to < len(begin) else len(order)]
             at = to
             part = every[pick]
-            context, start = marked(part["a"], part["k"], part["row"])
+            context, start = marked(part["a"], part["k"], _padded(part))
             if len(context):
                 inner = np.lexsort((start, context))
                 context, start = context[inner], start[inner]
@@ -433,10 +478,12 @@ def _compare_contexts(config: SuffixConfig):
                 out.append((np.repeat(every["k"][context], times), np.repeat(every["h"][context], times), anchor + np.repeat(low, times), anchor + np.repeat(high, times)))
         if out:
             ks, hs, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
-            rows = [(k_, h_, np.stack([low[i], high[i]], 1).astype("<u4").tobytes()) for k_, h_, i in _by_document(ks, hs)]
-            for i in range(0, len(rows), 20_000):
-                columns = zip(*rows[i : i + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["k", "h", "ranges"])
+            order, edges = document_runs(ks, hs)
+            lead = order[edges[:-1]]
+            pairs = np.stack([low[order], high[order]], 1).astype("<u4").view("<u8").ravel()
+            whole = pa.RecordBatch.from_arrays([pa.array(ks[lead]), pa.array(hs[lead]), binaries(pairs, edges)], ["k", "h", "ranges"])
+            for i in range(0, len(lead), 20_000):
+                yield whole.slice(i, 20_000)
 
     return run
 
@@ -476,8 +523,8 @@ def repeated_substrings(docs: DataFrame, config: SuffixConfig | None = None, id_
     found = stored(sent.repartition(partitions, "part").mapInArrow(_match_anchors, FOUND), "anchors")
     release(spark)
 
-    asked = found.where("asked is not null").groupBy("k", "h").agg(F.collect_list("asked").alias("asked"))
-    wanted = base.select("k", "h", "text").join(asked, ["k", "h"]).select("k", "h", "text", "asked")
+    asked = found.where("asked is not null").groupBy("k", "h").agg(F.collect_list(F.struct("asked", "asked_places")).alias("x")).select("k", "h", F.col("x.asked").alias("asked"), F.col("x.asked_places").alias("asked_places"))
+    wanted = base.select("k", "h", "text").join(asked, ["k", "h"]).select("k", "h", "text", "asked", "asked_places")
     contexts = wanted.mapInArrow(_fetch_contexts(config, parts), MESSAGES)
     ranges = stored(contexts.repartition(partitions, "part").mapInArrow(_compare_contexts(config), "k long, h long, ranges binary"), "ranges")
     release(spark)
