@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import best, search_blocks, usable_vectors
+from .common import sampled
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, sample_
     """
     rows = usable_vectors(vectors, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
     sample: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("id", F.lit(5)), "id").select("v").limit(sample_rows).collect():
+    for r in sampled(rows.select("id", "v"), F.xxhash64("id", F.lit(5)), sample_rows, vectors.count()).collect():
         sample.setdefault(len(r.v), []).append(r.v)
     codes = {dim: learn_codes(np.array(v), k=k, recall=recall) for dim, v in sample.items() if len(v) > 1}
     return search_blocks(rows, is_query, k, compare_by_codes(codes), "double", **blocks)

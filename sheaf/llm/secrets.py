@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sampled
 from .nets import Adam, calibrate, sigmoid
 
 #: The base kinds in their order, their patterns, the group that has the secret and its least length.
@@ -201,7 +202,7 @@ def train_scanner(docs: DataFrame, config: SecretConfig | None = None, id_col: s
     config = config or SecretConfig()
     model, rng = CharacterConvolution(config), random.Random(config.seed)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= config.sample_chars)
-    texts = [r.text for r in source.orderBy(F.xxhash64("id", F.lit(3)), "id", F.length("text"), F.xxhash64("text")).limit(config.sample_rows).collect()]
+    texts = [r.text for r in sampled(source, F.xxhash64("id", F.lit(3)), config.sample_rows, docs.count()).collect()]
     views, labels, words = [], [], set()
     for text in texts:
         found = base_spans(text)
