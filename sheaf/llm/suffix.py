@@ -215,75 +215,113 @@ def _find_anchors(config: SuffixConfig, parts: int):
     return run
 
 
-FOUND = "k long, h long, places binary, asked binary, asked_places binary"
+#: A finding on its way to its document: a place of a repeat (a is 0 and n is 0), or a context that is asked for, with
+#: the hash of its anchor and, at its first place, the number of its places, which follow one another.
+FINDING = np.dtype([("k", "<i8"), ("h", "<i8"), ("a", "<u8"), ("n", "<u4"), ("place", "<u4")])
 
-#: A context that is asked for: its anchor's hash and the number of its places.
-ASKED = np.dtype([("a", "<u8"), ("n", "<u4")])
 
+def in_buckets(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, payload): rows with fields k and h, dealt by their document, in order otherwise."""
+    bucket = ((rows["k"] ^ (rows["h"] >> 33)) % buckets).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    first = runs(bucket[order])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order[first]]), binaries(rows[order], np.r_[first, len(order)])], ["bucket", "payload"])
 
-def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition's anchors: (k, h, places of repeats, contexts that are asked for and their places). A context is
-    asked for once, with all its places in its smallest document."""
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    tables, pieces, base = [], [], 0
 
-    def rows(k: np.ndarray, h: np.ndarray, places: pa.Array | None, asked: pa.Array | None, asked_places: pa.Array | None) -> Iterator[pa.RecordBatch]:
-        none = pa.nulls(len(k), pa.binary())
-        whole = pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), *(none if x is None else x for x in (places, asked, asked_places))], names)
-        for at in range(0, len(k), 20_000):
-            yield whole.slice(at, 20_000)
+def _match_anchors(buckets: int):
+    """One partition's anchors: findings in the buckets of their documents. A context is asked for once, with all its
+    places in its smallest document."""
 
-    for batch in batches:
-        part = batch.column(0).to_numpy()
-        early = pa.array(part < 0)
-        if (part < 0).any():
-            own = batch.filter(early)
-            yield from rows(own.column(1).to_numpy(), own.column(2).to_numpy(), own.column(3), None, None)
-        for n, payload in zip(*(batch.filter(pa.array(part >= 0)).column(i).to_pylist() for i in (1, 3)), strict=True):
-            tables.append(np.frombuffer(payload, "<i8", 2 * n).reshape(n, 2))
-            made = np.frombuffer(payload, ANCHOR, offset=16 * n)
-            pieces.append((made["a"], made["c"], made["doc"].astype(np.int64) + base, made["place"]))
-            base += n
-    if not pieces:
-        return
-    table = np.concatenate(tables)
-    a, c, number, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
-    del pieces
-    order = np.argsort(a)
-    first = runs(a[order])
-    count = np.diff(np.r_[first, len(a)])
-    many = order[np.repeat(count > 1, count)]
-    a, c, number, place = a[many], c[many], number[many], place[many]
-    doc, key = table[number, 0], table[number, 1]
-    order, repeats = settle(a, c, doc, key)
-    a, c, doc, key, place = a[order], c[order], doc[order], key[order], place[order]
-    found = np.flatnonzero(repeats)
-    if len(found):
-        order, edges = document_runs(doc[found], key[found])
-        found = found[order]
-        heads = found[edges[:-1]]
-        yield from rows(doc[heads], key[heads], binaries(place[found].astype("<u4"), edges), None, None)
-    keep = ~repeats
-    a, c, doc, key, place = a[keep], c[keep], doc[keep], key[keep], place[keep]
-    if not len(a):
-        return
-    first = runs(a)
-    length = np.diff(np.r_[first, len(a)])
-    # a context needs looking at if its anchor has another one, and one of another document
-    kinds = (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)) & (np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first))
-    some = np.repeat(kinds, length)
-    a, c, doc, key, place = a[some], c[some], doc[some], key[some], place[some]
-    if not len(a):
-        return
-    asked = runs(a, c, doc, key)
-    number = np.diff(np.r_[asked, len(a)])
-    order, edges = document_runs(doc[asked], key[asked])
-    heads = np.empty(len(order), ASKED)
-    heads["a"], heads["n"] = a[asked[order]], number[order]
-    total = np.r_[0, np.cumsum(number[order])]
-    spread = np.repeat(asked[order], number[order]) + np.arange(total[-1]) - np.repeat(total[:-1], number[order])
-    lead = asked[order[edges[:-1]]]
-    yield from rows(doc[lead], key[lead], None, binaries(heads, edges), binaries(place[spread].astype("<u4"), total[edges]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, pieces, out, base = [], [], [], 0
+        for batch in batches:
+            for part, n, h, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if part < 0:
+                    places = np.frombuffer(payload, "<u4")
+                    early = np.zeros(len(places), FINDING)
+                    early["k"], early["h"], early["place"] = n, h, places
+                    out.append(early)
+                    continue
+                tables.append(np.frombuffer(payload, "<i8", 2 * n).reshape(n, 2))
+                made = np.frombuffer(payload, ANCHOR, offset=16 * n)
+                pieces.append((made["a"], made["c"], made["doc"].astype(np.int64) + base, made["place"]))
+                base += n
+        if pieces:
+            table = np.concatenate(tables)
+            a, c, number, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            pieces.clear()
+            order = np.argsort(a)
+            count = np.diff(np.r_[runs(a[order]), len(a)])
+            many = order[np.repeat(count > 1, count)]
+            a, c, number, place = a[many], c[many], number[many], place[many]
+            doc, key = table[number, 0], table[number, 1]
+            order, repeats = settle(a, c, doc, key)
+            a, c, doc, key, place = a[order], c[order], doc[order], key[order], place[order]
+            found = np.zeros(int(repeats.sum()), FINDING)
+            found["k"], found["h"], found["place"] = doc[repeats], key[repeats], place[repeats]
+            out.append(found)
+            keep = ~repeats
+            a, c, doc, key, place = a[keep], c[keep], doc[keep], key[keep], place[keep]
+            if len(a):
+                first = runs(a)
+                # a context needs looking at if its anchor has another one, and one of another document
+                kinds = (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)) & (np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first))
+                some = np.repeat(kinds, np.diff(np.r_[first, len(a)]))
+                a, c, doc, key, place = a[some], c[some], doc[some], key[some], place[some]
+                asked = np.zeros(len(a), FINDING)
+                asked["k"], asked["h"], asked["a"], asked["place"] = doc, key, np.maximum(a, 1), place
+                if len(a):
+                    first = runs(a, c, doc, key)
+                    asked["n"][first] = np.diff(np.r_[first, len(a)])
+                out.append(asked)
+        if out and sum(map(len, out)):
+            yield in_buckets(np.concatenate(out), buckets)
+
+    return run
+
+
+def _beside(documents: DataFrame, sent: list[DataFrame], buckets: int, partitions: int) -> DataFrame:
+    """(bucket, kind, payload, *documents' columns): each bucket's payloads, kind 0 for those of the first frame and so
+    on, and behind them its documents, one bucket after the other."""
+    number = F.pmod(F.col("k").bitwiseXOR(F.shiftright("h", 33)), F.lit(buckets)).cast("int")
+    rows = documents.select(number.alias("bucket"), F.lit(len(sent)).alias("kind"), F.lit(None).cast("binary").alias("payload"), *documents.columns)
+    for kind, frame in enumerate(sent):
+        rows = rows.unionByName(frame.select("bucket", F.lit(kind).alias("kind"), "payload"), allowMissingColumns=True)
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind")
+
+
+class Held:
+    """The payloads of the bucket that is being read, by document."""
+
+    def __init__(self, kind: np.dtype, use=None):
+        self.kind, self.use, self.bucket = kind, use, None
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.rows, self.at = [], None, {}
+
+    def enter(self, bucket: int) -> None:
+        if bucket != self.bucket:
+            self.bucket = bucket
+            self.clear()
+
+    def add(self, payload: bytes) -> None:
+        part = np.frombuffer(payload, self.kind)
+        self.parts.append(part if self.use is None else part[self.use(part)])
+
+    def of(self, k: int, h: int) -> np.ndarray:
+        if self.rows is None:
+            rows = np.concatenate(self.parts) if self.parts else np.zeros(0, self.kind)
+            self.rows = rows[np.lexsort((rows["h"], rows["k"]))]
+            edges = [*runs(self.rows["k"], self.rows["h"]).tolist(), len(rows)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                self.at[int(self.rows["k"][low]), int(self.rows["h"][low])] = low, high
+        low, high = self.at.get((k, h), (0, 0))
+        return self.rows[low:high]
+
+
+#: A repeated stretch of a document's bytes.
+RANGE = np.dtype([("k", "<i8"), ("h", "<i8"), ("low", "<u4"), ("high", "<u4")])
 
 
 def _context_type(config: SuffixConfig) -> np.dtype:
@@ -300,7 +338,7 @@ def _padded(made: np.ndarray) -> np.ndarray:
 
 
 def _fetch_contexts(config: SuffixConfig, parts: int):
-    """Reads (k, h, text, asked, asked_places); sends each context, padded at a document's ends, to its anchor's part."""
+    """Reads what _beside makes of findings and (k, h, text); sends each context, padded at a document's ends, to its anchor's part."""
     kind = _context_type(config)
     shift = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else None
     names = ["part", "k", "h", "payload"]
@@ -326,15 +364,23 @@ def _fetch_contexts(config: SuffixConfig, parts: int):
             rows = [(int(part[order[low]]), high - low, 0, made[low:high].tobytes() + places[total[low] : total[high]].tobytes()) for low, high in zip(edges[:-1], edges[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
+        held = Held(FINDING, lambda rows: rows["a"] > 0)
         for batch in batches:
+            bucket, kind_of, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for i in range(batch.num_rows):
-                k, h, text, asked, places = (batch.column(c)[i].as_py() for c in range(5))
-                data = text.encode()
+                held.enter(bucket[i])
+                if kind_of[i] == 0:
+                    held.add(payloads[i].as_py())
+                    continue
+                k, h = batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
+                asked = held.of(k, h)
+                if not len(asked):
+                    continue
+                data = batch.column(5)[i].as_py().encode()
                 row = np.zeros(len(data) + 2 * config.least, np.uint8)
                 row[config.least : config.least + len(data)] = np.frombuffer(data, np.uint8)
-                heads, places = np.frombuffer(b"".join(asked), ASKED), np.frombuffer(b"".join(places), "<u4")
-                n = heads["n"].astype(np.int64)
-                at = places[np.cumsum(n) - n].astype(np.int64) + config.least - config.reach
+                heads, places = asked[asked["n"] > 0], asked["place"]
+                at = heads["place"].astype(np.int64) + config.least - config.reach
                 made = np.empty(len(heads), kind)
                 made["a"], made["n"], made["k"], made["h"] = heads["a"], heads["n"], k, h
                 made["row"] = row[at[:, None] + np.arange(config.context)]
@@ -412,8 +458,8 @@ def shared_strings(contexts: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
     return group, place // (width + 1), place % (width + 1)
 
 
-def _compare_contexts(config: SuffixConfig):
-    """One partition's contexts: (k, h, ranges) of what is repeated, as pairs of unsigned 32-bit integers."""
+def _compare_contexts(config: SuffixConfig, buckets: int):
+    """One partition's contexts: what is repeated, as ranges in the buckets of their documents."""
     kind = _context_type(config)
     reach, k, least = config.reach, config.anchor, config.least
     half = reach // 2
@@ -478,22 +524,18 @@ def _compare_contexts(config: SuffixConfig):
                 out.append((np.repeat(every["k"][context], times), np.repeat(every["h"][context], times), anchor + np.repeat(low, times), anchor + np.repeat(high, times)))
         if out:
             ks, hs, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
-            order, edges = document_runs(ks, hs)
-            lead = order[edges[:-1]]
-            pairs = np.stack([low[order], high[order]], 1).astype("<u4").view("<u8").ravel()
-            whole = pa.RecordBatch.from_arrays([pa.array(ks[lead]), pa.array(hs[lead]), binaries(pairs, edges)], ["k", "h", "ranges"])
-            for i in range(0, len(lead), 20_000):
-                yield whole.slice(i, 20_000)
+            ranges = np.zeros(len(ks), RANGE)
+            ranges["k"], ranges["h"], ranges["low"], ranges["high"] = ks, hs, low, high
+            yield in_buckets(ranges, buckets)
 
     return run
 
 
-def removed_spans(length: int, places: list[bytes], ranges: list[bytes], config: SuffixConfig) -> np.ndarray:
+def removed_spans(length: int, places: np.ndarray, ranges: np.ndarray, config: SuffixConfig) -> np.ndarray:
     """(start, end) of the maximal stretches that are covered."""
-    at = np.frombuffer(b"".join(places), "<u4").astype(np.int64)
-    pairs = np.frombuffer(b"".join(ranges), "<u4").astype(np.int64).reshape(-1, 2)
-    low = np.concatenate([np.maximum(at - config.reach, 0), pairs[:, 0]])
-    high = np.concatenate([np.minimum(at + config.least, length), pairs[:, 1]])
+    at = places.astype(np.int64)
+    low = np.concatenate([np.maximum(at - config.reach, 0), ranges["low"].astype(np.int64)])
+    high = np.concatenate([np.minimum(at + config.least, length), ranges["high"].astype(np.int64)])
     if not len(low):
         return np.zeros((0, 2), np.int64)
     order = np.argsort(low, kind="stable")
@@ -502,9 +544,30 @@ def removed_spans(length: int, places: list[bytes], ranges: list[bytes], config:
     return np.stack([low[new], high[np.r_[new[1:], len(high)] - 1]], 1)
 
 
+def _spans_beside(batches: Iterator[pa.RecordBatch], config: SuffixConfig) -> Iterator[tuple[pa.RecordBatch, list[int], list]]:
+    """(batch, numbers of its document rows, their spans) of what _beside makes of findings, ranges and documents."""
+    places, ranges = Held(FINDING, lambda rows: rows["a"] == 0), Held(RANGE)
+    for batch in batches:
+        bucket, kind, payloads = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        rows, spans = [], []
+        for i in range(batch.num_rows):
+            for held in (places, ranges):
+                held.enter(bucket[i])
+            if kind[i] < 2:
+                (places, ranges)[kind[i]].add(payloads[i].as_py())
+                continue
+            k, h = batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
+            found, more = places.of(k, h)["place"], ranges.of(k, h)
+            text = batch.column(5)[i]
+            spans.append(removed_spans(len((text.as_py() or "").encode()), found, more, config).tolist() if len(found) or len(more) else [])
+            rows.append(i)
+        if rows:
+            yield batch, rows, spans
+
+
 def repeated_substrings(docs: DataFrame, config: SuffixConfig | None = None, id_col: str = "doc_id", text_col: str = "text", others: list[str] | None = None) -> DataFrame:
-    """(id, text, places, ranges [, others]) of each row: what removed_spans needs to tell which bytes are repeats. The
-    named other columns come back as a struct.
+    """(bucket, kind, payload, k, h, text, id [, others]): the rows and what tells which of their bytes are repeats, as
+    _spans_beside reads them. The named other columns come back as a struct.
 
     A byte is a repeat if a string of `least` bytes covers it that also starts in a row with a smaller id; strings are
     those of the whole input, within rows. Null texts count as empty. Rows without an id come after all others, and
@@ -520,18 +583,14 @@ def repeated_substrings(docs: DataFrame, config: SuffixConfig | None = None, id_
     parts = min(1 << 15, 4 << (partitions - 1).bit_length())
 
     sent = base.select("k", "h", "text").mapInArrow(_find_anchors(config, parts), MESSAGES)
-    found = stored(sent.repartition(partitions, "part").mapInArrow(_match_anchors, FOUND), "anchors")
+    in_bucket = "bucket int, payload binary"
+    found = stored(sent.repartition(partitions, "part").mapInArrow(_match_anchors(parts), in_bucket), "anchors")
     release(spark)
 
-    asked = found.where("asked is not null").groupBy("k", "h").agg(F.collect_list(F.struct("asked", "asked_places")).alias("x")).select("k", "h", F.col("x.asked").alias("asked"), F.col("x.asked_places").alias("asked_places"))
-    wanted = base.select("k", "h", "text").join(asked, ["k", "h"]).select("k", "h", "text", "asked", "asked_places")
-    contexts = wanted.mapInArrow(_fetch_contexts(config, parts), MESSAGES)
-    ranges = stored(contexts.repartition(partitions, "part").mapInArrow(_compare_contexts(config), "k long, h long, ranges binary"), "ranges")
+    contexts = _beside(base.select("k", "h", "text"), [found], parts, partitions).mapInArrow(_fetch_contexts(config, parts), MESSAGES)
+    ranges = stored(contexts.repartition(partitions, "part").mapInArrow(_compare_contexts(config, parts), in_bucket), "ranges")
     release(spark)
-
-    every = found.select("k", "h", "places", F.lit(None).cast("binary").alias("ranges")).where("places is not null").unionByName(ranges.select("k", "h", F.lit(None).cast("binary").alias("places"), "ranges"))
-    marks = every.groupBy("k", "h").agg(F.collect_list("places").alias("places"), F.collect_list("ranges").alias("ranges"))
-    return base.join(marks, ["k", "h"], "left").select("id", "text", "places", "ranges", *["others"] * (others is not None))
+    return _beside(base.select("k", "h", "text", "id", *["others"] * (others is not None)), [found, ranges], parts, partitions)
 
 
 def remove_repeats(docs: DataFrame, config: SuffixConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -542,22 +601,19 @@ def remove_repeats(docs: DataFrame, config: SuffixConfig | None = None, id_col:
     config = config or SuffixConfig()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                columns: list[list] = [[], [], [], [], []]
-                for text, places, ranges in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    data = (text or "").encode()
-                    spans = removed_spans(len(data), places or [], ranges or [], config).tolist()
-                    kept, to = [], 0
-                    for low, high in spans:
-                        kept.append(data[to:low])
-                        to = high
-                    kept = b"".join([*kept, data[to:]])
-                    for column, value in zip(columns, (len(data), len(data) - len(kept), len(spans), spans, kept), strict=True):
-                        column.append(value)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+        for batch, rows, found in _spans_beside(batches, config):
+            columns: list[list] = [[], [], [], [], []]
+            for i, spans in zip(rows, found, strict=True):
+                data = (batch.column(5)[i].as_py() or "").encode()
+                kept, to = [], 0
+                for low, high in spans:
+                    kept.append(data[to:low])
+                    to = high
+                kept = b"".join([*kept, data[to:]])
+                for column, value in zip(columns, (len(data), len(data) - len(kept), len(spans), spans, kept), strict=True):
+                    column.append(value)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(6).take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     out = repeated_substrings(docs, config, id_col, text_col).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
@@ -582,19 +638,15 @@ def without_repeats(docs: DataFrame, config: SuffixConfig | None = None, id_col:
     config = config or SuffixConfig()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = []
-                for text, places, ranges in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    if text is not None and (places or ranges):
-                        data = text.encode()
-                        text = whole_characters(data, removed_spans(len(data), places or [], ranges or [], config).tolist())
-                    texts.append(text)
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(3)], ["text", "others"])
+        for batch, rows, found in _spans_beside(batches, config):
+            texts = []
+            for i, spans in zip(rows, found, strict=True):
+                text = batch.column(5)[i].as_py()
+                texts.append(whole_characters(text.encode(), spans) if spans else text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(7).take(pa.array(rows))], ["text", "others"])
 
     others = [c for c in docs.columns if c != text_col]
-    found = repeated_substrings(docs, config, id_col, text_col, others).select("text", "places", "ranges", "others")
+    found = repeated_substrings(docs, config, id_col, text_col, others)
     schema = found.select("text", "others").schema
     clean = found.mapInArrow(run, schema)
     return clean.select(*(F.col("text").cast(docs.schema[text_col].dataType).alias(text_col) if c == text_col else F.col("others").getField(c).alias(c) for c in docs.columns))
