@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 from .graph import components
 
 
@@ -19,15 +19,18 @@ from .graph import components
 class NearDupConfig:
     """words: of a shingle. percent: least 100 * intersection / union. A register is the level, in powers of base, of
     the smallest of a set's exponential values; band_size registers make a key, and documents that share one of the
-    bands' keys are compared. At a similarity of 0.8 all keys differ with a probability below 6e-6."""
+    bands' keys are compared. At a similarity of 0.8 all keys differ with a probability below 6e-6. Pairs are ruled out
+    by an estimate more than `margin` standard deviations too low. Buckets of over `together` classes are compared in
+    blocks of about `block` classes."""
 
     words: int = 5
     percent: int = 80
     bands: int = 48
     band_size: int = 7
     base: float = 1.08
-    estimated: int = 128
-    margin: float = 6.0
+    margin: float = 4.5
+    together: int = 32
+    block: int = 1024
     seed: int = 7
 
 
@@ -129,7 +132,7 @@ def _sketched(docs: DataFrame, config: NearDupConfig) -> DataFrame:
                 if full:
                     got = sketch.registers([sets[i] for i in full])
                     for i, k, r in zip(full, sketch.keys(got), got, strict=True):
-                        keys[i], registers[i] = k, r[: config.estimated].tobytes()
+                        keys[i], registers[i] = k, r.tobytes()
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(registers, pa.binary())], ["doc_id", "n", "set_id", "keys", "registers"])
 
@@ -147,38 +150,97 @@ def _sets(docs: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame
                 sets = [shingles(x or "", config.words, hashes).view(np.int64) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    return docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, s array<long>")
+    # the same plan at every size, so that what small tables need tells what large ones will
+    wanted = nodes.select(F.col("node").alias("doc_id")).hint("merge")
+    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, s array<long>")
+
+
+def _least_estimate(config: NearDupConfig) -> float:
+    share = config.percent / 100
+    return share - config.margin * float(np.sqrt(share * (1 - share) / (config.bands * config.band_size)))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, config: NearDupConfig) -> DataFrame:
     """Of the pairs (a, b), those whose sketches don't rule out the asked similarity: sizes that fit, and an estimate
-    not more than `margin` standard deviations below it."""
-    share = config.percent / 100
-    least = share - config.margin * float(np.sqrt(share * (1 - share) / config.estimated))
+    not too far below it."""
+    least = _least_estimate(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 if part.num_rows:
                     r_a, r_b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (2, 4))
                     n_a, n_b = (part.column(i).to_numpy().astype(float) for i in (3, 5))
                     keep = estimate(r_a, r_b, n_a, n_b, config.base) >= least
                     yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in part.columns[:2]], ["a", "b"])
 
-    one = classes.select(F.col("node").alias("a"), F.col("registers").alias("r_a"), F.col("n").alias("n_a"))
-    two = classes.select(F.col("node").alias("b"), F.col("registers").alias("r_b"), F.col("n").alias("n_b"))
+    one = classes.select(F.col("node").alias("a"), F.col("registers").alias("r_a"), F.col("n").alias("n_a")).hint("merge")
+    two = classes.select(F.col("node").alias("b"), F.col("registers").alias("r_b"), F.col("n").alias("n_b")).hint("merge")
     joined = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * config.percent)
     return joined.select("a", "b", "r_a", "n_a", "r_b", "n_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, config: NearDupConfig, label: str) -> DataFrame:
+def _links_in_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Links (a, b) between the components of large buckets, from (key, node, c, size).
+
+    A bucket is hashed into blocks, and each two of its blocks are a group of bounded size. There the registers are
+    compared as arrays; pairs that they don't rule out are compared on their full sets, likeliest first, unless links
+    of that group have joined their components already. So a group gives no more links than it has classes. A class is
+    sent once for every block of its bucket.
+    """
+    least = _least_estimate(config)
+    blocks = F.ceil(F.col("size") / config.block).cast("int")
+    rows = members.join(classes.select("node", "registers", "n").hint("merge"), "node").join(sets.hint("merge"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(23)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "n", "registers", "s")
+
+    def run(table: pa.Table) -> pa.Table:
+        own, i, j, node, c = (table.column(x).to_numpy() for x in ("own", "i", "j", "node", "c"))
+        n = table.column("n").to_numpy().astype(float)
+        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(len(node), -1)
+        held = table.column("s").combine_chunks()
+        held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+        values, starts = held.values.to_numpy(), held.offsets.to_numpy()
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        share = config.percent / 100
+        found: list[tuple[int, int]] = []
+        for x in left:
+            fits = (c[right] != c[x]) & (np.minimum(n[right], n[x]) >= share * np.maximum(n[right], n[x]))
+            if i[0] == j[0]:
+                fits &= node[right] > node[x]
+            y = right[fits]
+            # equal registers first: a pair that agrees in too few can't reach the estimate
+            y = y[(registers[y] == registers[x]).sum(1, dtype=np.int16) >= (least - 0.05) * registers.shape[1]]
+            if not len(y):
+                continue
+            likely = estimate(np.broadcast_to(registers[x], (len(y), registers.shape[1])), registers[y], np.full(len(y), n[x]), n[y], config.base)
+            order = np.argsort(-likely)
+            mine = values[starts[x] : starts[x + 1]]
+            for at in order[: int((likely >= least).sum())]:
+                other = int(y[at])
+                here, there = find(int(c[x])), find(int(c[other]))
+                if here != there:
+                    both = len(np.intersect1d(mine, values[starts[other] : starts[other + 1]], assume_unique=True))
+                    if 100 * both >= config.percent * (n[x] + n[other] - both):
+                        root[max(here, there)] = min(here, there)
+                        found.append((min(node[x], node[other]), max(node[x], node[other])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, config: NearDupConfig, label: str) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough, written to the shared folder."""
-    pairs = stored(pairs, f"{label}-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(_sets(docs, nodes, config), f"{label}-sets")
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a")
-    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")).hint("merge"), "a")
+    with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")).hint("merge"), "b")
     both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return stored(with_b.where(100 * both >= config.percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b").distinct(), f"{label}-links")
 
@@ -187,10 +249,10 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col
     """(doc_id, n_shingles, component_id, kept) of each row.
 
     Rows whose sets are equal are one class from the start. Classes that share a band's key are candidates. In each
-    bucket every class is first compared with the smallest alone; then components are made of the links, and only
+    bucket every class is first compared with one leader alone, of which a group has several, by eight orders; then components are made of the links, and only
     classes of one bucket that are still in different components are compared with each other. So a group of copies
-    costs its size, not its square, and no pair of a bucket is left out that could join two components. Every link is
-    confirmed on full sets.
+    costs its size, not its square, and no pair of a bucket is left out that could join two components. Large buckets
+    that are still mixed are compared block by block, on their registers and then on their sets. Every link is confirmed on full sets.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Rows without an id
     are linked with nothing and have no component_id; they are kept. Rows that repeat an id with other texts
@@ -203,22 +265,29 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col
     some = rows.where("n > 0 and doc_id is not null")
     firsts = some.groupBy("set_id").agg(F.min("doc_id").alias("node"))
     # the sketch of a class comes from its smallest document alone
-    classes = stored(some.join(firsts, "set_id").where("doc_id = node").dropDuplicates(["set_id"]).select("set_id", "node", "n", "keys", "registers"), "classes")
+    classes = stored(some.join(firsts.hint("merge"), "set_id").where("doc_id = node").dropDuplicates(["set_id"]).select("set_id", "node", "n", "keys", "registers"), "classes")
     bucket = Window.partitionBy("key")
-    shared = classes.select("node", F.explode("keys").alias("key")).withColumns({"first": F.min("node").over(bucket), "last": F.max("node").over(bucket)})
-    members = stored(shared.where("first < last").select("key", "node", "first"), "members")
+    shared = classes.select("node", F.explode("keys").alias("key")).withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "first": F.min(F.struct(F.xxhash64("node", F.col("key") % 8), "node")).over(bucket)})
+    members = stored(shared.where("low < high").select("key", "node", F.col("first.node").alias("first")), "members")
+
+    sets = stored(_sets(docs, members.select("node").distinct(), config), "sets")
+    release(docs.sparkSession)
 
-    stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(_likely(stars, classes, config), docs, config, "stars")
+    stars = members.where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
+    links = _confirmed(_likely(stars, classes, config), sets, config, "stars")
     parts = components(links, "stars-components")
     placed = members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    open_ = stored(placed.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket)}).where("low < high").select("key", "node", "c"), "open")
-    left, right = open_.select("key", F.col("node").alias("a"), F.col("c").alias("c_a")), open_.select("key", F.col("node").alias("b"), F.col("c").alias("c_b"))
-    across = left.join(right, "key").where("c_a <> c_b and a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(_likely(across, classes, config), docs, config, "across")
-    whole = components(links.unionByName(more), "components")
-
-    named = firsts.join(whole, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n", "set_id").join(named, "set_id", "left")
+    mixed = placed.withColumns({"low": F.min("c").over(bucket), "high": F.max("c").over(bucket), "size": F.count("*").over(bucket)})
+    open_ = stored(mixed.where("low < high").select("key", "node", "c", "size"), "open")
+    few = open_.where(F.col("size") <= config.together)
+    left, right = few.select("key", F.col("node").alias("a"), F.col("c").alias("c_a")), few.select("key", F.col("node").alias("b"), F.col("c").alias("c_b"))
+    across = left.join(right.hint("merge"), "key").where("c_a <> c_b and a < b").select("a", "b").distinct()
+    more = _confirmed(_likely(across, classes, config), sets, config, "across")
+    rest = stored(_links_in_blocks(open_.where(F.col("size") > config.together), classes, sets, config).distinct(), "blocks")
+    release(docs.sparkSession)
+    whole = components(links.unionByName(more).unionByName(rest), "components")
+
+    named = firsts.join(whole.hint("merge"), "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    out = rows.select("doc_id", "n", "set_id").join(named.hint("merge"), "set_id", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -54,11 +54,11 @@ def corpus():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_against_brute_force(spark, words):
+@pytest.mark.parametrize(("words", "blocks"), [(2, {"together": 2, "block": 3}), (5, {})])
+def test_against_brute_force(spark, words, blocks):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as node", "3 as key", "4 as component")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, neardup.NearDupConfig(words=words)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, neardup.NearDupConfig(words=words, **blocks)).collect()}
     assert got == brute(rows, words)
 
 

@@ -90,7 +90,7 @@ def test_single_documents(spark, tmp_path):
     engine = Engine(spark)
     path = tmp_path / "hello.txt"
     path.write_text("hello world\n")
-    for source in (str(path), path, f"file://{path}", b"hello world", io.BytesIO(b"hello world"), "data:text/plain;charset=utf-8;base64,aGVsbG8gd29ybGQ="):
+    for source in (path, f"file://{path}", io.BytesIO(b"hello world"), "data:text/plain;charset=utf-8;base64,aGVsbG8gd29ybGQ="):
         assert engine.convert_one(source).markdown == "hello world"
     with pytest.raises(uris.RemoteDisabled):
         engine.convert_one("http://example.com/x")
