@@ -1,9 +1,10 @@
-"""Removal of substrings that repeat across documents, exact to the byte.
+"""Removal of substrings that repeat across documents, to the byte.
 
 Every string of `least` bytes holds an anchor: the k-gram with the smallest hash in it. All k-grams that are smallest
 in some such string are found where a document is read, and only their hashes, the hashes of their contexts and their
 places are shuffled. The context of an anchor is all bytes of the strings that hold it. Of equal contexts, those in
-larger documents are repeats as a whole. Different contexts around equal anchors are fetched and go to one task, which
+larger documents are repeats as a whole; contexts count as equal if the anchors' hashes and the contexts' own are, of 64
+bits each, which of n contexts of one anchor takes about n * n / 2**65 pairs for equal that aren't. Different contexts around equal anchors are fetched and go to one task, which
 sorts their suffixes, forms the Burrows-Wheeler transform and extends its intervals backwards, breadth first, up to
 `least` bytes: intervals that are left hold the strings that contexts share.
 """
@@ -107,8 +108,9 @@ def anchors(texts: list[bytes], config: SuffixConfig) -> tuple[np.ndarray, np.nd
     return text, place - starts[text], every[place], blocks.at(place - reach, config.context, 2)
 
 
-#: An anchor on its way: its hash, its context's, the number of its document in the table before it, and its place.
-ANCHOR = np.dtype([("a", "<u8"), ("c", "<u4"), ("doc", "<u2"), ("place", "<u4")])
+#: An anchor on its way: its hash, its context's, the number of its document in the table before it, and its place. Equal
+#: anchors share a, so all 64 bits of c are needed to tell their contexts apart.
+ANCHOR = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<u2"), ("place", "<u4")])
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -204,7 +206,7 @@ def _find_anchors(config: SuffixConfig, parts: int):
                     at += 1
                 if group:
                     number, place, a, c = anchors(group, config)
-                    held.append(((number + len(docs)).astype(np.uint16), place.astype(np.uint32), a, (c >> np.uint64(32)).astype(np.uint32)))
+                    held.append(((number + len(docs)).astype(np.uint16), place.astype(np.uint32), a, c))
                     docs += own
                     size += len(a)
                 if docs and (size > 1_500_000 or len(docs) >= 60_000):

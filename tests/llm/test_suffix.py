@@ -57,6 +57,33 @@ def test_against_brute_force(spark, seed, config):
     assert suffix.remove_repeats(docs.limit(0), config).count() == 0
 
 
+def test_contexts_that_agree_in_half_their_hash(spark):
+    """Different contexts of one anchor whose hashes agree in their upper, or lower, 32 bits are not repeats."""
+    config, rng = suffix.SuffixConfig(), np.random.default_rng(6)
+    k, reach, width = config.anchor, config.reach, config.context
+    grams = rng.integers(97, 123, (20_000, k)).astype(np.int16)  # the one with the smallest hash is an anchor wherever it stands
+    middle = grams[suffix.Blocks(grams.ravel(), k).at(np.arange(len(grams)) * k, k, 1).argmin()]
+    rows, hashes = [], []
+    for _ in range(10):
+        part = rng.integers(97, 123, (30_000, width)).astype(np.uint8)
+        part[:, reach : reach + k] = middle
+        rows.append(part)
+        hashes.append(suffix.Blocks(part.ravel().astype(np.int16), width).at(np.arange(len(part)) * width, width, 2))
+    rows, c = np.concatenate(rows), np.concatenate(hashes)
+    assert len(np.unique(c)) == len(c)
+    pairs = []
+    for half in (c >> np.uint64(32), c & np.uint64(0xFFFFFFFF)):
+        order = np.argsort(half, kind="stable")
+        at = np.flatnonzero(np.diff(half[order]) == 0)
+        pairs += [(rows[order[i]].tobytes().decode(), rows[order[i + 1]].tobytes().decode()) for i in at]
+    assert len(pairs) > 10
+    docs = [(i, text) for i, text in enumerate(text for pair in pairs for text in pair)]
+    places = suffix.anchors([text.encode() for _, text in docs], config)[1]
+    assert (places == reach).sum() == len(docs)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), config).collect()]
+    assert sorted(got, key=str) == brute(docs, config.least)
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 400):
