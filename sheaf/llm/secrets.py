@@ -65,7 +65,8 @@ def joined(spans: list[Span]) -> str:
 
 @dataclass(frozen=True)
 class SecretConfig:
-    """The network sees `before` characters, the first `inside` of a candidate and `after` behind it.
+    """The network sees `inside` characters of a candidate, `before` in front of them and `after` behind. Of longer
+    candidates it sees overlapping windows, one every `stride` characters and one at the end, and the likeliest counts.
 
     Training takes the findings and candidates of at most sample_rows documents, chosen by a hash of their ids and of
     up to sample_chars characters each, and made_up findings and look-alikes of public formats besides. The threshold
@@ -75,6 +76,7 @@ class SecretConfig:
     before: int = 24
     inside: int = 40
     after: int = 8
+    stride: int = 10
     embedding: int = 6
     width: int = 5
     filters: int = 24
@@ -103,15 +105,28 @@ class CharacterConvolution:
         self.parts = [np.flatnonzero(middle < c.before), np.flatnonzero((middle >= c.before) & (middle < c.before + c.inside)), np.flatnonzero(middle >= c.before + c.inside)]
 
     def view(self, text: str, start: int, end: int) -> np.ndarray:
+        """The first of the candidate's windows."""
+        return self.windows(text, start, min(end, start + self.config.inside), end - start)[0]
+
+    def places(self, start: int, end: int) -> np.ndarray:
+        """Where the windows of a candidate start: together they hold all of it."""
+        last = max(start, end - self.config.inside)
+        return np.r_[start : last : self.config.stride, last]
+
+    def windows(self, text: str, start: int, end: int, length: int | None = None) -> np.ndarray:
         """Characters as numbers: ASCII as they are, 128 for any other, 129 for none; then the candidate's length and
-        the share of its characters that differ."""
+        the share of the window's characters that differ. A row for each window."""
         c = self.config
-        code = lambda s: [min(ord(x), 128) for x in s]
-        left = code(text[max(0, start - c.before) : start])
-        own = code(text[start : min(end, start + c.inside)])
-        right = code(text[end : end + c.after])
-        run = text[start:end]
-        return np.array([129] * (c.before - len(left)) + left + own + [129] * (c.inside - len(own)) + right + [129] * (c.after - len(right)) + [min(len(run), 200), 100 * len(set(run)) // max(1, min(len(run), 64))])
+        size = min(c.inside, end - start)
+        code = lambda s: np.minimum(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4"), 128)
+        left, own, right = code(text[max(0, start - c.before) : start]), code(text[start:end]), code(text[end : end + c.after])
+        row = np.concatenate([np.full(c.before - len(left), 129), left, own, right, np.full(c.after - len(right), 129)]).astype(np.int64)
+        at = self.places(start, end)
+        seen = row[(at - start)[:, None] + np.arange(c.before + size + c.after)]
+        inner = np.sort(seen[:, c.before : c.before + size], 1)
+        share = 100 * (1 + (inner[:, 1:] != inner[:, :-1]).sum(1)) // size
+        gap = np.full((len(at), c.inside - size), 129)
+        return np.concatenate([seen[:, : c.before + size], gap, seen[:, c.before + size :], np.full((len(at), 1), min(length or end - start, 200)), share[:, None]], 1)
 
     def forward(self, views: np.ndarray):
         c, w = self.config, self.weights
@@ -129,6 +144,36 @@ class CharacterConvolution:
     def probabilities(self, views: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * self.logits(views) + self.offset)
 
+    def likeliest(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+        """The highest probability of each candidate's windows, a bounded number of windows at a time."""
+        best = np.zeros(len(spans))
+        held, owner, n = [], [], 0
+
+        def flush() -> None:
+            nonlocal n
+            np.maximum.at(best, np.concatenate(owner), self.probabilities(np.concatenate(held)))
+            held.clear(), owner.clear()
+            n = 0
+
+        c = self.config
+        reach = c.stride * 4096  # of very long runs, stretches of so many windows that overlap by one
+        for i, (start, end) in enumerate(spans):
+            at = start
+            while True:
+                to = min(end, at + reach + c.inside)
+                views = self.windows(text, at, to, end - start)
+                held.append(views)
+                owner.append(np.full(len(views), i))
+                n += len(views)
+                if n >= 4096:
+                    flush()
+                if to == end:
+                    break
+                at += reach
+        if held:
+            flush()
+        return best
+
     def slopes(self, views: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         c, w = self.config, self.weights
         seen, at, raw, features, logit = self.forward(views)
@@ -141,18 +186,25 @@ class CharacterConvolution:
         d_e = np.stack([np.bincount(symbols.ravel(), d_seen[:, :, e].ravel(), 130) for e in range(c.embedding)], 1)
         return {"u": features.T @ error, "b": error.sum(keepdims=True), "W": np.einsum("npf,npfw->wf", d, picked), "c": d.sum((0, 1)), "E": d_e}
 
-    def fit(self, views: np.ndarray, labels: np.ndarray) -> CharacterConvolution:
+    def fit(self, views: np.ndarray, labels: np.ndarray, owners: np.ndarray | None = None) -> CharacterConvolution:
+        """owners: the number of each view's candidate, from 0; a candidate is held out, and counts, as a whole."""
         c, rng = self.config, np.random.default_rng(self.config.seed)
-        order = rng.permutation(len(views))
-        check, train = order[: len(order) // 5], order[len(order) // 5 :]
+        owners = np.arange(len(views)) if owners is None else owners
+        order = rng.permutation(int(owners.max()) + 1)
+        out = np.zeros(len(order), bool)
+        out[order[: len(order) // 5]] = True
+        check, train = np.flatnonzero(out[owners]), np.flatnonzero(~out[owners])
         steps = Adam(self.weights, c.rate)
         for epoch in range(c.epochs):
             steps.rate = c.rate * (1 - epoch / c.epochs)
             for part in np.array_split(rng.permutation(train), max(1, len(train) // c.batch)):
                 steps.update(self.slopes(views[part], labels[part]))
-        logits = self.logits(views[check])
-        self.slope, self.offset = calibrate(logits, labels[check])
-        true = np.sort(self.probabilities(views[check])[labels[check] > 0.5])
+        logits, truth = np.full(len(order), -np.inf), np.zeros(len(order))
+        np.maximum.at(logits, owners[check], self.logits(views[check]))
+        np.maximum.at(truth, owners[check], labels[check])
+        logits, truth = logits[out], truth[out]
+        self.slope, self.offset = calibrate(logits, truth)
+        true = np.sort(sigmoid(self.slope * logits + self.offset)[truth > 0.5])
         # the highest threshold that keeps the recall; never so low that a coin's toss would pass
         self.threshold = max(0.5, float(true[int((1 - c.least_recall) * len(true))])) if len(true) else 0.5
         return self
@@ -187,9 +239,22 @@ def made_up_examples(rng: random.Random, context: list[str], n: int) -> list[tup
         lambda: ("", f"{plain().capitalize()}{plain().capitalize()}{plain().capitalize()}Factory{rng.randint(1, 9)}", ""),
         lambda: ("+", f"{rng.randint(1, 99)}-{rng.randint(100, 999)}-{rng.randint(100, 999)}-{rng.randint(10**6, 10**7)}", ""),
         lambda: ("", f"{plain()}={plain()}.{plain()}.{rng.randint(0, 99)}", ""),
+        lambda: ("https:/", "/" + rng.choice("/.-_").join(plain() for _ in range(rng.randint(8, 24))) + f"/{rng.randint(1, 2030)}", ""),
+    ]
+    # runs that a key stands in, behind 40 characters or more, as (lead, what the run begins with, key)
+    deep = [
+        lambda: ("https:", f"//hooks.slack.com/services/T{pick(alnum[:26], 8)}/B{pick(alnum[:26], 8)}/", pick(alnum, 24)),
+        lambda: ("", "/" + "/".join(plain() for _ in range(rng.randint(8, 20))) + "/", pick(rng.choice([hexa, alnum]), rng.randint(24, 48))),
+        lambda: ("", ".".join(plain() for _ in range(rng.randint(8, 20))) + "=", rng.choice(["ghp_" + pick(alnum, 36), "sk-" + pick(alnum, 40), pick(alnum, 32)])),
     ]
     out = []
     for i in range(n):
+        if i % 10 == 0:
+            lead, before, key = rng.choice(deep)()
+            left = " ".join(word() for _ in range(5)) + rng.choice([" ", "\n", "("])
+            start = len(left) + len(lead) + len(before)
+            out.append((f"{left}{lead}{before}{key} {word()} {word()}", start, start + len(key), 1))
+            continue
         lead, run, tail = rng.choice(harmless if i % 2 else secret)()
         left = " ".join(word() for _ in range(5)) + rng.choice([" ", " ", "\n", "("])
         out.append((f"{left}{lead}{run}{tail} {word()} {word()}", len(left) + len(lead), len(left) + len(lead) + len(run), 1 - i % 2))
@@ -203,22 +268,33 @@ def train_scanner(docs: DataFrame, config: SecretConfig | None = None, id_col: s
     model, rng = CharacterConvolution(config), random.Random(config.seed)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= config.sample_chars)
     texts = [r.text for r in sampled(source, F.xxhash64("id", F.lit(3)), config.sample_rows, docs.count()).collect()]
-    views, labels, words = [], [], set()
+    views, labels, owners, words, n = [], [], [], set(), 0
+
+    def add(text: str, start: int, end: int, label: int) -> None:
+        """A candidate's windows; around a key within a run, those that hold at least 20 characters of it or none."""
+        nonlocal n
+        run = next((m.span() for m in CANDIDATE.finditer(text) if m.start() <= start and end <= m.end()), (start, end)) if label else (start, end)
+        rows, at = model.windows(text, *run), model.places(*run)
+        shared = np.minimum(at + config.inside, end) - np.maximum(at, start)
+        true = (shared >= min(20, end - start)) * label
+        use = (true == label) | (shared <= 0)
+        views.append(rows[use])
+        labels.append(true[use])
+        owners.append(np.full(int(use.sum()), n))
+        n += 1
+
     for text in texts:
         found = base_spans(text)
         for kind, start, end in found:
             run = CANDIDATE.search(text, start, end) if kind == "assign" else None
-            views.append(model.view(text, *(run.span() if run else (start, end))))
-            labels.append(1)
+            add(text, *(run.span() if run else (start, end)), 1)
         for start, end in candidates(text, found):
-            views.append(model.view(text, start, end))
-            labels.append(0)
+            add(text, start, end, 0)
         if len(words) < 20_000:
             words.update(text.split()[:200])
     for text, start, end, label in made_up_examples(rng, sorted(words) or ["some", "words", "here"], config.made_up):
-        views.append(model.view(text, start, end))
-        labels.append(label)
-    return model.fit(np.array(views), np.array(labels, float))
+        add(text, start, end, label)
+    return model.fit(np.concatenate(views), np.concatenate(labels).astype(float), np.concatenate(owners))
 
 
 def all_spans(text: str, model: CharacterConvolution | None) -> list[Span]:
@@ -229,8 +305,7 @@ def all_spans(text: str, model: CharacterConvolution | None) -> list[Span]:
     asked = candidates(text, found)
     if not asked:
         return found
-    p = np.concatenate([model.probabilities(np.array([model.view(text, s, e) for s, e in asked[i : i + 4096]])) for i in range(0, len(asked), 4096)])
-    return in_order(found + [("network", s, e) for (s, e), x in zip(asked, p, strict=True) if x >= model.threshold])
+    return in_order(found + [("network", s, e) for (s, e), x in zip(asked, model.likeliest(text, asked), strict=True) if x >= model.threshold])
 
 
 SPAN_TYPE = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))

@@ -86,3 +86,21 @@ def test_training_on_documents(spark):
     small = secrets.SecretConfig(made_up=300, epochs=2)
     assert secrets.train_scanner(docs, small).threshold >= 0.5
     assert secrets.train_scanner(docs.limit(0), small).threshold >= 0.5
+
+
+def test_keys_deep_in_a_run(spark):
+    """A key that begins behind the 40th character of its run is found; windows hold every character of a run once or more."""
+    rng = random.Random(8)
+    pick = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("aeioustrnlm") for _ in range(rng.randint(3, 8)))
+    net = secrets.train_scanner(spark.createDataFrame([(i, " ".join(name() for _ in range(60))) for i in range(30)], "doc_id long, text string"))
+    hooks = [f"see https://hooks.slack.com/services/T{rng.randint(10**7, 10**8)}A/B{rng.randint(10**7, 10**8)}A/{pick(24)} there" for _ in range(100)]
+    ends = ["at /" + "/".join(name() for _ in range(400)) + "/" + pick(40) + " here" for _ in range(50)]
+    plain = ["at /" + "/".join(name() for _ in range(rng.randint(9, 20))) + "/7 here" for _ in range(100)]
+    share = lambda texts: np.mean([any(kind == "network" for kind, *_ in secrets.all_spans(t, net)) for t in texts])
+    assert share(hooks) >= 0.95 and share(ends) >= 0.95 and share(plain) <= 0.1
+    for n in (1, 16, 40, 41, 49, 50, 51, 300):
+        at = net.places(7, 7 + n)
+        assert {p for a in at.tolist() for p in range(a, min(a + 40, 7 + n))} == set(range(7, 7 + n)) and len(set(at.tolist())) == len(at)
+    long = "".join(rng.choice("ab1/") for _ in range(90_000))
+    assert net.likeliest(long, [(0, 90_000), (5, 30)]).tolist() == pytest.approx([net.probabilities(net.windows(long, 0, 90_000)).max(), net.probabilities(net.windows(long, 5, 30)).max()])
