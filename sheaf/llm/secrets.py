@@ -27,6 +27,12 @@ HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 KINDS = [kind for kind, *_ in BASE] + ["network"]
 #: What else the network looks at: long runs of the characters that keys are made of.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Known key formats: a candidate of the sample that has one is no example of a harmless run.
+KEY_FORMAT = re.compile(
+    r"gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}|xox[a-z]-[A-Za-z0-9-]{10,}|[sr]k[-_][A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    r"|AIza[A-Za-z0-9_-]{30,}|npm_[A-Za-z0-9]{20,}|SG\.[A-Za-z0-9_-]{16,}|hooks\.slack\.com/services/"
+    r"|(?<![A-Za-z0-9+/])(?=[a-z0-9+/]*[A-Z])(?=[A-Z0-9+/]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])"
+)
 
 Span = tuple[str, int, int]
 
@@ -70,7 +76,8 @@ class SecretConfig:
 
     Training takes the findings and candidates of at most sample_rows documents, chosen by a hash of their ids and of
     up to sample_chars characters each, and made_up findings and look-alikes of public formats besides. The threshold
-    is the highest that keeps least_recall of the true findings that training didn't see.
+    is the highest that keeps least_recall of the true findings that training didn't see and no base pattern finds, but
+    0.5 at least; the model's `recall` is what it keeps of them.
     """
 
     before: int = 24
@@ -98,7 +105,7 @@ class CharacterConvolution:
         self.config = c
         draw = lambda *shape, scale: rng.normal(size=shape) * scale
         self.weights = {"E": draw(130, c.embedding, scale=0.5), "W": draw(c.width * c.embedding, c.filters, scale=0.3), "c": np.zeros(c.filters), "u": draw(3 * c.filters + 2, scale=0.2), "b": np.zeros(1)}
-        self.slope, self.offset, self.threshold = 1.0, 0.0, 1.0
+        self.slope, self.offset, self.threshold, self.recall = 1.0, 0.0, 1.0, None
         n = c.before + c.inside + c.after - c.width + 1
         # a filter belongs to the part that its middle is in
         middle = np.arange(n) + c.width // 2
@@ -186,8 +193,9 @@ class CharacterConvolution:
         d_e = np.stack([np.bincount(symbols.ravel(), d_seen[:, :, e].ravel(), 130) for e in range(c.embedding)], 1)
         return {"u": features.T @ error, "b": error.sum(keepdims=True), "W": np.einsum("npf,npfw->wf", d, picked), "c": d.sum((0, 1)), "E": d_e}
 
-    def fit(self, views: np.ndarray, labels: np.ndarray, owners: np.ndarray | None = None) -> CharacterConvolution:
-        """owners: the number of each view's candidate, from 0; a candidate is held out, and counts, as a whole."""
+    def fit(self, views: np.ndarray, labels: np.ndarray, owners: np.ndarray | None = None, base: np.ndarray | None = None) -> CharacterConvolution:
+        """owners: the number of each view's candidate, from 0; a candidate is held out, and counts, as a whole. base:
+        by candidate, whether a base pattern finds it, so that the threshold never decides on it."""
         c, rng = self.config, np.random.default_rng(self.config.seed)
         owners = np.arange(len(views)) if owners is None else owners
         order = rng.permutation(int(owners.max()) + 1)
@@ -204,9 +212,11 @@ class CharacterConvolution:
         np.maximum.at(truth, owners[check], labels[check])
         logits, truth = logits[out], truth[out]
         self.slope, self.offset = calibrate(logits, truth)
-        true = np.sort(sigmoid(self.slope * logits + self.offset)[truth > 0.5])
-        # the highest threshold that keeps the recall; never so low that a coin's toss would pass
+        asked = truth > 0.5 if base is None else (truth > 0.5) & ~base[out]
+        true = np.sort(sigmoid(self.slope * logits + self.offset)[asked])
+        # the highest threshold that keeps the recall; never so low that a coin's toss would pass, whatever that costs
         self.threshold = max(0.5, float(true[int((1 - c.least_recall) * len(true))])) if len(true) else 0.5
+        self.recall = float((true >= self.threshold).mean()) if len(true) else None
         return self
 
 
@@ -263,14 +273,15 @@ def made_up_examples(rng: random.Random, context: list[str], n: int) -> list[tup
 
 def train_scanner(docs: DataFrame, config: SecretConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> CharacterConvolution:
     """Fits the network on a bounded sample: what the base patterns find in it are findings, its other candidates are
-    not; both are joined by made-up ones, which alone are used if there are no documents."""
+    not, but for those of a known key format, which are left out; both are joined by made-up ones, which alone are used
+    if there are no documents."""
     config = config or SecretConfig()
     model, rng = CharacterConvolution(config), random.Random(config.seed)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= config.sample_chars)
     texts = [r.text for r in sampled(source, F.xxhash64("id", F.lit(3)), config.sample_rows, docs.count()).collect()]
-    views, labels, owners, words, n = [], [], [], set(), 0
+    views, labels, owners, base, words, n = [], [], [], [], set(), 0
 
-    def add(text: str, start: int, end: int, label: int) -> None:
+    def add(text: str, start: int, end: int, label: int, known: bool | None = None) -> None:
         """A candidate's windows; around a key within a run, those that hold at least 20 characters of it or none."""
         nonlocal n
         run = next((m.span() for m in CANDIDATE.finditer(text) if m.start() <= start and end <= m.end()), (start, end)) if label else (start, end)
@@ -281,20 +292,22 @@ def train_scanner(docs: DataFrame, config: SecretConfig | None = None, id_col: s
         views.append(rows[use])
         labels.append(true[use])
         owners.append(np.full(int(use.sum()), n))
+        base.append(any(s < run[1] and run[0] < e for _, s, e in base_spans(text)) if known is None else known)
         n += 1
 
     for text in texts:
         found = base_spans(text)
         for kind, start, end in found:
             run = CANDIDATE.search(text, start, end) if kind == "assign" else None
-            add(text, *(run.span() if run else (start, end)), 1)
+            add(text, *(run.span() if run else (start, end)), 1, True)
         for start, end in candidates(text, found):
-            add(text, start, end, 0)
+            if not KEY_FORMAT.search(text, start, end):
+                add(text, start, end, 0, False)
         if len(words) < 20_000:
             words.update(text.split()[:200])
     for text, start, end, label in made_up_examples(rng, sorted(words) or ["some", "words", "here"], config.made_up):
         add(text, start, end, label)
-    return model.fit(np.concatenate(views), np.concatenate(labels).astype(float), np.concatenate(owners))
+    return model.fit(np.concatenate(views), np.concatenate(labels).astype(float), np.concatenate(owners), np.array(base))
 
 
 def all_spans(text: str, model: CharacterConvolution | None) -> list[Span]:

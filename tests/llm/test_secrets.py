@@ -104,3 +104,29 @@ def test_keys_deep_in_a_run(spark):
         assert {p for a in at.tolist() for p in range(a, min(a + 40, 7 + n))} == set(range(7, 7 + n)) and len(set(at.tolist())) == len(at)
     long = "".join(rng.choice("ab1/") for _ in range(90_000))
     assert net.likeliest(long, [(0, 90_000), (5, 30)]).tolist() == pytest.approx([net.probabilities(net.windows(long, 0, 90_000)).max(), net.probabilities(net.windows(long, 5, 30)).max()])
+
+
+def test_recall_is_of_what_the_threshold_decides(spark, monkeypatch):
+    """Findings of base patterns don't count for the threshold, and keys of known formats are no negatives."""
+    seen = {}
+    fit = secrets.CharacterConvolution.fit
+
+    def spy(self, views, labels, owners=None, base=None):
+        seen.update(views=views, labels=labels, owners=owners, base=base)
+        return fit(self, views, labels, owners, base)
+
+    monkeypatch.setattr(secrets.CharacterConvolution, "fit", spy)
+    rng = random.Random(3)
+    keys = ["ghp_" + "aB3dE6gH9" * 4, "sk-" + "aB3dE6gH" * 5, "eyJ" + "hbGciOi" * 4 + "." + "eyJzdWIi" * 5 + "." + "aB3_" * 10, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    rows = [(i, f"some words {keys[i % 4]} and /usr/lib/x{i}/some.name.{i} then password={rng.randrange(16**15):016x} end") for i in range(200)]
+    net = secrets.train_scanner(spark.createDataFrame(rows, "doc_id long, text string"), secrets.SecretConfig(made_up=600, epochs=3))
+    views = {net.view(k and f"some words {k} and /usr/lib/x", 11, 11 + len(k))[24:64].tobytes() for k in keys}
+    assert not [v for v, y in zip(seen["views"], seen["labels"], strict=True) if y == 0 and v[24:64].tobytes() in views]
+    assert seen["base"].sum() >= 200 and (~seen["base"]).sum() >= 400 and len(seen["base"]) == seen["owners"].max() + 1
+    # with base findings at 1 and others at 0.7 the threshold follows the others
+    logits, truth = np.r_[np.full(900, 9.0), np.full(100, 0.7)], np.ones(1000)
+    monkeypatch.setattr(net, "logits", lambda v: v[:, 0])
+    monkeypatch.setattr(secrets, "calibrate", lambda *a: (1.0, 0.0))
+    monkeypatch.setattr(net, "slopes", lambda *a: {})
+    fit(net, logits[:, None], truth, np.arange(1000), logits > 1)
+    assert net.threshold == pytest.approx(secrets.sigmoid(np.array([0.7]))[0]) and net.recall == 1.0
