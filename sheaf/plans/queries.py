@@ -201,12 +201,18 @@ def _xml(value: Column) -> Column:
 
 
 def _feed(docs: DataFrame, key: str, item: Callable[[], Column], start: str, middle: str, end: str) -> DataFrame:
+    """Each document is a feed of one item, parsed and rendered as a row; only the rendered sections are put together."""
     body = F.replace(F.replace("text", F.lit("<"), F.lit("(")), F.lit(">"), F.lit(")"))
     rows = docs.withColumn("body", _xml(body))
-    whole = rows.groupBy(key).agg(ordered("doc_id", item(), "").alias("items"))
-    xml = F.concat(F.lit(start), key, F.lit(middle), "items", F.lit(end))
+    xml = F.concat(F.lit(start), _xml(F.col(key)), F.lit(middle), item(), F.lit(end))
     none = F.lit(None).cast("string")
-    return feeds.convert_feed(whole.select(F.col(key).alias("source_id"), F.encode(xml, "utf-8").alias("content"), none.alias("charset")))
+    source = F.struct(F.col(key).alias("feed"), "doc_id")
+    done = feeds.convert_feed(rows.select(source.alias("source_id"), F.encode(xml, "utf-8").alias("content"), none.alias("charset")))
+    heading = F.concat(F.lit("# "), F.nullif(F.col("title"), F.lit("")))
+    section = F.when(F.startswith("markdown", F.concat(heading, F.lit("\n\n"))), F.expr("substring(markdown, length(title) + 5)")).otherwise(F.col("markdown"))
+    parts = done.select(F.col("source_id.feed").alias("feed"), F.col("source_id.doc_id").alias("doc_id"), heading.alias("heading"), section.alias("section"))
+    whole = parts.groupBy("feed").agg(F.min("heading").alias("heading"), ordered("doc_id", "section", "\n\n").alias("sections"))
+    return whole.select(F.col("feed").alias("source_id"), F.concat_ws("\n\n", "heading", "sections").alias("markdown"))
 
 
 SQL_BODY = sql_trim("replace(replace(text, '<', '('), '>', ')')")

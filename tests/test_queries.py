@@ -81,3 +81,18 @@ def test_html_goldens():
     }
     for source, want in cases.items():
         assert html.html_to_markdown(source)[0] == want
+
+
+def test_feeds_are_parsed_by_document(spark, monkeypatch, tmp_path):
+    """No parse sees more than one document, whatever the size of its source; the whole feed comes out in order."""
+    from sheaf.operators import feeds
+
+    rows = [(i, f"text <{i}> & more" if i % 10 != 5 else " ", "en", "one & only", 5) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    convert, seen = feeds.convert_feed, []
+    monkeypatch.setattr(feeds, "convert_feed", lambda r: seen.append(r.select(F.regexp_count(F.col("content").cast("string"), F.lit("</(item|entry)>")).alias("n")).collect()) or convert(r))
+    for name, unit, label in (("q13_rss_to_markdown", "Item", "Published on: day "), ("q14_atom_to_markdown", "Entry", "Updated on: ")):
+        (row,) = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        want = [f"## {unit} {i}\n\n{label}{i}" + (f"\n\ntext ({i}) & more" if i % 10 != 5 else "") for i in range(40)]
+        assert row.markdown == "\n\n".join([f"# {row.feed}", *want])
+    assert [[r.n for r in frame] for frame in seen] == [[1] * 40] * 2
