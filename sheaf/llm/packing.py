@@ -6,15 +6,18 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import packed, words_of
-from .common import Memo
+#: The characters that \s stands for in the tokenizers' pattern; and white space next to white space or at the end.
+WHITE_SPACE = r"\t\n\x0B\x0C\r\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+IRREGULAR_TEXT = rf"[{WHITE_SPACE}](?:[{WHITE_SPACE}]|\z)"
 
 
 @dataclass(frozen=True)
@@ -68,57 +71,137 @@ def pack(lengths: np.ndarray, config: PackConfig) -> np.ndarray:
     return np.concatenate(made) if made else np.zeros((0, 5), np.int64)
 
 
+class WordTable:
+    """The ids of words, as numbers into one row of ids. When it has `size` words or 8 * size ids, the words that only
+    one batch had are let go, and long ones, or all if too few are."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.edges, self.batches = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The numbers of the words, -1 for those that aren't held."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The numbers that new words get."""
+        first = len(self.number)
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(lengths)])
+        self.batches = np.concatenate([self.batches, np.zeros(len(words), np.int32)])
+        return np.arange(first, first + len(words))
+
+    def make_room(self) -> None:
+        """Between batches: numbers change."""
+        if len(self.number) < self.size and len(self.ids) < 8 * self.size:
+            return
+        keep = np.flatnonzero((self.batches > 1) & (np.diff(self.edges) < 32))
+        if len(keep) > self.size // 2:
+            self.clear()
+            return
+        words, times = list(self.number), self.batches[keep]
+        ids, lengths = self.gathered(keep)
+        self.clear()
+        self.add([words[i] for i in keep.tolist()], ids, lengths)
+        self.batches = times
+
+    def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, one after the other, and how many each has."""
+        start, lengths = self.edges[numbers], self.edges[numbers + 1] - self.edges[numbers]
+        place = np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        return self.ids[place], lengths
+
+
 class ChunkTokenizer:
-    """A tokenizer file's ids of whole texts. Texts are cut where the byte-level pattern always cuts, and each distinct
-    word is encoded by the tokenizer once, as long as it is remembered; irregular texts are encoded as they are."""
+    """A tokenizer file's ids of whole texts. Texts are cut where the byte-level pattern always cuts, before each space
+    and each line feed; each distinct word of a batch is looked up once, and encoded by the tokenizer once, as long as it
+    is remembered. Texts with white space next to white space or at their end, and such as hold a special token, are
+    encoded as they are."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    #: Stands in front of a text's first word, which has no space: regular texts have no two line feeds in a row.
+    FIRST = "\n\n"
+
+    def __init__(self, path: str, words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(memo)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        memo, found, cut = self.memo, [], []
-        missing: dict[str, bytes | None] = {}
-        for text in texts:
-            words = None if any(x in text for x in self.special) else words_of(text)
-            cut.append(words)
-            got = list(map(memo.young.get, words)) if words else []
-            if words:
-                got[0], at = b"", 0
-                try:
-                    while True:
-                        at = got.index(None, at)
-                        missing[words[at]] = None
-                        at += 1
-                except ValueError:  # no word is left
-                    pass
-            found.append(got)
-        for word in missing:
-            missing[word] = memo.old.get(word)
-        ask = [word for word, ids in missing.items() if ids is None]
-        whole = [words[0] if words else text for text, words in zip(texts, cut, strict=True)]
-        answers = self._encode([*whole, *(word if word[:1] == "\n" else " " + word for word in ask)])
-        missing.update(zip(ask, answers[len(whole) :], strict=True))
-        for words, got in zip(cut, found, strict=True):
-            at = 0
-            try:
-                while True:
-                    at = got.index(None, at)
-                    got[at] = missing[words[at]]
-            except ValueError:
-                pass
-        for word, ids in missing.items():
-            if len(word) < 64:
-                memo.put(word, ids)
-        return [first + b"".join(got) for first, got in zip(answers, found, strict=False)]
+        self.table = WordTable(words)
+        tokens = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(tokens.values(), default=-1) + 1, np.int64)
+        self.bytes_of[list(tokens.values())] = list(map(len, tokens))  # a byte is a character of a token's name
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _encode_words(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys of the table: first words one by one, the others as one text, which the bytes of its tokens
+        cut into words again."""
+        first = np.fromiter((x.startswith(self.FIRST) for x in keys), bool, len(keys))
+        alone, of_alone = self._encode([keys[i][2:] for i in np.flatnonzero(first).tolist()])
+        written = [x if x[:1] == "\n" else " " + x for x, f in zip(keys, first.tolist(), strict=True) if not f]
+        joined, _ = self._encode(["".join(written)])
+        ends = np.cumsum(pc.binary_length(pa.array(written, pa.string())).to_numpy(zero_copy_only=False))
+        of_joined = np.diff(np.searchsorted(np.cumsum(self.bytes_of[joined]), ends, "right"), prepend=0)
+        lengths = np.empty(len(keys), np.int64)
+        lengths[first], lengths[~first] = of_alone, of_joined
+        ids = np.empty(int(lengths.sum()), np.uint32)
+        belongs = np.repeat(first, lengths)
+        ids[belongs], ids[~belongs] = alone, joined
+        return ids, lengths
+
+    def regular(self, texts: pa.Array) -> np.ndarray:
+        held = pc.match_substring_regex(texts, IRREGULAR_TEXT)
+        for special in self.special:
+            held = pc.or_(held, pc.match_substring(texts, special))
+        return ~held.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Of each text (a string array without nulls), its ids as unsigned 32-bit integers."""
+        regular = self.regular(texts)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        at = np.flatnonzero(regular)
+        if len(at):
+            cut = pc.replace_substring(texts.take(pa.array(at)), "\n", " \n")
+            words = pc.split_pattern(pc.binary_join_element_wise(self.FIRST, cut, ""), " ")
+            coded = words.flatten().dictionary_encode()
+            edges = words.offsets.to_numpy() - words.offsets[0].as_py()
+            keys = coded.dictionary.to_pylist()
+            self.table.make_room()
+            numbers = self.table.find(keys)
+            new = np.flatnonzero(numbers < 0)
+            if len(new):
+                ask = [keys[i] for i in new.tolist()]
+                numbers[new] = self.table.add(ask, *self._encode_words(ask))
+            self.table.batches[numbers] += 1
+            ids, lengths = self.table.gathered(numbers[coded.indices.to_numpy()])
+            ends = np.concatenate([[0], np.cumsum(lengths)])[edges]
+            for i, low, high in zip(at.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                out[i] = ids[low:high]
+        rest = np.flatnonzero(~regular)
+        if len(rest):
+            ids, lengths = self._encode(texts.take(pa.array(rest)).to_pylist())
+            for i, piece in zip(rest.tolist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                out[i] = piece
+        return out
+
+
+def stretches(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(start, end) of neighbouring texts that have about `size` bytes together."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, to
+        at = to
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -140,14 +223,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, config: PackConfig | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _TOKENIZERS.get(tokenizer_path) or _TOKENIZERS.setdefault(tokenizer_path, ChunkTokenizer(tokenizer_path))
         following = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        end = np.array([config.end_id], "<u4").tobytes()
+        end = np.array([config.end_id], "<u4")
         ids, keys, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal following, held
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
+            lengths = np.array([len(x) for x in ids], np.int64)
             rows = pack(lengths, config)
-            cuts = [memoryview(ids[d])[4 * s : 4 * (s + n)] for d, s, n in rows[:, :3].tolist()]
+            first = (np.cumsum(lengths) - lengths)[rows[:, 0]] + rows[:, 1]
+            every = memoryview(np.concatenate(ids).astype("<u4", copy=False)).cast("B")
+            cuts = [every[4 * s : 4 * (s + n)] for s, n in zip(first.tolist(), rows[:, 2].tolist(), strict=True)]
             columns = [pa.array(keys, pa.int64()).take(pa.array(rows[:, 0])), rows[:, 1], rows[:, 2], [zlib.crc32(x) for x in cuts], lengths[rows[:, 0]], rows[:, 3] + following, rows[:, 4]]
             out = [x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns]
             if keep_ids:
@@ -158,12 +243,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, config: PackConfig | No
             return pa.RecordBatch.from_arrays(out, names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for key, got in zip(part.column(0).to_pylist(), coder.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
+            texts = pc.fill_null(batch.column(1), "")
+            for at, to in stretches(texts):
+                for key, got in zip(batch.column(0)[at:to].to_pylist(), coder.encode(texts[at:to]), strict=True):
                     keys.append(key)
-                    ids.append(got + end)
-                    held += len(got) // 4 + 1
+                    ids.append(np.concatenate([got, end]))
+                    held += len(got) + 1
                     if held >= config.group_tokens:
                         yield flush()
         if ids:
