@@ -8,12 +8,11 @@ import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.charset import decode_text
-from .functions.text import base_name, extension
+from .functions.text import WS_CHARACTERS, base_name, extension, normalize_markdown
 from .operators import archives, delimited, dispatch, feeds, html, legacy_xls, notebooks, office, pdf, stream_info
 from .sources import uris
 
@@ -49,37 +48,102 @@ class Result:
         return self.markdown
 
 
-def convert_text(rows: DataFrame) -> DataFrame:
-    return rows.select("source_id", decode_text(F.col("content"), F.col("charset")).alias("markdown"), F.lit("").alias("title"), F.lit(None).cast("string").alias("error"))
+def text(source: dispatch.Source) -> Column:
+    return dispatch.result(source.text)
 
 
-def unzip(rows: DataFrame, limits: archives.ArchiveLimits) -> DataFrame:
-    """(source_id, position, name, size, content, error) of each file in each archive, directories left out. Contents
-    over the entry limit, and entries over the number that is allowed, come without content: the guards see to them."""
+def placeholder(source: dispatch.Source) -> Column:
+    """An archive's result is made from its entries' results, when these are known."""
+    return dispatch.result(F.lit(None).cast("string"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["source_id", "position", "name", "size", "content", "error"]
+
+def unzip_trees(rows: DataFrame, limits: archives.ArchiveLimits) -> DataFrame:
+    """(source_id, path, name, content, archive_error) of all entries of each archive, and of the archives among them, in
+    one pass, row by row. A path holds the numbers of an entry and of the archives around it. Directories are left out.
+    What an archive breaks on comes as a row of its own with that archive's path: its entries don't matter then."""
+
+    def has_entries(name: str, body: bytes) -> bool:
+        ext = os.path.splitext(name)[1].lower()
+        return ext == ".zip" or (body[:4] == b"PK\x03\x04" and ext not in stream_info.EXTENSION_TYPES)
+
+    def opened(content: bytes, path: str, level: int) -> Iterator[tuple]:
+        if level >= limits.depth:
+            yield path, None, None, f"{LIMIT}: recursion depth limit of {limits.depth}"
+            return
+        found, total = [], 0
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                for n, info in enumerate(i for i in archive.infolist() if not i.is_dir()):
+                    total += info.file_size
+                    broken = "entry limit" if n >= limits.entries else "entry size limit" if info.file_size > limits.entry_bytes else "total size limit" if total > limits.total_bytes else None
+                    if not broken:
+                        with archive.open(info) as f:
+                            body = f.read(limits.entry_bytes + 1)
+                        broken = "entry size limit" if len(body) > limits.entry_bytes else None
+                    if broken:
+                        yield path, None, None, f"{LIMIT}: {broken}"
+                        return
+                    found.append((f"{path}/{n}".lstrip("/"), info.filename, body))
+        except Exception as e:  # noqa: BLE001  broken archives fail in many ways
+            yield path, None, None, f"{type(e).__name__}: {e}"
+            return
+        for inner, name, body in found:
+            yield inner, name, body, None
+            if has_entries(name, body):
+                yield from opened(body, inner, level + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, content in zip(batch["source_id"], batch["content"], strict=True):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        total = 0
-                        for n, info in enumerate(i for i in archive.infolist() if not i.is_dir()):
-                            total += info.file_size
-                            fits = n < limits.entries and info.file_size <= limits.entry_bytes and total <= limits.total_bytes
-                            body = None
-                            if fits:
-                                with archive.open(info) as f:
-                                    body = f.read(limits.entry_bytes + 1)
-                            rows.append((source, n, info.filename, max(info.file_size, len(body or b"")), body, None))
-                            if not fits:
-                                break
-                except Exception as e:  # noqa: BLE001  broken archives fail in many ways
-                    rows = [(source, -1, None, 0, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows or [(source, -1, None, 0, None, None)], columns=names)
-
-    return rows.select("source_id", "content").mapInPandas(run, "source_id long, position int, name string, size long, content binary, error string")
+            for i in range(batch.num_rows):
+                made = list(opened(batch.column(1)[i].as_py() or b"", "", 0))
+                columns = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)] if made else [pa.array([], t) for t in (pa.string(), pa.string(), pa.binary(), pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(made), pa.int64())), *columns], ["source_id", "path", "name", "content", "archive_error"])
+
+    schema = rows.select("source_id").schema.add("path", "string").add("name", "string").add("content", "binary").add("archive_error", "string")
+    return rows.select("source_id", "content").mapInArrow(run, schema)
+
+
+def render_trees(rows: DataFrame) -> DataFrame:
+    """(source_id, tries) of each archive, from all rows of its tree with their tries: an archive's text is made of its
+    entries' texts, the innermost first. A group is one archive, which the limits bound."""
+
+    def run(table: pa.Table) -> pa.Table:
+        errors, nodes, inside = {}, {}, {}
+        for row in table.select(["path", "name", "label", "tries", "archive_error"]).to_pylist():
+            if row["archive_error"] is not None:
+                errors[row["path"]] = row["archive_error"]
+            else:
+                nodes[row["path"]] = row
+        for path in nodes:
+            if path:
+                inside.setdefault(path.rpartition("/")[0], []).append(path)
+
+        def solved(path: str) -> list[dict]:
+            tries = nodes[path]["tries"] or []
+            for attempt in tries:
+                if attempt["converter"] == "zip":
+                    attempt["markdown"], attempt["error"] = written(path)
+            return tries
+
+        def written(path: str) -> tuple[str | None, str | None]:
+            if path in errors:
+                return None, errors[path]
+            sections = [f"Content from zip file `{nodes[path]['label']}`"]
+            for inner in sorted(inside.get(path, ()), key=lambda p: int(p.rpartition("/")[2])):
+                tries = solved(inner)
+                good = next((t for t in tries if t["error"] is None), None)
+                limit = next((t["error"] for t in tries if t["error"] and LIMIT in t["error"]), None)
+                if good is None and limit:  # a limit that an inner archive breaks is the whole archive's failure
+                    return None, limit
+                body = ((good or {}).get("markdown") or "").strip(WS_CHARACTERS)
+                if body:
+                    sections.append(f"## File: {nodes[inner]['name']}\n\n{body}")
+            return "\n\n".join(sections), None
+
+        tries = pa.array([solved("")], table.schema.field("tries").type)
+        return pa.Table.from_arrays([table.column("source_id").slice(0, 1), tries], ["source_id", "tries"])
+
+    return rows.groupBy("source_id").applyInArrow(run, rows.select("source_id", "tries").schema)
 
 
 class Engine:
@@ -91,26 +155,27 @@ class Engine:
         self.extra: list[tuple] = []
         self.defaults = defaults
 
-    def register(self, name: str, priority: float, accept: Callable[[Column, Column, Column], Column], convert: Callable[[DataFrame], DataFrame]) -> None:
-        """A converter of one's own: accept makes a condition of extension, MIME type and content."""
+    def register(self, name: str, priority: float, accept: Callable[[Column, Column, Column], Column], convert: Callable[[dispatch.Source], Column]) -> None:
+        """A converter of one's own: accept makes a condition of extension, MIME type and content, convert makes
+        dispatch.result(markdown, title, error) of a source's content and text."""
         self.extra.append((name, priority, accept, convert))
 
-    def registry(self, depth: int = 0) -> dispatch.Registry:
+    def registry(self) -> dispatch.Registry:
         registry = dispatch.Registry()
         o = self.options
         converters = {
-            "ipynb": notebooks.convert_notebook,
-            "docx": office.convert_docx,
-            "pptx": office.convert_pptx,
-            "pdf": lambda rows: pdf.convert_pdf(rows, o.pdf_backend, o.pdf_keep_unmatched),
-            "xlsx": office.convert_xlsx,
-            "xls": legacy_xls.convert_xls,
-            "csv": lambda rows: delimited.convert_csv(rows, o.csv_ragged),
-            "epub": office.convert_epub,
-            "rss": feeds.convert_feed,
-            "zip": lambda rows: self._convert_zip(rows, depth),
-            "html": html.convert_html,
-            "text": convert_text,
+            "ipynb": notebooks.notebook,
+            "docx": office.docx,
+            "pptx": office.pptx,
+            "pdf": lambda source: pdf.pdf(source, o.pdf_backend, o.pdf_keep_unmatched),
+            "xlsx": office.xlsx,
+            "xls": legacy_xls.xls,
+            "csv": lambda source: delimited.csv(source, o.csv_ragged),
+            "epub": office.epub,
+            "rss": feeds.feed,
+            "zip": placeholder,
+            "html": html.html,
+            "text": text,
         }
         for name, priority, accept in dispatch.default_entries() if self.defaults else ():
             registry.register(name, priority, accept, converters[name])
@@ -121,34 +186,41 @@ class Engine:
     def formats(self) -> list[str]:
         return [f"{name}\t(priority {priority:.0f})" for name, priority, *_ in self.registry().ordered()]
 
-    def convert(self, sources: DataFrame, depth: int = 0) -> DataFrame:
+    def convert(self, sources: DataFrame) -> DataFrame:
         """(source_id, converter, status, markdown, title, error, attempts), from source_id (unique), content and any
-        of the hints mime_type, extension, charset, filename, local_path, url."""
+        of the hints mime_type, extension, charset, filename, local_path, url.
+
+        Sources that aren't archives are converted row by row. Archives are taken apart to all levels at once; their
+        entries go through the same pass, and one shuffle by source puts each archive's texts together. No job runs
+        before an action, and nothing is kept.
+        """
+        registry = self.registry()
+        found, tried = self._offered(sources, registry), dispatch.trying(registry)
+        if not self.defaults:
+            return self._outcomes(tried(found).select("source_id", "tries"))
+        archive = F.array_contains("candidates", "zip")
+        plain = tried(found.where(~archive)).select("source_id", "tries")
+        none = F.lit(None).cast("string")
+        tops = found.where(archive).withColumns({"path": F.lit(""), "name": none, "archive_error": none})
+        entries = unzip_trees(found.where(archive), archives.ArchiveLimits())
+        named = entries.withColumns({"extension": F.lower(extension(F.col("name"))), "filename": base_name(F.col("name"))})
+        tree = tops.unionByName(self._offered(named, registry, "path", "name", "archive_error"))
+        label = archives.archive_label(F.col("url"), F.col("local_path"), F.col("filename"))
+        done = tried(tree.withColumn("label", label))
+        neat = F.transform("tries", lambda t: F.struct(t["converter"].alias("converter"), normalize_markdown(t["markdown"], self.options.keep_data_uris).alias("markdown"), t["title"].alias("title"), t["error"].alias("error")))
+        whole = render_trees(done.select("source_id", "path", "name", "label", "archive_error", neat.alias("tries")))
+        return self._outcomes(plain.unionByName(whole))
+
+    @staticmethod
+    def _offered(sources: DataFrame, registry: dispatch.Registry, *others: str) -> DataFrame:
+        """Sources with all hints, what lacked filled in, and their candidates."""
         hints = {c: F.col(c) for c in SOURCE_COLUMNS if c in sources.columns}
         info = stream_info.enriched(hints, F.col("content"))
-        ready = sources.select("source_id", "content", *(info[c].alias(c) for c in SOURCE_COLUMNS))
-        return dispatch.convert_sources(ready, self.registry(depth), self.options.keep_data_uris)
+        known = sources.select("source_id", "content", info.alias("info"), *others)
+        return dispatch.offered(known.select("source_id", "content", *(F.col(f"info.{c}").alias(c) for c in SOURCE_COLUMNS), *others), registry)
 
-    def _convert_zip(self, rows: DataFrame, depth: int) -> DataFrame:
-        limits = archives.ArchiveLimits()
-        none = F.lit(None).cast("string")
-        if depth >= limits.depth:
-            return rows.select("source_id", none.alias("markdown"), none.alias("title"), F.lit(f"{LIMIT}: recursion depth limit of {limits.depth}").alias("error"))
-        entries = unzip(rows, limits).persist()
-        broken = archives.first_violation(entries.where("position >= 0"), "source_id", "position", "size", limits)
-        files = entries.where(F.col("content").isNotNull())
-        key = F.xxhash64("source_id", "position")
-        inner = files.select(key.alias("source_id"), "content", F.lower(extension(F.col("name"))).alias("extension"), base_name(F.col("name")).alias("filename"))
-        done = self.convert(inner, depth + 1)
-        placed = files.select("source_id", "position", "name", key.alias("key")).join(done.select(F.col("source_id").alias("key"), F.col("markdown").alias("md"), F.col("error").alias("inner_error")), "key")
-        deep = placed.where(F.contains("inner_error", F.lit(LIMIT))).groupBy("source_id").agg(F.min("inner_error").alias("deep"))
-        info = rows.select("source_id", "url", "local_path", "filename")
-        sections = info.join(placed, "source_id", "left")
-        text = archives.render_entries(sections, "source_id", "position", "name", "md", archives.archive_label(F.col("url"), F.col("local_path"), F.col("filename")))
-        errors = entries.where(F.col("error").isNotNull()).select("source_id", F.col("error").alias("unreadable"))
-        joined = text.join(broken.select("source_id", "violation"), "source_id", "left").join(deep, "source_id", "left").join(errors, "source_id", "left")
-        message = F.coalesce("unreadable", F.concat(F.lit(f"{LIMIT}: "), "violation"), F.when(F.col("deep").isNotNull(), F.lit(f"{LIMIT}: recursion depth limit of {limits.depth}")))
-        return joined.select("source_id", "markdown", F.lit("").alias("title"), message.alias("error"))
+    def _outcomes(self, rows: DataFrame) -> DataFrame:
+        return rows.select("source_id", *(c.alias(n) for n, c in dispatch.outcome(F.col("tries"), self.options.keep_data_uris).items()))
 
     # -- one document at a time
 
@@ -166,7 +238,16 @@ class Engine:
             raise uris.InvalidSource(f"not a source: {type(source).__name__}")
         info = {c: (hints.get(c) or base.get(c)) for c in SOURCE_COLUMNS}
         schema = "source_id long, content binary, " + ", ".join(f"{c} string" for c in SOURCE_COLUMNS)
-        row = self.convert(self.spark.createDataFrame([(0, bytearray(content), *info.values())], schema)).head()
+        given = self.spark.createDataFrame([(0, bytearray(content), *info.values())], schema)
+        registry = self.registry()
+        found = self._offered(given, registry).persist()
+        asked = found.head().candidates
+        if "zip" in asked and self.defaults:
+            row = self.convert(given).head()
+        else:  # a plan of what this document asks for alone
+            few = dispatch.Registry([e for e in registry.ordered() if e[0] in asked])
+            row = self._outcomes(dispatch.trying(few)(found).select("source_id", "tries")).head()
+        found.unpersist()
         if row.status == "ok":
             return Result(row.markdown, row.title or "")
         raise (FailedAttempts if row.attempts else UnsupportedFormat)(row.error)

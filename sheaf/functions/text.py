@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space, as a character class of Java's regular expressions.
 WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same characters as a plain string.
+WS_CHARACTERS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: White space that a data URI can't hold.
 BREAK = r"\t\n\f\r "
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value made once however often the body reads it, and written once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{WS}+", ""), rf"{WS}+\z", "")
+    return F.trim(text, F.lit(WS_CHARACTERS))
 
 
 def unix_lines(text: Column) -> Column:
@@ -22,12 +31,13 @@ def unix_lines(text: Column) -> Column:
 
 def rtrim_lines(text: Column) -> Column:
     """Each line without spaces and tabs at its end."""
-    return F.regexp_replace(text, r"[ \t]+(?=\n|\z)", "")
+    return F.regexp_replace(text, r"(?<![ \t])[ \t]++(?=\n|\z)", "")  # only whole runs are tried, each once
 
 
 def drop_empty_headings(text: Column) -> Column:
     """Without lines that hold nothing but # signs and spaces, one sign at least."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~line.rlike(rf"\A{WS}*#[# ]*{WS}*\z")), "\n")
+    kept = F.filter(F.split(text, "\n", -1), lambda line: ~(F.contains(line, F.lit("#")) & line.rlike(rf"\A{WS}*+#[# ]*+{WS}*+\z")))
+    return F.when(F.contains(text, F.lit("#")), F.array_join(kept, "\n")).otherwise(text)
 
 
 def truncate_data_uris(text: Column) -> Column:

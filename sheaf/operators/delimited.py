@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_function
-from ..functions.charset import decode_text
 from ..functions.tables import greatest_width, header_width, render_table
+from ..functions.text import let
+from .dispatch import Source, result
 
 
 class Malformed(ValueError):
@@ -69,8 +70,11 @@ def _strict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for text in batch:
+            if text is None:
+                out.append((None, None))
+                continue
             try:
-                out.append((parse_csv(text or ""), None))
+                out.append((parse_csv(text), None))
             except Malformed as e:
                 out.append((None, str(e)))
         yield pd.DataFrame(out, columns=["grid", "error"])
@@ -81,16 +85,17 @@ def _ragged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for text in batch:
+            if text is None:
+                out.append((None, None))
+                continue
             try:
-                out.append((parse_csv(text or "", ragged=True), None))
+                out.append((parse_csv(text, ragged=True), None))
             except Malformed as e:
                 out.append((None, str(e)))
         yield pd.DataFrame(out, columns=["grid", "error"])
 
 
-def convert_csv(rows: DataFrame, ragged: str = "error") -> DataFrame:
+def csv(source: Source, ragged: str = "error") -> Column:
     """ragged: "error" fails on records of another length, "pad" fills them up to the longest."""
-    parse = _ragged if ragged == "pad" else _strict
-    done = rows.select("source_id", parse(decode_text(F.col("content"), F.col("charset"))).alias("p"))
-    width = greatest_width(F.col("p.grid")) if ragged == "pad" else header_width(F.col("p.grid"))
-    return done.select("source_id", render_table(F.col("p.grid"), width).alias("markdown"), F.lit("").alias("title"), F.col("p.error").alias("error"))
+    parse, width = (_ragged, greatest_width) if ragged == "pad" else (_strict, header_width)
+    return let(parse(source.text), lambda p: result(render_table(p["grid"], width(p["grid"])), None, p["error"]))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_markdown
+from ..functions.charset import decode_text
+from ..functions.text import let, normalize_markdown
 
 ATTEMPTS = "array<struct<converter:string,error:string>>"
 
@@ -34,6 +34,9 @@ ACCEPTED = {
 #: The converters' priorities; lower ones are tried first.
 PRIORITIES = {"ipynb": 10, "docx": 12, "pptx": 13, "pdf": 14, "xlsx": 15, "xls": 16, "csv": 20, "epub": 25, "rss": 30, "zip": 35, "html": 40, "text": 100}
 
+#: Converters that read bytes and no text.
+BINARY = ("docx", "pptx", "pdf", "xlsx", "xls", "epub", "zip")
+
 
 def xml_root(content: Column) -> Column:
     """The local name of an XML text's first element, in lower case; null without one."""
@@ -68,13 +71,33 @@ def accepts(name: str, ext: Column, mime: Column, content: Column) -> Column:
     return hinted
 
 
+@dataclass(frozen=True)
+class Source:
+    """What a converter reads: a row's bytes, and its text by its charset. Both are null in rows that aren't for it."""
+
+    content: Column
+    text: Column
+
+
+def result(markdown: Column, title: Column | None = None, error: Column | None = None) -> Column:
+    """What a converter returns: a null error is success, "unsupported" isn't noted as an attempt."""
+    none = F.lit(None).cast("string")
+    return F.struct(markdown.alias("markdown"), (F.lit("") if title is None else title).alias("title"), (none if error is None else error).alias("error"))
+
+
+def converted(rows: DataFrame, convert: Callable[[Source], Column]) -> DataFrame:
+    """(source_id, markdown, title, error) of all rows by one converter; rows: source_id, content, charset."""
+    read = rows.select("source_id", "content", decode_text(F.col("content"), F.col("charset") if "charset" in rows.columns else F.lit(None).cast("string")).alias("text"))
+    return read.select("source_id", convert(Source(F.col("content"), F.col("text"))).alias("r")).select("source_id", "r.markdown", "r.title", "r.error")
+
+
 @dataclass
 class Registry:
-    """Converters by name: (priority, accept(ext, mime, content), convert(DataFrame))."""
+    """Converters by name: (priority, accept(ext, mime, content), convert(Source) -> result(...))."""
 
     entries: list[tuple[str, float, Callable, Callable]] = field(default_factory=list)
 
-    def register(self, name: str, priority: float, accept: Callable[[Column, Column, Column], Column], convert: Callable[[DataFrame], DataFrame]) -> None:
+    def register(self, name: str, priority: float, accept: Callable[[Column, Column, Column], Column], convert: Callable[[Source], Column]) -> None:
         self.entries.append((name, float(priority), accept, convert))
 
     def ordered(self) -> list[tuple[str, float, Callable, Callable]]:
@@ -93,58 +116,66 @@ def default_entries() -> list[tuple[str, float, Callable]]:
     return [(name, priority, lambda e, m, c, name=name: accepts(name, e, m, c)) for name, priority in ordered]
 
 
+TRIES = "array<struct<converter:string,markdown:string,title:string,error:string>>"
+
+
+def offered(sources: DataFrame, registry: Registry) -> DataFrame:
+    """sources with the names of the converters that accept each row."""
+    entries = [(n, p, a) for n, p, a, _ in registry.ordered()]
+    hints = F.struct(F.col("extension").alias("e"), F.col("mime_type").alias("m"))
+    return sources.withColumn("candidates", let(hints, lambda h: candidates(entries, h["e"], h["m"], F.col("content"))))
+
+
+def trying(registry: Registry) -> Callable[[DataFrame], DataFrame]:
+    """A step that puts `tries` in place of the content of rows (with content, charset and candidates): what each of a
+    row's candidates gives, first to be tried first. Its columns are made once, for any number of frames.
+
+    One pass over the rows, without a shuffle: every converter is a column that is null in rows that aren't for it, so
+    a Python function only gets its own format. Most rows have one candidate, or one and plain text.
+    """
+    text = F.when(F.arrays_overlap("candidates", F.array(*(F.lit(n) for n, *_ in registry.ordered() if n not in BINARY)) if registry.entries else F.array().cast("array<string>")), F.col("content"))
+    decoded = decode_text(text, F.col("charset"))
+    found = []
+    for name, _, _, convert in registry.ordered():
+        mine = F.array_contains("candidates", name)
+        r = convert(Source(F.when(mine, F.col("content")), F.when(mine, F.col("__text"))))
+        found.append(F.when(mine, F.struct(F.lit(name).alias("converter"), r)))
+    flat = lambda c: F.struct(c["converter"].alias("converter"), c["col2"]["markdown"].alias("markdown"), c["col2"]["title"].alias("title"), c["col2"]["error"].alias("error"))
+    tries = F.array(*(F.when(F.col(f"__r{i}").isNotNull(), flat(F.col(f"__r{i}"))) for i in range(len(found)))).cast(TRIES)
+    tries = F.filter(tries, lambda t: t.isNotNull()).alias("tries")
+
+    def step(rows: DataFrame) -> DataFrame:
+        # each converter's result is made once, then the results are put together
+        made = rows.withColumn("__text", decoded).select(*rows.columns, *(f.alias(f"__r{i}") for i, f in enumerate(found)))
+        return made.select(*(c for c in rows.columns if c != "content"), tries)
+
+    return step
+
+
+def outcome(tries: Column, keep_data_uris: bool = False) -> dict[str, Column]:
+    """converter, status, markdown, title, error and attempts of a row: its first success, and the errors before it.
+    A row without a success has the status "failed", or "unsupported" if no attempt was noted."""
+    at = F.array_position(F.transform(tries, lambda t: t["error"].isNull()), True).cast("int")
+    first = F.get(tries, F.when(at > 0, at - 1))
+    before = let(at, lambda n: F.slice(tries, F.lit(1), F.when(n > 0, n - 1).otherwise(F.size(tries))))
+    noted = F.transform(F.filter(before, lambda t: t["error"] != "unsupported"), lambda t: F.struct(t["converter"].alias("converter"), t["error"].alias("error")))
+    message = F.array_join(F.transform(noted, lambda a: F.concat(a["converter"], F.lit(": "), a["error"])), "; ")
+    some = F.size(noted) > 0
+    return {
+        "converter": first["converter"],
+        "status": F.when(at > 0, "ok").when(some, "failed").otherwise("unsupported"),
+        "markdown": F.when(at > 0, normalize_markdown(F.coalesce(first["markdown"], F.lit("")), keep_data_uris)),
+        "title": first["title"],
+        "error": F.when(at > 0, None).when(some, message).otherwise("unsupported format"),
+        "attempts": noted.cast(ATTEMPTS),
+    }
+
+
 def convert_sources(sources: DataFrame, registry: Registry, keep_data_uris: bool = False) -> DataFrame:
-    """(source_id, converter, status, markdown, title, error, attempts) of each source.
-
-    sources: source_id (unique), content, mime_type, extension, charset, filename, local_path, url. A converter gets
-    such rows and returns (source_id, markdown, title, error); a null error is success, "unsupported" isn't noted.
-    The first pass runs each row's first candidate, split by converter, so a Python worker only gets its own format,
-    and moves no content. Later passes, at most as many as there are converters, join the few rows that failed with
-    their content again; a pass's results are kept, so nothing is converted twice. Sources that no converter accepts,
-    or for which all say "unsupported", have the status "unsupported".
+    """(source_id, converter, status, markdown, title, error, attempts) of each source, row by row.
+
+    sources: source_id, content, mime_type, extension, charset. All candidates of a row are tried in the same pass, and
+    the first that succeeds in order of priority counts; so nothing is joined back, and no job runs before an action.
     """
-    entries = registry.ordered()
-    if not entries:
-        none = lambda: F.lit(None).cast("string")
-        return sources.select("source_id", none().alias("converter"), F.lit("unsupported").alias("status"), none().alias("markdown"), none().alias("title"), F.lit("unsupported format").alias("error"), F.array().cast(ATTEMPTS).alias("attempts"))
-    tests = candidates([(n, p, a) for n, p, a, _ in entries], F.col("extension"), F.col("mime_type"), F.col("content"))
-    # kept on disk: hints and candidates are long expressions, which every later filter would repeat
-    offered = sources.withColumn("candidates", tests).persist(StorageLevel.DISK_ONLY)
-    sources = offered.drop("candidates")
-
-    def tried(rows: DataFrame) -> DataFrame:
-        """Converts rows with a column `converter`."""
-        out = None
-        # which converters are asked for at all: at most as many names as there are converters
-        asked = {r[0] for r in rows.select("converter").where(F.col("converter").isNotNull()).distinct().collect()}
-        for name, _, _, convert in entries:
-            if name in asked:
-                part = convert(rows.where(F.col("converter") == name)).select("source_id", F.lit(name).alias("converter"), "markdown", "title", "error")
-                out = part if out is None else out.unionByName(part)
-        if out is None:
-            out = rows.where("false").select("source_id", "converter", *(F.lit(None).cast("string").alias(c) for c in ("markdown", "title", "error")))
-        return out.persist(StorageLevel.DISK_ONLY)
-
-    state = offered.select("source_id", "candidates", F.array().cast(ATTEMPTS).alias("attempts"))
-    current, done = offered.withColumn("converter", F.get("candidates", F.lit(0))), []
-    for k in range(len(entries)):
-        results = tried(current)
-        good = results.where(F.col("error").isNull())
-        done.append(good.join(state.select("source_id", "attempts"), "source_id").select("source_id", "converter", F.lit("ok").alias("status"), normalize_markdown(F.coalesce("markdown", F.lit("")), keep_data_uris).alias("markdown"), "title", F.lit(None).cast("string").alias("error"), "attempts"))
-        bad = results.where(F.col("error").isNotNull()).select("source_id", F.col("converter").alias("by"), F.col("error").alias("why"))
-        noted = F.when(F.col("why") != "unsupported", F.concat("attempts", F.array(F.struct(F.col("by").alias("converter"), F.col("why").alias("error"))))).otherwise(F.col("attempts"))
-        failing = state.join(bad, "source_id").withColumn("attempts", noted).select("source_id", "candidates", "attempts")
-        if k == 0:
-            failing = failing.unionByName(state.where(F.size("candidates") == 0))
-        over = failing.where(F.size("candidates") <= k + 1)
-        message = F.array_join(F.transform("attempts", lambda a: F.concat(a["converter"], F.lit(": "), a["error"])), "; ")
-        some = F.size("attempts") > 0
-        done.append(over.select("source_id", F.lit(None).cast("string").alias("converter"), F.when(some, "failed").otherwise("unsupported").alias("status"), F.lit(None).cast("string").alias("markdown"), F.lit(None).cast("string").alias("title"), F.when(some, message).otherwise("unsupported format").alias("error"), "attempts"))
-        state = failing.where(F.size("candidates") > k + 1).persist(StorageLevel.DISK_ONLY)
-        if state.isEmpty():
-            break
-        current = sources.join(state.select("source_id", F.get("candidates", F.lit(k + 1)).alias("converter")), "source_id")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    done = trying(registry)(offered(sources, registry))
+    return done.select("source_id", *(c.alias(n) for n, c in outcome(F.col("tries"), keep_data_uris).items()))

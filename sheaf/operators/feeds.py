@@ -7,12 +7,12 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_function
-from ..functions.charset import decode_text
-from ..functions.text import trim_ws
+from ..functions.text import let, trim_ws
+from .dispatch import Source, result
 from .html import html_to_markdown
 
 FEED = "struct<kind:string,title:string,about:string,items:array<struct<title:string,date:string,body:string>>,error:string>"
@@ -62,7 +62,7 @@ def parse_feed(text: str) -> tuple:
 @arrow_function(FEED)
 def read_feed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = [parse_feed(x or "") for x in batch]
+        out = [(None,) * 5 if x is None else parse_feed(x) for x in batch]
         frame = pd.DataFrame(out, columns=["kind", "title", "about", "items", "error"])
         frame["items"] = [None if i is None else [{"title": t, "date": d, "body": b} for t, d, b in i] for i in frame["items"]]
         yield frame
@@ -77,6 +77,5 @@ def render_feed(feed: Column) -> Column:
     return F.concat_ws("\n\n", F.concat(F.lit("# "), some(feed["title"])), some(feed["about"]), F.nullif(F.array_join(sections, "\n\n"), F.lit("")))
 
 
-def convert_feed(rows: DataFrame) -> DataFrame:
-    done = rows.select("source_id", read_feed(decode_text(F.col("content"), F.col("charset"))).alias("f"))
-    return done.select("source_id", render_feed(F.col("f")).alias("markdown"), trim_ws(F.col("f.title")).alias("title"), F.col("f.error").alias("error"))
+def feed(source: Source) -> Column:
+    return let(read_feed(source.text), lambda f: result(render_feed(f), trim_ws(f["title"]), f["error"]))

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_function
-from ..functions.charset import decode_text
-from ..functions.text import trim_ws
+from ..functions.text import let, trim_ws
+from .dispatch import Source, result
 
 #: Elements whose content isn't shown, elements without content, and elements that stand alone.
 HIDDEN = {"script", "style", "head", "noscript", "iframe", "input", "textarea", "template"}
@@ -246,6 +246,5 @@ def title_of(html: Column) -> Column:
     return trim_ws(out)
 
 
-def convert_html(rows: DataFrame) -> DataFrame:
-    done = rows.select("source_id", render_html(decode_text(F.col("content"), F.col("charset"))).alias("r"))
-    return done.select("source_id", "r.markdown", "r.title", F.lit(None).cast("string").alias("error"))
+def html(source: Source) -> Column:
+    return let(render_html(source.text), lambda r: result(r["markdown"], r["title"]))

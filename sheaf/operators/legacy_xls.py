@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.tables import drop_blank_rows, greatest_width, render_table
-from .office import BUILT_IN, GRID, general, reader, shown_number
+from .dispatch import Source
+from .office import BUILT_IN, GRID, general, read_once, reader, shown_number
 
 #: The compound file's signature and its marks for sectors that end a chain or aren't used.
 SIGNATURE = bytes.fromhex("D0CF11E0A1B11AE1")
@@ -228,12 +229,11 @@ def parse_xls(data: bytes) -> list[dict]:
 read_xls = reader(parse_xls, f"array<struct<name:string,grid:{GRID}>>")
 
 
-def convert_xls(rows: DataFrame) -> DataFrame:
+def xls(source: Source) -> Column:
     """A heading for each sheet and its table without blank rows."""
-    done = rows.select("source_id", read_xls("content").alias("p"))
 
     def sheet(s):
         grid = drop_blank_rows(s["grid"])
         return F.concat_ws("\n\n", F.concat(F.lit("## "), s["name"]), F.nullif(render_table(grid, greatest_width(grid)), F.lit("")))
 
-    return done.select("source_id", F.array_join(F.transform("p.value", sheet), "\n\n").alias("markdown"), F.lit("").alias("title"), F.col("p.error").alias("error"))
+    return read_once(read_xls(source.content), lambda sheets: F.array_join(F.transform(sheets, sheet), "\n\n"))

@@ -6,12 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_function
-from ..functions.charset import decode_text
-from ..functions.text import trim_ws
+from ..functions.text import let, trim_ws
+from .dispatch import Source, result
 
 NOTEBOOK = "struct<language:string,cells:array<struct<kind:string,source:string,outputs:array<string>>>,error:string>"
 
@@ -47,7 +47,7 @@ def parse_notebook(text: str) -> tuple:
 @arrow_function(NOTEBOOK)
 def read_notebook(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([parse_notebook(x or "") for x in batch], columns=["language", "cells", "error"])
+        yield pd.DataFrame([(None, None, None) if x is None else parse_notebook(x) for x in batch], columns=["language", "cells", "error"])
 
 
 def render_notebook(book: Column) -> Column:
@@ -65,6 +65,5 @@ def render_notebook(book: Column) -> Column:
     return F.array_join(F.filter(F.transform(book["cells"], cell), lambda x: x != ""), "\n\n")
 
 
-def convert_notebook(rows: DataFrame) -> DataFrame:
-    done = rows.select("source_id", read_notebook(decode_text(F.col("content"), F.col("charset"))).alias("n"))
-    return done.select("source_id", render_notebook(F.col("n")).alias("markdown"), F.lit("").alias("title"), F.col("n.error").alias("error"))
+def notebook(source: Source) -> Column:
+    return let(read_notebook(source.text), lambda n: result(render_notebook(n), None, n["error"]))

@@ -12,13 +12,15 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_function
 from ..functions.charset import decode_bytes
 from ..functions.tables import greatest_width, render_table
-from ..functions.text import escape_cell, trim_ws
+from ..functions.text import escape_cell, let, trim_ws
+from .archives import book_metadata
+from .dispatch import Source, result
 from .feeds import local
 from .html import html_to_markdown
 
@@ -458,8 +460,11 @@ def reader(parse: Callable[[bytes], object], kind: str):
         for batch in batches:
             out = []
             for data in batch:
+                if data is None:  # a row that isn't for this converter
+                    out.append((None, None))
+                    continue
                 try:
-                    out.append((parse(bytes(data or b"")), None))
+                    out.append((parse(bytes(data)), None))
                 except Unsupported:
                     out.append((None, "unsupported"))
                 except Exception as e:  # noqa: BLE001  broken files fail in many ways
@@ -476,27 +481,24 @@ read_pptx = reader(parse_pptx, "array<struct<title:string,blocks:array<string>,n
 read_epub = reader(parse_epub, "struct<title:string,creators:array<string>,language:string,publisher:string,date:string,description:string,identifier:string,chapters:array<string>>")
 
 
-def _converted(rows: DataFrame, read, markdown: Callable[[Column], Column], title: Callable[[Column], Column]) -> DataFrame:
-    done = rows.select("source_id", read("content").alias("p"))
-    value = F.col("p.value")
-    return done.select("source_id", markdown(value).alias("markdown"), title(value).alias("title"), F.col("p.error").alias("error"))
+def read_once(parsed: Column, markdown: Callable[[Column], Column], title: Callable[[Column], Column] | None = None) -> Column:
+    """A converter's result from struct<value, error>."""
+    return let(parsed, lambda p: result(markdown(p["value"]), title(p["value"]) if title else None, p["error"]))
 
 
-def convert_xlsx(rows: DataFrame) -> DataFrame:
-    return _converted(rows, read_xlsx, render_sheets, lambda v: F.lit(""))
+def xlsx(source: Source) -> Column:
+    return read_once(read_xlsx(source.content), render_sheets)
 
 
-def convert_docx(rows: DataFrame) -> DataFrame:
+def docx(source: Source) -> Column:
     block = lambda b: F.when(b["grid"].isNotNull(), render_table(b["grid"], greatest_width(b["grid"]), cell_with_breaks)).otherwise(styled_paragraph(b["style"], b["text"]))
-    return _converted(rows, read_docx, lambda v: F.array_join(F.filter(F.transform(v["blocks"], block), lambda x: x != ""), "\n\n"), lambda v: v["title"])
-
+    return read_once(read_docx(source.content), lambda v: F.array_join(F.filter(F.transform(v["blocks"], block), lambda x: x != ""), "\n\n"), lambda v: v["title"])
 
-def convert_pptx(rows: DataFrame) -> DataFrame:
-    return _converted(rows, read_pptx, render_slides, lambda v: F.nullif(F.get(v, F.lit(0))["title"], F.lit("")))
 
+def pptx(source: Source) -> Column:
+    return read_once(read_pptx(source.content), render_slides, lambda v: F.nullif(F.get(v, F.lit(0))["title"], F.lit("")))
 
-def convert_epub(rows: DataFrame) -> DataFrame:
-    from .archives import book_metadata
 
+def epub(source: Source) -> Column:
     about = lambda v: F.nullif(book_metadata(*(v[n] for n in ("title", "creators", "language", "publisher", "date", "description", "identifier"))), F.lit(""))
-    return _converted(rows, read_epub, lambda v: F.concat_ws("\n\n", about(v), F.nullif(F.array_join(v["chapters"], "\n\n"), F.lit(""))), lambda v: v["title"])
+    return read_once(read_epub(source.content), lambda v: F.concat_ws("\n\n", about(v), F.nullif(F.array_join(v["chapters"], "\n\n"), F.lit(""))), lambda v: v["title"])

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import trim_ws
-from .layout import layout_blocks
-from .office import reader
+from ..functions.text import let, trim_ws
+from .dispatch import Source
+from .layout import layout_lines, render_lines
+from .office import read_once, reader
 
 #: Names that choose this reader.
 BACKENDS = ("", "auto", "purego")
@@ -326,10 +327,11 @@ def parse_pdf(data: bytes) -> str:
 read_pdf = reader(parse_pdf, "string")
 
 
-def convert_pdf(rows: DataFrame, backend: str = "auto", keep_unmatched: bool = False) -> DataFrame:
+def pdf(source: Source, backend: str = "auto", keep_unmatched: bool = False) -> Column:
     """Extracted text, its tables found by their layout. The backend's name is checked before anything is planned."""
     check_backend(backend)
-    done = rows.select("source_id", read_pdf("content").alias("p"))
-    pages = done.select("source_id", F.col("p.value").alias("text"), F.col("p.error").alias("error"))
-    blocks = layout_blocks(pages.where(F.col("error").isNull()), "source_id", "text", keep_unmatched)
-    return pages.select("source_id", "error").join(blocks, "source_id", "left").select("source_id", trim_ws(F.col("markdown")).alias("markdown"), F.lit("").alias("title"), "error")
+
+    def laid_out(text: Column) -> Column:
+        return let(layout_lines(text), lambda rows: trim_ws(render_lines(rows, keep_unmatched)))
+
+    return read_once(read_pdf(source.content), laid_out)

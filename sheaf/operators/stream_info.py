@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, extension
+from ..functions.text import base_name, extension, let
 
 FIELDS = ("mime_type", "extension", "charset", "filename", "local_path", "url")
 
@@ -123,15 +123,20 @@ def sniffed_type(content: Column) -> Column:
     return out.when(control, "application/octet-stream").otherwise("text/plain; charset=utf-8")
 
 
-def enriched(info: dict[str, Column], content: Column) -> dict[str, Column]:
-    """What lacks is filled in: the type from the extension, else from the content; the extension from the type. A
+def enriched(info: dict[str, Column], content: Column) -> Column:
+    """A struct of all fields. What lacks is filled in: the type from the extension, else from the content; the extension from the type. A
     charset that was given stays."""
-    info = normalized(info)
-    known = type_of_extension(info["extension"])
-    guess = F.coalesce(info["mime_type"], known)
-    seen = sniffed_type(content)
-    seen = F.when(seen == "application/octet-stream", None).otherwise(seen)
-    kind = F.coalesce(guess, seen)
-    by_kind = F.when(info["mime_type"].isNull(), media_charset(kind))
-    mime = media_type(kind)
-    return info | {"mime_type": mime, "charset": F.coalesce(info["charset"], by_kind), "extension": F.coalesce(info["extension"], extension_of_type(mime))}
+    given = F.struct(*(c.alias(n) for n, c in normalized(info).items()))
+
+    def filled(given: Column) -> Column:
+        known = F.coalesce(given["mime_type"], type_of_extension(given["extension"]))
+        seen = F.when(known.isNull(), let(sniffed_type(content), lambda s: F.nullif(s, F.lit("application/octet-stream"))))
+        return let(F.coalesce(known, seen), lambda kind: with_type(given, kind))
+
+    def with_type(given: Column, kind: Column) -> Column:
+        mime = media_type(kind)
+        by_kind = F.when(given["mime_type"].isNull(), media_charset(kind))
+        more = {"mime_type": mime, "charset": F.coalesce(given["charset"], by_kind), "extension": F.coalesce(given["extension"], extension_of_type(mime))}
+        return F.struct(*(more.get(n, given[n]).alias(n) for n in FIELDS))
+
+    return let(given, filled)

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..engine import Engine
+from ..functions.arrow import arrow_function
 from ..functions.charset import decode_text
 from ..functions.tables import drop_blank_rows, render_table
 from ..functions.text import inline_text, normalize_markdown, truncate_data_uris
-from ..operators import archives, delimited, dispatch, feeds, html, layout, notebooks, office, stream_info
+from ..operators import archives, delimited, dispatch, feeds, html, layout, legacy_xls, notebooks, office, pdf, stream_info
 from ..sources import uris
+from . import packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -124,12 +127,15 @@ def q06_data_uri_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 HINTED = [(".ipynb", None, "ipynb", 2), (".docx", None, "docx", 2), (".pptx", None, "pptx", 2), (None, "application/pdf", "pdf", 2), (".xlsx", None, "xlsx", 2), (None, "application/vnd.ms-excel", "xls", 2), (".csv", None, "csv", 2), (None, "application/epub+zip", "epub", 2), (".rss", None, "rss", 2), (".zip", None, "zip", 2), (None, "text/html", "html", 2), (".md", None, "text", 1), (None, "application/json", "text", 1), (".xml", None, "text", 1)]
 
 
-@query("SELECT doc_id, CASE doc_id % 14 " + " ".join(f"WHEN {i} THEN '{x[2]}'" for i, x in enumerate(HINTED)) + " END AS converter, CASE WHEN doc_id % 14 < 11 THEN 2 ELSE 1 END::BIGINT AS accepted FROM documents")
+#: Whether the first 1024 bytes are whole characters: the next byte, if there is one, starts a character.
+SQL_TEXT = "substr(hex(encode(text)), 2049, 1) NOT IN ('8', '9', 'A', 'B')"
+
+
+@query("SELECT doc_id, CASE doc_id % 14 " + " ".join(f"WHEN {i} THEN '{x[2]}'" for i, x in enumerate(HINTED)) + f" END AS converter, CASE WHEN doc_id % 14 IN (6, 10) OR doc_id % 14 < 11 AND {SQL_TEXT} THEN 2 ELSE 1 END::BIGINT AS accepted FROM documents")
 def q07_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     pick = lambda k: F.get(F.array(*(F.lit(x[k]) for x in HINTED)), (F.col("doc_id") % 14).cast("int"))
-    # a text cut within a character isn't valid at its 1024th byte; here all contents are whole
-    names = dispatch.candidates(dispatch.default_entries(), pick(0), pick(1), F.encode(F.substring("text", 1, 200), "utf-8"))
+    names = dispatch.candidates(dispatch.default_entries(), pick(0), pick(1), F.encode("text", "utf-8"))
     return docs.select("doc_id", F.get(names, F.lit(0)).alias("converter"), F.size(names).cast("long").alias("accepted"))
 
 
@@ -138,7 +144,7 @@ SQL_EVEN = "list_count(list_distinct(list_transform(list_filter(string_split(t,
 
 def _plain_registry() -> dispatch.Registry:
     registry = dispatch.Registry()
-    registry.register("csv", 20, lambda e, m, c: dispatch.accepts("csv", e, m, c), delimited.convert_csv)
+    registry.register("csv", 20, lambda e, m, c: dispatch.accepts("csv", e, m, c), delimited.csv)
     return registry
 
 
@@ -147,14 +153,10 @@ def _text_sources(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return docs.select(F.col(key).alias("source_id"), F.encode(text, "utf-8").alias("content"), none.alias("mime_type"), F.lit(".csv").alias("extension"), none.alias("charset"), none.alias("filename"), none.alias("local_path"), none.alias("url"))
 
 
-def convert_plain(rows: DataFrame) -> DataFrame:
-    return rows.select("source_id", decode_text(F.col("content"), F.col("charset")).alias("markdown"), F.lit("").alias("title"), F.lit(None).cast("string").alias("error"))
-
-
 @query(f"""WITH d AS (SELECT doc_id, replace(text, '"', '') AS t FROM documents) SELECT doc_id AS source_id, CASE WHEN {SQL_EVEN} THEN 'csv' ELSE 'text' END AS converter, 'ok' AS status FROM d""")
 def q08_csv_fallthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = _plain_registry()
-    registry.register("text", 100, lambda e, m, c: dispatch.accepts("text", e, m, c), convert_plain)
+    registry.register("text", 100, lambda e, m, c: dispatch.accepts("text", e, m, c), lambda source: dispatch.result(source.text))
     sources = _text_sources(read(spark, sf_dir, "documents"), "doc_id", F.replace("text", F.lit('"'), F.lit("")))
     return dispatch.convert_sources(sources, registry).select("source_id", "converter", "status")
 
@@ -200,36 +202,35 @@ def _xml(value: Column) -> Column:
     return F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def _feed(docs: DataFrame, key: str, item: Callable[[], Column], start: str, middle: str, end: str) -> DataFrame:
-    """Each document is a feed of one item, parsed and rendered as a row; only the rendered sections are put together."""
-    body = F.replace(F.replace("text", F.lit("<"), F.lit("(")), F.lit(">"), F.lit(")"))
-    rows = docs.withColumn("body", _xml(body))
-    xml = F.concat(F.lit(start), _xml(F.col(key)), F.lit(middle), item(), F.lit(end))
-    none = F.lit(None).cast("string")
-    source = F.struct(F.col(key).alias("feed"), "doc_id")
-    done = feeds.convert_feed(rows.select(source.alias("source_id"), F.encode(xml, "utf-8").alias("content"), none.alias("charset")))
-    heading = F.concat(F.lit("# "), F.nullif(F.col("title"), F.lit("")))
-    section = F.when(F.startswith("markdown", F.concat(heading, F.lit("\n\n"))), F.expr("substring(markdown, length(title) + 5)")).otherwise(F.col("markdown"))
-    parts = done.select(F.col("source_id.feed").alias("feed"), F.col("source_id.doc_id").alias("doc_id"), heading.alias("heading"), section.alias("section"))
-    whole = parts.groupBy("feed").agg(F.min("heading").alias("heading"), ordered("doc_id", "section", "\n\n").alias("sections"))
-    return whole.select(F.col("feed").alias("source_id"), F.concat_ws("\n\n", "heading", "sections").alias("markdown"))
+def _feeds(docs: DataFrame, start: Column, *items: Column, end: str) -> DataFrame:
+    """(doc_id, content): a feed of a document, as bytes."""
+    return docs.select(F.col("doc_id").alias("source_id"), F.encode(F.concat(start, *items, F.lit(end)), "utf-8").alias("content"))
+
+
+def _plain_body() -> Column:
+    return _xml(F.replace(F.replace("text", F.lit("<"), F.lit("(")), F.lit(">"), F.lit(")")))
 
 
 SQL_BODY = sql_trim("replace(replace(text, '<', '('), '>', ')')")
+SQL_GAP = "chr(10) || chr(10)"
 
 
-@query(f"""SELECT source AS feed, '# ' || source || chr(10) || chr(10) || string_agg('## Item ' || doc_id || chr(10) || chr(10) || 'Published on: day ' || doc_id || CASE WHEN {SQL_BODY} = '' THEN '' ELSE chr(10) || chr(10) || {SQL_BODY} END, chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM documents GROUP BY source""")
+@query(f"""SELECT doc_id, '# ' || source || {SQL_GAP} || '## Item ' || doc_id || {SQL_GAP} || 'Published on: day ' || doc_id || CASE WHEN {SQL_BODY} = '' THEN '' ELSE {SQL_GAP} || {SQL_BODY} END || {SQL_GAP} || '## Size' || {SQL_GAP} || '**' || length(text) || '** characters' AS markdown FROM documents""")
 def q13_rss_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = lambda: F.concat(F.lit("<item><title> Item "), "doc_id", F.lit("</title><pubDate>day "), "doc_id", F.lit("</pubDate><description>"), "body", F.lit("</description></item>"))
-    done = _feed(read(spark, sf_dir, "documents"), "source", item, '<?xml version="1.0"?><rss version="2.0"><channel><title>', "</title>", "</channel></rss>")
-    return done.select(F.col("source_id").alias("feed"), "markdown")
+    one = F.concat(F.lit("<item><title> Item "), "doc_id", F.lit("</title><pubDate>day "), "doc_id", F.lit("</pubDate><description>"), _plain_body(), F.lit("</description></item>"))
+    two = F.concat(F.lit("<item><title>Size</title><description>unused</description><content:encoded><![CDATA[<p><b>"), F.length("text"), F.lit("</b> characters</p>]]></content:encoded></item>"))
+    start = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>'), _xml(F.col("source")), F.lit("</title>"))
+    done = dispatch.converted(_feeds(read(spark, sf_dir, "documents"), start, one, two, end="</channel></rss>"), feeds.feed)
+    return done.select(F.col("source_id").alias("doc_id"), "markdown")
 
 
-@query(f"""SELECT lang AS feed, '# ' || lang || chr(10) || chr(10) || string_agg('## Entry ' || doc_id || chr(10) || chr(10) || 'Updated on: ' || doc_id || CASE WHEN {SQL_BODY} = '' THEN '' ELSE chr(10) || chr(10) || {SQL_BODY} END, chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM documents GROUP BY lang""")
+@query(f"""SELECT doc_id, '# ' || lang || {SQL_GAP} || '## Entry ' || doc_id || {SQL_GAP} || 'Updated on: ' || doc_id || CASE WHEN {SQL_BODY} = '' THEN '' ELSE {SQL_GAP} || {SQL_BODY} END AS markdown FROM documents""")
 def q14_atom_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = lambda: F.concat(F.lit("<entry><title>Entry "), "doc_id", F.lit("</title><updated>"), "doc_id", F.lit("</updated>"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<summary>none</summary><content>"), "body", F.lit("</content>"))).otherwise(F.concat(F.lit("<summary>"), "body", F.lit("</summary>"))), F.lit("</entry>"))
-    done = _feed(read(spark, sf_dir, "documents"), "lang", item, '<feed xmlns="http://www.w3.org/2005/Atom"><title>', "</title>", "</feed>")
-    return done.select(F.col("source_id").alias("feed"), "markdown")
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<summary>unused</summary><content>"), _plain_body(), F.lit("</content>"))).otherwise(F.concat(F.lit("<summary>"), _plain_body(), F.lit("</summary>")))
+    entry = F.concat(F.lit("<entry><title>Entry "), "doc_id", F.lit("</title><updated>"), "doc_id", F.lit("</updated>"), body, F.lit("</entry><entry/>"))
+    start = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>'), _xml(F.col("lang")), F.lit("</title>"))
+    done = dispatch.converted(_feeds(read(spark, sf_dir, "documents"), start, entry, end="</feed>"), feeds.feed)
+    return done.select(F.col("source_id").alias("doc_id"), "markdown")
 
 
 SQL_FENCE = "chr(96) || chr(96) || chr(96)"
@@ -244,7 +245,7 @@ def q15_notebook_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell")))).alias("c"))
     whole = F.to_json(F.struct(F.lit(4).alias("nbformat"), F.struct(F.struct(F.lit("python").alias("name")).alias("language_info")).alias("metadata"), F.transform("c", lambda x: x["cell"]).alias("cells")))
     none = F.lit(None).cast("string")
-    done = notebooks.convert_notebook(book.select(F.col("conv_id").alias("source_id"), F.encode(whole, "utf-8").alias("content"), none.alias("charset")))
+    done = dispatch.converted(book.select(F.col("conv_id").alias("source_id"), F.encode(whole, "utf-8").alias("content"), none.alias("charset")), notebooks.notebook)
     return done.select(F.col("source_id").alias("conv_id"), "markdown")
 
 
@@ -306,7 +307,7 @@ SELECT d.doc_id, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY pos), ''
 @query(SQL_LAYOUT)
 def q21_pdf_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("page", F.replace("text", F.lit(" | "), F.lit("   ")))
-    return layout.layout_blocks(docs, "doc_id", "page")
+    return layout.layout_markdown(docs, "page").select("doc_id", "markdown")
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'https://example.com/' || c_nationkey WHEN 1 THEN 'ppt/media/' || c_nationkey || '.png' WHEN 2 THEN 'ppt/slides/a/' || n_name WHEN 3 THEN 'abs/' || c_nationkey ELSE '../x' END AS target FROM customer JOIN nation ON c_nationkey = n_nationkey""")
@@ -349,22 +350,33 @@ def q26_html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", html.render_html(nav)["markdown"].alias("links"))
 
 
-@query()
+def sql_escaped(x: str) -> str:
+    """Text as Markdown: a backslash before what would mean something."""
+    return rf"regexp_replace({x}, '([\\\\`*_\\[\\]])', '\\\\\\1', 'g')"
+
+
+@query(f"""SELECT p_partkey, p_name AS title, '## ' || {sql_escaped('p_name')} || {SQL_GAP} || 'A **' || {sql_escaped('p_brand')} || '** of *' || {sql_escaped('lower(p_type)')} || '*, see [size ' || p_size || '](/parts/' || p_partkey || ')' || {SQL_GAP} || '- first' || chr(10) || '- ' || {sql_escaped('p_brand')} || {SQL_GAP} || '1. one' || chr(10) || '2. two' || {SQL_GAP} || '> kept' || {SQL_GAP} || {SQL_FENCE} || chr(10) || p_type || chr(10) || {SQL_FENCE} AS markdown FROM part""")
 def q27_html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", html.render_html(F.col("html")).alias("r"))
-    return pages.select("page_id", normalize_markdown(F.col("r.markdown")).alias("markdown"), "r.title")
+    parts = read(spark, sf_dir, "part")
+    x = lambda c: _xml(F.col(c) if isinstance(c, str) else c)
+    page = F.concat(
+        F.lit("<html><head><title>"), x("p_name"), F.lit("</title><style>p {}</style></head><body><h2>"), x("p_name"), F.lit("</h2><script>var a;</script><p>A <b>"), x("p_brand"), F.lit("</b> of <em>"), x(F.lower("p_type")),
+        F.lit("</em>, see <a href='/parts/"), "p_partkey", F.lit("'>size "), "p_size", F.lit("</a></p><ul><li>first<li>"), x("p_brand"), F.lit("</ul><ol><li>one</li><li>two</li></ol><blockquote>kept</blockquote><pre>"), x("p_type"), F.lit("</pre></body></html>"),
+    )
+    done = dispatch.converted(parts.select(F.col("p_partkey").alias("source_id"), F.encode(page, "utf-8").alias("content")), html.html)
+    return done.select(F.col("source_id").alias("p_partkey"), "title", normalize_markdown(F.col("markdown")).alias("markdown"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{n}' || chr(9) || '(priority {p})')" for i, (n, p) in enumerate(sorted(dispatch.PRIORITIES.items(), key=lambda x: x[1]))) + ") AS t(position, line)")
+@query("""SELECT position, name || chr(9) || '(priority ' || priority || ')' AS line FROM (VALUES (0::BIGINT, 'ipynb', 10), (1, 'docx', 12), (2, 'pptx', 13), (3, 'pdf', 14), (4, 'xlsx', 15), (5, 'xls', 16), (6, 'csv', 20), (7, 'epub', 25), (8, 'rss', 30), (9, 'zip', 35), (10, 'html', 40), (11, 'text', 100)) AS t(position, name, priority)""")
 def q28_list_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame([(n, float(p)) for n, p, _ in dispatch.default_entries()], "name string, priority double")
     rank = F.row_number().over(Window.orderBy("priority", "name")) - 1
     return table.select(rank.cast("long").alias("position"), F.format_string("%s\t(priority %.0f)", "name", "priority").alias("line"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN strlen(text) < 1024 OR true ELSE true END AND doc_id % 4 <> 2 AS accepted FROM documents")
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {SQL_TEXT} WHEN 3 THEN true ELSE false END AS accepted FROM documents")
 def q29_text_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.encode(F.substring("text", 1, 100), "utf-8")
+    plain = F.encode("text", "utf-8")
     which = F.col("doc_id") % 4
     content = F.when(which == 0, plain).when(which == 1, F.concat(F.lit(b"a\x00"), plain)).when(which == 2, F.concat(F.encode(F.lit("x" * 1023), "utf-8"), F.encode(F.lit("é"), "utf-8"))).otherwise(F.lit(b""))
     none = F.lit(None).cast("string")
@@ -396,4 +408,86 @@ def _workbook(rows: pd.DataFrame) -> pd.DataFrame:
 def q31_binary_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     files = nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy("r_regionkey").applyInPandas(_workbook, "source_id long, content binary")
-    return office.convert_xlsx(files).select("source_id", "markdown")
+    return dispatch.converted(files, office.xlsx).select("source_id", "markdown")
+
+
+def built(rows: DataFrame, key: str, build: Callable[..., bytes], *columns: str) -> DataFrame:
+    """(source_id, content): a file of each row, made of the given columns."""
+
+    @arrow_function("binary")
+    def make(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([build(*values) for values in zip(*batch, strict=True)], dtype=object)
+
+    return rows.select(F.col(key).alias("source_id"), make(*columns).alias("content"))
+
+
+SQL_RULE = "chr(10) || '| --- | --- |' || chr(10)"
+
+
+@query(f"""SELECT p_partkey AS source_id, p_name AS title, '## ' || p_name || {SQL_GAP} || 'Kind [' || p_type || '](https://parts.example/' || p_partkey || ')' || {SQL_GAP} || '| field | value |' || {SQL_RULE} || '| brand | ' || p_brand || ' |' || chr(10) || '| size | ' || p_size || ' |' AS markdown FROM part""")
+def q32_binary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda key, name, brand, kind, size: packages.docx([("Heading2", [name]), (None, []), (None, ["Kind ", (kind, f"https://parts.example/{key}")]), [["field", "value"], ["brand", brand], ["size", str(size)]]])
+    files = built(read(spark, sf_dir, "part"), "p_partkey", build, "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return dispatch.converted(files, office.docx).select("source_id", "title", "markdown")
+
+
+@query(f"""SELECT s_suppkey AS source_id, s_name AS title, '## Slide 1: ' || s_name || {SQL_GAP} || 'nation ' || s_nationkey || CASE WHEN s_suppkey % 3 = 0 THEN {SQL_GAP} || '### Notes' || {SQL_GAP} || 'ask for ' || s_suppkey ELSE '' END || {SQL_GAP} || '## Slide 2' || {SQL_GAP} || '[more](https://suppliers.example/' || s_suppkey || ')' || {SQL_GAP} || '| what | which |' || {SQL_RULE} || '| key | ' || s_suppkey || ' |' AS markdown FROM supplier""")
+def q33_binary_deck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda key, name, nation: packages.pptx([{"title": name, "texts": [f"nation {nation}"], "footer": "left out", "notes": None if key % 3 else f"ask for {key}"}, {"texts": [("more", f"https://suppliers.example/{key}")], "table": [["what", "which"], ["key", str(key)]]}])
+    files = built(read(spark, sf_dir, "supplier"), "s_suppkey", build, "s_suppkey", "s_name", "s_nationkey")
+    return dispatch.converted(files, office.pptx).select("source_id", "title", "markdown")
+
+
+@query(f"""SELECT c_custkey AS source_id, '## Card' || {SQL_GAP} || '| name | segment |' || {SQL_RULE} || '| ' || c_name || ' | ' || c_mktsegment || ' |' || chr(10) || '| ' || c_custkey || '.5 | ' || strftime(DATE '2023-03-15' + (c_custkey % 100)::INT, '%Y-%m-%d') || ' |' || chr(10) || '| ' || c_nationkey || ' |  |' AS markdown FROM customer""")
+def q34_legacy_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda key, name, nation, segment: packages.xls("Card", [["name", "segment"], [], [name, segment], [int(key) + 0.5, (45000.0 + key % 100, "date")], [int(nation)]])
+    files = built(read(spark, sf_dir, "customer"), "c_custkey", build, "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return dispatch.converted(files, legacy_xls.xls).select("source_id", "markdown")
+
+
+@query(f"""SELECT c_custkey AS source_id, '## Card' || {SQL_GAP} || '| day | share | worth | open |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || '| ' || strftime(DATE '2023-03-15' + (c_custkey % 100)::INT, '%Y-%m-%d') || ' | ' || printf('%.1f', (c_custkey % 8) * 12.5) || '% | ' || CASE WHEN c_custkey >= 1000 THEN (c_custkey // 1000) || ',' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END || '.25 | ' || CASE WHEN c_custkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END || ' |' AS markdown FROM customer""")
+def q35_workbook_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda key, nation: packages.xlsx({"Card": [["day", "share", "worth", "open"], [(45000 + key % 100, "yyyy-mm-dd"), (key % 8 / 8, "0.0%"), (key + 0.25, "#,##0.00"), bool(key % 2 == 0)]]})
+    files = built(read(spark, sf_dir, "customer"), "c_custkey", build, "c_custkey", "c_nationkey")
+    return dispatch.converted(files, office.xlsx).select("source_id", "markdown")
+
+
+@query(f"""SELECT p_partkey AS source_id, p_name || {SQL_GAP} || '| field | value |' || {SQL_RULE} || '| brand | ' || p_brand || ' |' || chr(10) || '| size | (' || p_size || ') |' AS markdown FROM part""")
+def q36_binary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda key, name, brand, size: packages.pdf([name, "", "field   value", f"brand   {brand}", f"size   ({size})"], key % 2 == 0)
+    files = built(read(spark, sf_dir, "part"), "p_partkey", build, "p_partkey", "p_name", "p_brand", "p_size")
+    return dispatch.converted(files, pdf.pdf).select("source_id", "markdown")
+
+
+@query(f"""SELECT s_suppkey AS source_id, s_name AS title, '**Title:** ' || s_name || chr(10) || '**Authors:** N' || s_nationkey || chr(10) || '**Language:** en' || {SQL_GAP} || '# Nation ' || s_nationkey || {SQL_GAP} || 'Key **' || s_suppkey || '**' || {SQL_GAP} || 'The end' AS markdown FROM supplier""")
+def q37_binary_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda key, name, nation: packages.epub({"title": name, "creator": f"N{nation}", "language": "en"}, {"one.xhtml": f"<html><body><h1>Nation {nation}</h1><p>Key <b>{key}</b></p></body></html>", "two.xhtml": "<p>The end</p>"}, ("gone.xhtml",))
+    files = built(read(spark, sf_dir, "supplier"), "s_suppkey", build, "s_suppkey", "s_name", "s_nationkey")
+    return dispatch.converted(files, office.epub).select("source_id", "title", "markdown")
+
+
+@query(f"""SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 5 = 4 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN s_suppkey % 5 = 4 THEN 'zip: archive limit: recursion depth limit of 4' END AS error, CASE WHEN s_suppkey % 5 < 4 THEN 'Content from zip file `s' || s_suppkey || '.zip`' || {SQL_GAP} || '## File: list.csv' || {SQL_GAP} || '| name | nation |' || {SQL_RULE} || '| ' || s_name || ' | ' || s_nationkey || ' |' || {SQL_GAP} || '## File: in/deep.zip' || {SQL_GAP} || 'Content from zip file `deep.zip`' || {SQL_GAP} || '## File: x.md' || {SQL_GAP} || '# inner ' || s_suppkey || {SQL_GAP} || '## File: note.txt' || {SQL_GAP} || 'n ' || s_suppkey END AS markdown FROM supplier""")
+def q38_nested_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build(key: int, name: str, nation: int) -> bytes:
+        inner = packages.zipped({"x.md": f"# inner {key}"})
+        for _ in range(4 * (key % 5 == 4)):
+            inner = packages.zipped({"deeper.zip": inner})
+        return packages.zipped({"list.csv": f"name,nation\n{name},{nation}", "in/deep.zip": inner, "raw.bin": b"\x00\x01", "note.txt": f" n {key} \n", "empty.txt": ""})
+
+    suppliers = read(spark, sf_dir, "supplier")
+    files = built(suppliers, "s_suppkey", build, "s_suppkey", "s_name", "s_nationkey")
+    named = files.withColumn("filename", F.concat(F.lit("s"), "source_id", F.lit(".zip")))
+    return Engine(spark).convert(named).select("source_id", "status", "error", "markdown")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ipynb' WHEN 2 THEN 'rss' WHEN 3 THEN 'rss' ELSE 'text' END AS converter FROM part""")
+def q39_content_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types that leave it open: the content tells notebooks from other JSON and feeds from other XML."""
+    which = F.col("p_partkey") % 6
+    cells = F.concat(F.lit('{"nbformat": 4, "cells": [{"cell_type": "markdown", "source": "'), "p_name", F.lit('"}]}'))
+    texts = F.array(cells, F.concat(F.lit('{"cells": ["'), "p_name", F.lit('"]}')), F.concat(F.lit("﻿<?xml version='1.0'?><!-- <x> --><rss><channel><title>"), "p_name", F.lit("</title></channel></rss>")), F.concat(F.lit('<!DOCTYPE feed><a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>'), "p_name", F.lit("</a:title></a:feed>")), F.concat(F.lit("<list><feed>"), "p_name", F.lit("</feed></list>")), F.col("p_name"))
+    extension = F.when(which.between(2, 4), ".xml")
+    mime = F.when(which < 2, "application/json").when(which == 5, "text/xml")
+    names = dispatch.candidates(dispatch.default_entries(), extension, mime, F.encode(F.get(texts, which.cast("int")), "utf-8"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.get(names, F.lit(0)).alias("converter"))
