@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from .blocks import best, search_blocks, usable_vectors
+from .common import stored
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -23,54 +24,67 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, deviation], 1) * np.sqrt(np.r_[length, length])
 
 
-def small_enough(q: np.ndarray, x: np.ndarray) -> bool:
-    """Whether doubles hold all inner products of these integers exactly."""
-    return np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53
+def large_rows(x: np.ndarray) -> np.ndarray:
+    """Rows so large that doubles may not hold their inner products exactly: any two others' products are exact."""
+    return np.abs(x).max(1, initial=0) > np.sqrt(2.0**53 / max(1, x.shape[1]))
 
 
-def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products by BLAS where doubles hold them, else by Python's integers, held to a long's range."""
-    if small_enough(q, x):
-        return q @ x.T
+def whole_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products by Python's integers, held to a long's range."""
     whole = np.array([[int(v) for v in r] for r in q], object) @ np.array([[int(v) for v in r] for r in x], object).T
     return np.clip(whole, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
-def compare_by_segments(levels: tuple[int, ...], tile: int = 256, head: int = 1024):
-    """A comparison for search_blocks, by rising numbers of segments."""
+def compare_by_segments(levels: tuple[int, ...], tile: int = 256, head: int = 256):
+    """A comparison for search_blocks, by rising numbers of segments. The `head` longest vectors are compared first: they
+    set the floor that others' bounds have to reach. Rows that doubles can't multiply exactly are compared apart, so a
+    few of them don't slow the others down."""
 
-    def compare(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
-        order = np.argsort(-(x * x).sum(1), kind="stable")  # long vectors first: they set high floors
+    def pruned(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        order = np.argsort(-(x * x).sum(1), kind="stable")
         ids, x = ids[order], x[order]
-        prune = small_enough(q, x)
-        first = head if prune else len(x)
-        statistics = [(segment_statistics(q, n), segment_statistics(x[first:], n)) for n in levels if n < x.shape[1]]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        statistics = [(segment_statistics(q, n), segment_statistics(x[head:], n)) for n in levels if n < x.shape[1]]
         for at in range(0, len(q), tile):
             rows = slice(at, at + tile)
             other = q_ids[rows, None] != ids[None, :]
-            scores = exact_products(q[rows], x[:first])
-            alive = other[:, :first].copy()
-            if prune and scores.shape[1] > k:
+            scores, alive = q[rows] @ x[:head].T, other[:, :head].copy()
+            floor = np.full(len(other), -np.inf)
+            if scores.shape[1] > k:
                 # the k-th best of some is a floor for the k-th best of all; what ties with it is kept
                 floor = -np.partition(np.where(alive, -scores, np.inf), k - 1, axis=1)[:, k - 1]
                 alive &= scores >= floor[:, None]
             at_q, at_x = np.nonzero(alive)
             kept = [(at_q, at_x, scores[at_q, at_x])]
-            if first < len(x):
-                alive = other[:, first:].copy()
+            if head < len(x):
+                alive = other[:, head:].copy()
                 for sq, sx in statistics:
                     columns = np.flatnonzero(alive.any(0))
                     alive[:, columns] &= sq[rows] @ sx[columns].T + 0.5 >= floor[:, None]
                 columns = np.flatnonzero(alive.any(0))
-                scores = exact_products(q[rows], x[first + columns])
+                scores = q[rows] @ x[head + columns].T
                 at_q, at_x = np.nonzero(alive[:, columns] & (scores >= floor[:, None]))
-                kept.append((at_q, first + columns[at_x], scores[at_q, at_x]))
+                kept.append((at_q, head + columns[at_x], scores[at_q, at_x]))
             at_q, at_x, score = (np.concatenate(c) for c in zip(*kept, strict=True))
             score = score.astype(np.int64)
             keep = best(at_q, score, ids[at_x], k)
-            out.append((at_q[keep] + at, order[at_x[keep]], score[keep]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            yield at_q[keep] + at, order[at_x[keep]], score[keep]
+
+    def whole(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        for at in range(0, len(q), tile):
+            scores = whole_products(q[at : at + tile], x)
+            at_q, at_x = np.nonzero(q_ids[at : at + tile, None] != ids[None, :])
+            score = scores[at_q, at_x]
+            keep = best(at_q, score, ids[at_x], k)
+            yield at_q[keep] + at, at_x[keep], score[keep]
+
+    def compare(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
+        found = [(np.zeros(0, np.int64),) * 3]
+        large_q, large_x = large_rows(q), large_rows(x)
+        for which, own, theirs in ((pruned, ~large_q, ~large_x), (whole, ~large_q, large_x), (whole, large_q, np.ones(len(x), bool))):
+            if own.any() and theirs.any():
+                own, theirs = np.flatnonzero(own), np.flatnonzero(theirs)
+                found += [(own[at_q], theirs[at_x], score) for at_q, at_x, score in which(q_ids[own], q[own], ids[theirs], x[theirs], k)]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     return compare
 
@@ -80,11 +94,16 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int =
 
     is_query is a condition on the column `id`. Ties go to the smaller vec_id. Vectors null or with null or non-finite
     components take no part, nor do rows without an id; vectors are compared with those of as many components. Of
-    several rows with one id the greatest vector counts.
+    several rows with one id the greatest vector counts. Components that scaling takes out of a double's range count as
+    its greatest, and scores out of a long's range as the nearest long.
     """
-    rows = usable_vectors(vectors, id_col, vector_col)
+    rows = stored(usable_vectors(vectors, id_col, vector_col), "vectors")
     return search_blocks(rows, is_query, k, _floored(compare_by_segments(levels), scale), "long", **blocks)
 
 
 def _floored(compare, scale: int):
-    return lambda q_ids, q, ids, x, k: compare(q_ids, np.floor(q * scale), ids, np.floor(x * scale), k)
+    def floored(x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.floor(np.clip(x * scale, -np.finfo(float).max, np.finfo(float).max))
+
+    return lambda q_ids, q, ids, x, k: compare(q_ids, floored(q), ids, floored(x), k)

@@ -93,11 +93,62 @@ def test_neighbours_recall(spark, rows):
 
 def test_every_code_within_the_radius_is_found():
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(800, 32))
-    codes = ann.learn_codes(x[:300])
+    words = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    near = words[:10].copy()
+    for i in range(10):  # codes at known distances from the first ten
+        for bit in rng.choice(64, i, replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(bit)
+    words = np.concatenate([words, near])
+    tables = ann.SubstringTables(words)
+    for radius in (0, 3, 9, 22, 26):
+        radii = ann.part_radii(radius)
+        assert sum(r + 1 for r in radii) == radius + 1
+        for q in words[:10]:
+            within = np.flatnonzero(np.bitwise_count(words ^ q) <= radius)
+            assert set(within) <= set(tables.probe(np.array([q]), radii))
+
+
+def test_probes_read_few_buckets_of_clustered_vectors(spark):
+    """Where neighbours are near, most codes aren't looked at; over several blocks all true neighbours are found."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 64))
+    x = np.repeat(centres, 8, axis=0) + 0.05 * rng.normal(size=(2400, 64))
+    codes = ann.learn_codes(x)
     packed = codes.encode(ann.unit_rows(x))
-    radius = 20
-    seen = np.zeros((10, 800), bool)
-    for i in range(packed.shape[1]):
-        seen |= ann.SubstringIndex(packed[:, i]).probe(packed[:10, i], radius // packed.shape[1])
-    assert seen[np.bitwise_count(packed[:10, None] ^ packed[None]).sum(2) <= radius].all()
+    tables = ann.SubstringTables(np.ascontiguousarray(packed[:, 0]))
+    probed = np.mean([len(tables.probe(packed[i, :1], ann.part_radii(codes.near))) for i in range(0, 2400, 50)])
+    assert probed < 0.1 * len(x)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA.split(", ")[0] + ", embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(frame, F.col("id") % 50 == 0, vector_block=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = ann.unit_rows(x)
+    hits = sum(len(got[q] & set(np.argsort(-np.where(np.arange(len(x)) == q, -9, unit @ unit[q]))[:5].tolist())) for q in got)
+    assert hits >= 0.95 * 5 * len(got) and len(got) == 48
+
+
+def test_ties_and_equal_directions(spark):
+    """Vectors that are equal, also up to scale by a power of two, tie; the smaller ids come first."""
+    rows = [(i, [float(2 ** (i % 3)), 0.0]) for i in range(20)] + [(100 + i, [0.0, 1.0]) for i in range(5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(frame, F.col("id") == 7, k=5, vector_block=8).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {7: [(i, 1.0) for i in range(5)]}
+    top = [r.vec_id for r in topk.exact_top_k(frame.union(frame), F.col("id") == 101, k=20, vector_block=8).orderBy("rank").collect()]
+    assert top == [100, 102, 103, 104, *range(16)]
+
+
+def test_top_k_with_outliers_and_many_blocks(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 24)) * np.linspace(0.1, 3, 1500)[:, None]
+    x[7], x[60], x[80] = 1e12, -1e307, 1.7e308
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    clipped = np.floor(np.clip(x * 64, -np.finfo(float).max, np.finfo(float).max))
+    whole = [[int(v) for v in r] for r in clipped]
+    got = {}
+    for r in topk.exact_top_k(frame, F.col("id") % 20 == 0, query_block=30, vector_block=400).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in range(0, 1500, 20):
+        scores = [(-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in enumerate(whole) if i != q]
+        assert got[q] == [(i, -s) for s, i in sorted(scores)[:20]]
