@@ -70,4 +70,39 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_chat_format, op3_bpe, op4_exact_top_k, op5_packing, op6_quality, op7_near_duplicates, op8_neighbours, op9_suffix_dedup, op10_warc)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: base32's letters.
+SQL_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'),
+o AS (SELECT *, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant') WHEN 'assistant' THEN before IS NOT DISTINCT FROM 'user' ELSE false END AS fine,
+ 4 + CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 ELSE 1 + length(role) END + 2 + length(text) + len(regexp_extract_all(text, '\\|### |</turn>')) + 7 AS chars FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars, bool_and(fine) AND max(role) FILTER (back = 1) = 'assistant' AS valid FROM f GROUP BY conv_id""",
+    "op4_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= 20""",
+    "op7_near_duplicates": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s), f AS (SELECT x, count(*) AS times FROM e GROUP BY x),
+r AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY times, x) AS place FROM e JOIN f USING (x)),
+p AS (SELECT doc_id, n, x FROM r WHERE place <= n - (80 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p AS a JOIN p AS b ON a.x = b.x AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM c JOIN s AS sa ON sa.doc_id = a JOIN s AS sb ON sb.doc_id = b WHERE 100 * len(list_intersect(sa.sh, sb.sh)) >= 80 * (len(sa.sh) + len(sb.sh) - len(list_intersect(sa.sh, sb.sh)))),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (WITH RECURSIVE reach(a, b) AS (SELECT a, b FROM g UNION SELECT reach.a, g.b FROM reach JOIN g ON reach.b = g.a) SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept FROM s LEFT JOIN t ON a = doc_id""",
+    "op9_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+c AS (SELECT doc_id, 1024 * p AS base, substr(h, 2048 * p + 1, 2146) AS piece FROM d, unnest(range((n + 1023) // 1024)) AS u(p)),
+w AS (SELECT doc_id, base + i AS place, substr(piece, 2 * i + 1, 100) AS s FROM c, unnest(range(greatest(0, least(1024, length(piece) // 2 - 49)))) AS u(i)),
+m AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, place, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 50 THEN 0 ELSE 1 END AS new FROM w JOIN m USING (s) WHERE doc_id > low),
+i AS (SELECT doc_id, sum(new) OVER (PARTITION BY doc_id ORDER BY place) AS run, place FROM r),
+k AS (SELECT doc_id, min(place) AS low, max(place) + 50 AS high FROM i GROUP BY doc_id, run),
+o AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM k),
+q AS (SELECT doc_id, sum(high - low)::BIGINT AS gone, count(*) AS spans, max(high) AS last, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept FROM o JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN q USING (doc_id)""",
+    "op10_warc": f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, url, strlen(body)::BIGINT AS payload_bytes, {SQL_BASE32} AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to, CASE WHEN page_id < top THEN NULL ELSE true END AS digest_ok FROM m""",
+}
