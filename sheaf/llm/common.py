@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -16,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark runs in
+    one process. Anywhere else a folder of this machine would be no use to the others."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(context, "_sheaf_scratch", None):
         context._sheaf_scratch = tempfile.mkdtemp(prefix="sheaf-")
     return context._sheaf_scratch

@@ -19,16 +19,16 @@ from .graph import components
 class NearDupConfig:
     """words: of a shingle. percent: least 100 * intersection / union. A register is the level, in powers of base, of
     the smallest of a set's exponential values; band_size registers make a key, and documents that share one of the
-    bands' keys are compared. At a similarity of 0.8 all keys differ with a probability below 6e-6. Pairs are ruled out
-    by an estimate more than `margin` standard deviations too low. Buckets of over `together` classes are compared in
+    bands' keys are compared. At a similarity of 0.8 all keys differ with a probability below 4e-9, as (1 - 0.8**6)**64.
+    Pairs are ruled out by an estimate more than `margin` standard deviations too low, 1e-9 of those at 0.8. Buckets of over `together` classes are compared in
     blocks of about `block` classes."""
 
     words: int = 5
     percent: int = 80
-    bands: int = 48
-    band_size: int = 7
+    bands: int = 64
+    band_size: int = 6
     base: float = 1.08
-    margin: float = 4.5
+    margin: float = 6.0
     together: int = 32
     block: int = 1024
     seed: int = 7
@@ -119,7 +119,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bas
 
 
 def _sketched(docs: DataFrame, config: NearDupConfig) -> DataFrame:
-    """(doc_id, n, set_id, keys, registers) of each (doc_id, text)."""
+    """(doc_id, text_hash, n, set_id, keys, registers) of each (doc_id, text, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, hashes = SetSketch(config), _WordHashes()
@@ -134,9 +134,9 @@ def _sketched(docs: DataFrame, config: NearDupConfig) -> DataFrame:
                     for i, k, r in zip(full, sketch.keys(got), got, strict=True):
                         keys[i], registers[i] = k, r.tobytes()
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(registers, pa.binary())], ["doc_id", "n", "set_id", "keys", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(registers, pa.binary())], ["doc_id", "text_hash", "n", "set_id", "keys", "registers"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_id binary, keys array<long>, registers binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, set_id binary, keys array<long>, registers binary")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -246,7 +246,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, config: NearDupConfig, label:
 
 
 def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row.
+    """(doc_id, n_shingles, component_id, kept, text_hash) of each row; text_hash is xxhash64 of its text.
 
     Rows whose sets are equal are one class from the start. Classes that share a band's key are candidates. In each
     bucket every class is first compared with one leader alone, of which a group has several, by eight orders; then components are made of the links, and only
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col
     """
     config = config or NearDupConfig()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(_sketched(docs, config), "sketches")
+    rows = stored(_sketched(docs.withColumn("text_hash", F.xxhash64("text")), config), "sketches")
     some = rows.where("n > 0 and doc_id is not null")
     firsts = some.groupBy("set_id").agg(F.min("doc_id").alias("node"))
     # the sketch of a class comes from its smallest document alone
@@ -288,6 +288,6 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col
     whole = components(links.unionByName(more).unionByName(rest), "components")
 
     named = firsts.join(whole.hint("merge"), "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n", "set_id").join(named.hint("merge"), "set_id", "left")
+    out = rows.select("doc_id", "text_hash", "n", "set_id").join(named.hint("merge"), "set_id", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

@@ -50,7 +50,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDupConfig(words=2, percent=80))
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDupConfig(words=2, percent=80))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

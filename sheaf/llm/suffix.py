@@ -4,9 +4,11 @@ Every string of `least` bytes holds an anchor: the k-gram with the smallest hash
 in some such string are found where a document is read, and only their hashes, the hashes of their contexts and their
 places are shuffled. The context of an anchor is all bytes of the strings that hold it. Of equal contexts, those in
 larger documents are repeats as a whole; contexts count as equal if the anchors' hashes and the contexts' own are, of 64
-bits each, which of n contexts of one anchor takes about n * n / 2**65 pairs for equal that aren't. Different contexts around equal anchors are fetched and go to one task, which
-sorts their suffixes, forms the Burrows-Wheeler transform and extends its intervals backwards, breadth first, up to
-`least` bytes: intervals that are left hold the strings that contexts share.
+bits each, which of n contexts of one anchor takes about n * n / 2**65 pairs for equal that aren't. Different contexts
+around equal anchors are fetched and go to one task, which sorts their suffixes, forms the Burrows-Wheeler transform and
+extends its intervals backwards, breadth first, up to `least` bytes: intervals that are left hold the strings that
+contexts share. An anchor with very many contexts is split by the bytes on either side of it, so that its contexts are
+spread over all tasks.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class SuffixConfig:
     """least: bytes of a repeated string. anchor: bytes of an anchor, at most `least`. partition_bytes: input that one
-    partition of the shuffles stands for. bwt_bytes: contexts of different anchors are sorted together up to so many."""
+    partition of the shuffles stands for. bwt_bytes: contexts of different anchors are sorted together up to so many.
+    split: an anchor with more contexts than this is split by what stands around it."""
 
     least: int = 50
     anchor: int = 16
     partition_bytes: int = 4 << 20
     bwt_bytes: int = 1 << 20
+    split: int = 512
 
     @property
     def reach(self) -> int:
@@ -46,6 +50,13 @@ class SuffixConfig:
     def context(self) -> int:
         return self.least + self.reach
 
+    @property
+    def sides(self) -> tuple[tuple[int, int], tuple[int, int]]:
+        """Two stretches of a context: any string of `least` bytes around the anchor reaches half way to its left, or as
+        far to its right as makes up for it, and so holds one of them."""
+        half = self.reach // 2
+        return (self.reach - half, self.reach + self.anchor), (self.reach, self.least + self.reach - half)
+
 
 class Blocks:
     """Hashes of all stretches of 1, 2, 4, ... symbols of a row, and of any length at given places."""
@@ -222,6 +233,10 @@ def _find_anchors(config: SuffixConfig, parts: int):
 FINDING = np.dtype([("k", "<i8"), ("h", "<i8"), ("a", "<u8"), ("n", "<u4"), ("place", "<u4")])
 
 
+#: Set in n: the anchor's contexts are so many that they are split.
+SPLIT = np.uint32(1 << 31)
+
+
 def in_buckets(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     """(bucket, payload): rows with fields k and h, dealt by their document, in order otherwise."""
     bucket = ((rows["k"] ^ (rows["h"] >> 33)) % buckets).astype(np.int32)
@@ -230,9 +245,9 @@ def in_buckets(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[order[first]]), binaries(rows[order], np.r_[first, len(order)])], ["bucket", "payload"])
 
 
-def _match_anchors(buckets: int):
+def _match_anchors(buckets: int, split: int):
     """One partition's anchors: findings in the buckets of their documents. A context is asked for once, with all its
-    places in its smallest document."""
+    places in its smallest document, and told whether its anchor is to be split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, pieces, out, base = [], [], [], 0
@@ -275,6 +290,9 @@ def _match_anchors(buckets: int):
                 if len(a):
                     first = runs(a, c, doc, key)
                     asked["n"][first] = np.diff(np.r_[first, len(a)])
+                    of = runs(a)
+                    contexts = np.add.reduceat((asked["n"] > 0).astype(np.int64), of)
+                    asked["n"][first[np.repeat(contexts > split, contexts)]] |= SPLIT
                 out.append(asked)
         if out and sum(map(len, out)):
             yield in_buckets(np.concatenate(out), buckets)
@@ -339,6 +357,25 @@ def _padded(made: np.ndarray) -> np.ndarray:
     return rows
 
 
+def _split(made: np.ndarray, places: np.ndarray, hot: np.ndarray, config: SuffixConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of hot anchors twice, once under each of their sides, in place of once under their anchor. Contexts that
+    share a string share one of the sides; a side that a document's end cuts holds no such string."""
+    n = made["n"].astype(np.int64)
+    first = np.cumsum(n) - n
+    rows = _padded(made[hot])
+    keys, line = Blocks(rows.ravel(), config.context), np.arange(len(rows)) * config.context
+    parts, picks = [made[~hot]], [np.flatnonzero(~hot)]
+    for seed, (start, end) in enumerate(config.sides, 5):
+        have = (rows[:, start] != PAD) & (rows[:, end - 1] != PAD)
+        under = made[hot][have]
+        under["a"] = np.maximum((under["a"] ^ keys.at(line + start, end - start, seed)[have]) * MIX, 1)
+        parts.append(under)
+        picks.append(np.flatnonzero(hot)[have])
+    pick = np.concatenate(picks)
+    spread = np.repeat(first[pick] - (np.cumsum(n[pick]) - n[pick]), n[pick]) + np.arange(int(n[pick].sum()))
+    return np.concatenate(parts), places[spread]
+
+
 def _fetch_contexts(config: SuffixConfig, parts: int):
     """Reads what _beside makes of findings and (k, h, text); sends each context, padded at a document's ends, to its anchor's part."""
     kind = _context_type(config)
@@ -382,12 +419,15 @@ def _fetch_contexts(config: SuffixConfig, parts: int):
                 row = np.zeros(len(data) + 2 * config.least, np.uint8)
                 row[config.least : config.least + len(data)] = np.frombuffer(data, np.uint8)
                 heads, places = asked[asked["n"] > 0], asked["place"]
+                hot, n = (heads["n"] & SPLIT) > 0, heads["n"] & ~SPLIT
                 at = heads["place"].astype(np.int64) + config.least - config.reach
                 made = np.empty(len(heads), kind)
-                made["a"], made["n"], made["k"], made["h"] = heads["a"], heads["n"], k, h
+                made["a"], made["n"], made["k"], made["h"] = heads["a"], n, k, h
                 made["row"] = row[at[:, None] + np.arange(config.context)]
                 made["left"] = np.maximum(config.least - at, 0)
                 made["right"] = np.maximum(at + config.context - config.least - len(data), 0)
+                if hot.any():
+                    made, places = _split(made, places, hot, config)
                 waiting.append((made, places))
                 size += made.nbytes + places.nbytes
                 if size > 24 << 20:
@@ -463,16 +503,14 @@ def shared_strings(contexts: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
 def _compare_contexts(config: SuffixConfig, buckets: int):
     """One partition's contexts: what is repeated, as ranges in the buckets of their documents."""
     kind = _context_type(config)
-    reach, k, least = config.reach, config.anchor, config.least
-    half = reach // 2
+    reach, least = config.reach, config.least
 
     def marked(a: np.ndarray, doc: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(context, start) of the strings of `least` bytes that smaller documents have."""
-        # any such string reaches half way to the left of its anchor, or as far to its right as makes up for it
         keys = Blocks(rows.ravel(), config.context)
         line = np.arange(len(rows)) * config.context
         some = np.zeros(len(rows), bool)
-        for start, end in ((reach - half, reach + k), (reach, reach + k + reach - half)):
+        for start, end in config.sides:
             have = (rows[:, start] != PAD) & (rows[:, end - 1] != PAD)
             key = keys.at(line + start, end - start, 3)
             order = np.lexsort((key, a))
@@ -586,7 +624,7 @@ def repeated_substrings(docs: DataFrame, config: SuffixConfig | None = None, id_
 
     sent = base.select("k", "h", "text").mapInArrow(_find_anchors(config, parts), MESSAGES)
     in_bucket = "bucket int, payload binary"
-    found = stored(sent.repartition(partitions, "part").mapInArrow(_match_anchors(parts), in_bucket), "anchors")
+    found = stored(sent.repartition(partitions, "part").mapInArrow(_match_anchors(parts, config.split), in_bucket), "anchors")
     release(spark)
 
     contexts = _beside(base.select("k", "h", "text"), [found], parts, partitions).mapInArrow(_fetch_contexts(config, parts), MESSAGES)

@@ -48,7 +48,7 @@ def corpus(seed, n=90):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "config"), [(1, suffix.SuffixConfig()), (2, suffix.SuffixConfig(least=20, anchor=8, bwt_bytes=2000))])
+@pytest.mark.parametrize(("seed", "config"), [(1, suffix.SuffixConfig()), (2, suffix.SuffixConfig(least=20, anchor=8, bwt_bytes=2000)), (3, suffix.SuffixConfig(split=1)), (4, suffix.SuffixConfig(least=20, anchor=8, split=2))])
 def test_against_brute_force(spark, seed, config):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "2 as h", "'x' as places", "3 as id").repartition(3)
@@ -84,6 +84,23 @@ def test_contexts_that_agree_in_half_their_hash(spark):
     assert sorted(got, key=str) == brute(docs, config.least)
 
 
+def test_hot_anchors_are_spread():
+    """Contexts of one anchor go to as many groups as they have different sides; those that share a string meet."""
+    config, rng = suffix.SuffixConfig(), np.random.default_rng(3)
+    made = np.zeros(2000, suffix._context_type(config))
+    made["a"], made["n"] = 77, 1
+    made["row"] = rng.integers(97, 123, (2000, config.context))
+    made["row"][:, config.reach : config.reach + config.anchor] = 120
+    made["row"][1, 5:55] = made["row"][0, 5:55]  # a string that reaches to the left, and one to the right
+    made["row"][3, 30:80] = made["row"][2, 30:80]
+    split, places = suffix._split(made, np.arange(2000, dtype=np.uint32), np.ones(2000, bool), config)
+    assert len(split) == 4000 and len(np.unique(split["a"])) >= 3990
+    by = {}
+    for a, place in zip(split["a"].tolist(), places.tolist(), strict=True):
+        by.setdefault(a, set()).add(place)
+    assert {0, 1} in by.values() and {2, 3} in by.values() and max(map(len, by.values())) == 2
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for n in (1, 2, 50, 400):
