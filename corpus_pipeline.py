@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm import neardup, packing, quality, secrets, suffix
@@ -16,7 +16,8 @@ LEAST_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is LEAST_QUALITY or more, as they are."""
+    """Documents whose score is LEAST_QUALITY or more, as they are. Each row is judged by its own text; null texts count
+    as empty ones. Without labels of both classes all documents stay."""
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs, model, docs.columns, score_col="__score")
     return scored.where(F.col("__score") >= LEAST_QUALITY).drop("__score")
@@ -24,10 +25,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group, by shingles of five words and a similarity of 0.8. Documents
-    without an id, or without words, stay; rows that repeat an id stay or go together."""
+    without an id, or without words, stay. Rows that repeat an id are judged each by its own text; of rows that repeat
+    both one stays."""
     groups = neardup.near_duplicates(docs, neardup.NearDupConfig(words=5, percent=80))
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = groups.where(~F.col("kept")).select("doc_id", F.col("text_hash").alias("__hash")).distinct()
+    own = Window.partitionBy("doc_id", "__hash").orderBy("__hash")
+    rest = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string"))).join(gone, ["doc_id", "__hash"], "left_anti")
+    copies = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return rest.withColumn("__nth", F.row_number().over(own)).where((F.col("__nth") == 1) | ~copies).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +49,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens. Null and empty texts are the end id alone; rows
+    that repeat are packed as often as they occur."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -61,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each but the last written to the shared folder and read again."""
+    """All stages, each but the last written to the shared folder and read again. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
