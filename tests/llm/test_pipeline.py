@@ -60,11 +60,11 @@ def test_no_documents(spark, tmp_path):
 
 
 def test_near_duplicates_are_judged_by_row(spark):
-    """A repeated id with another text keeps that text; identical rows are one; clashing columns and long texts pass."""
+    """A kept id that repeats with another text keeps both; identical rows are one; clashing columns and long texts pass."""
     base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"z{i}" for i in range(70_000))
-    rows = [(5, base), (9, base + " tail"), (9, other), (9, other), (5, base), (7, ""), (7, ""), (8, None), (None, base), (None, base)]
+    rows = [(5, base), (9, base + " tail"), (5, other), (5, other), (5, base), (7, ""), (7, ""), (8, None), (None, base), (None, base)]
     docs = spark.createDataFrame([(i, t, "x", "s", 1, 2, 3) for i, t in rows], SCHEMA + ", n long, kept int")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
-    assert got == sorted([(5, base), (9, other), (7, ""), (7, ""), (8, None), (None, base), (None, base)], key=repr)
+    assert got == sorted([(5, base), (5, other), (7, ""), (7, ""), (8, None), (None, base), (None, base)], key=repr)
