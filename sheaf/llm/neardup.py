@@ -19,16 +19,16 @@ from .graph import components
 class NearDupConfig:
     """words: of a shingle. percent: least 100 * intersection / union. A register is the level, in powers of base, of
     the smallest of a set's exponential values; band_size registers make a key, and documents that share one of the
-    bands' keys are compared. At a similarity of 0.8 all keys differ with a probability below 4e-9, as (1 - 0.8**6)**64.
-    Pairs are ruled out by an estimate more than `margin` standard deviations too low, 1e-9 of those at 0.8. Buckets of over `together` classes are compared in
+    bands' keys are compared. At a similarity of 0.8 all keys differ with a probability below 1.3e-5, as (1 - 0.8**7)**48.
+    Pairs are ruled out by an estimate more than `margin` standard deviations too low, about 3e-6 of those at 0.8. Buckets of over `together` classes are compared in
     blocks of about `block` classes."""
 
     words: int = 5
     percent: int = 80
-    bands: int = 64
-    band_size: int = 6
+    bands: int = 48
+    band_size: int = 7
     base: float = 1.08
-    margin: float = 6.0
+    margin: float = 4.5
     together: int = 32
     block: int = 1024
     seed: int = 7
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col
     """(doc_id, n_shingles, component_id, kept, text_hash) of each row; text_hash is xxhash64 of its text.
 
     Rows whose sets are equal are one class from the start. Classes that share a band's key are candidates. In each
-    bucket every class is first compared with one leader alone, of which a group has several, as a bucket has one by either of two orders; then components are made of the links, and only
+    bucket every class is first compared with one leader alone, of which a group has several, by eight orders; then components are made of the links, and only
     classes of one bucket that are still in different components are compared with each other. So a group of copies
     costs its size, not its square, and no pair of a bucket is left out that could join two components. Large buckets
     that are still mixed are compared block by block, on their registers and then on their sets. Every link is confirmed on full sets.
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig | None = None, id_col
     # the sketch of a class comes from its smallest document alone
     classes = stored(some.join(firsts.hint("merge"), "set_id").where("doc_id = node").dropDuplicates(["set_id"]).select("set_id", "node", "n", "keys", "registers"), "classes")
     bucket = Window.partitionBy("key")
-    shared = classes.select("node", F.explode("keys").alias("key")).withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "first": F.min(F.struct(F.xxhash64("node", F.col("key") % 2), "node")).over(bucket)})
+    shared = classes.select("node", F.explode("keys").alias("key")).withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "first": F.min(F.struct(F.xxhash64("node", F.col("key") % 8), "node")).over(bucket)})
     members = stored(shared.where("low < high").select("key", "node", F.col("first.node").alias("first")), "members")
 
     sets = stored(_sets(docs, members.select("node").distinct(), config), "sets")
