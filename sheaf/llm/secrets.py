@@ -52,17 +52,43 @@ def in_order(spans: list[Span]) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs with a digit, or with both cases and a sign, that no base span touches."""
-    out = []
+    """Runs of 16 characters or more with a digit, or with both cases and a sign, and what base spans leave of such runs.
+    taken: the base spans, by start."""
+    held: list[list[int]] = []
+    for _, s, e in taken:
+        if held and s <= held[-1][1]:
+            held[-1][1] = max(held[-1][1], e)
+        else:
+            held.append([s, e])
+    out, k = [], 0
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if any(c.isdigit() for c in run) or (not run.isalpha() and run.lower() != run and run.upper() != run):
-            out.append((m.start(), m.end()))
-    if not taken or not out:
-        return out
-    starts = np.array([s for _, s, _ in taken])
-    ends = np.maximum.accumulate(np.array([e for _, _, e in taken]))
-    return [(s, e) for s, e in out if (n := np.searchsorted(starts, e)) == 0 or ends[n - 1] <= s]
+        at, end = m.span()
+        while k < len(held) and held[k][1] <= at:
+            k += 1
+        i = k
+        while at < end:
+            to = min(end, held[i][0]) if i < len(held) else end
+            if to - at >= 16:
+                run = text[at:to]
+                if any(c.isdigit() for c in run) or (not run.isalpha() and run.lower() != run and run.upper() != run):
+                    out.append((at, to))
+            at = held[i][1] if i < len(held) else end
+            i += 1
+    return out
+
+
+#: What a candidate looks like; each shape has its own threshold.
+SHAPES = ("hexadecimal", "digits and signs", "long", "mixed")
+
+
+def shape(run: str, inside: int) -> int:
+    """The number of a candidate's shape: hexadecimal digits alone; no letters; more than the network sees at once; the
+    rest."""
+    if re.fullmatch(r"[0-9a-fA-F]+", run) and not run.isdigit():
+        return 0
+    if not re.search("[A-Za-z]", run):
+        return 1
+    return 2 if len(run) > inside else 3
 
 
 def joined(spans: list[Span]) -> str:
@@ -75,9 +101,11 @@ class SecretConfig:
     candidates it sees overlapping windows, one every `stride` characters and one at the end, and the likeliest counts.
 
     Training takes the findings and candidates of at most sample_rows documents, chosen by a hash of their ids and of
-    up to sample_chars characters each, and made_up findings and look-alikes of public formats besides. The threshold
-    is the highest that keeps least_recall of the true findings that training didn't see and no base pattern finds, but
-    0.5 at least; the model's `recall` is what it keeps of them.
+    up to sample_chars characters each, and made_up findings and look-alikes of public formats besides. Of the
+    candidates a twentieth calibrates, three set the thresholds, one is kept for the model's `recall` and `false_share`;
+    the rest is trained on. Each shape of candidates has the highest threshold that keeps least_recall of the true findings
+    that no base pattern makes, whatever look-alikes that lets pass; shapes without such findings have that of all, or 0.5 if it is
+    lower.
     """
 
     before: int = 24
@@ -105,7 +133,8 @@ class CharacterConvolution:
         self.config = c
         draw = lambda *shape, scale: rng.normal(size=shape) * scale
         self.weights = {"E": draw(130, c.embedding, scale=0.5), "W": draw(c.width * c.embedding, c.filters, scale=0.3), "c": np.zeros(c.filters), "u": draw(3 * c.filters + 2, scale=0.2), "b": np.zeros(1)}
-        self.slope, self.offset, self.threshold, self.recall = 1.0, 0.0, 1.0, None
+        self.slope, self.offset = 1.0, 0.0
+        self.thresholds, self.recall, self.false_share = np.ones(len(SHAPES)), None, None
         n = c.before + c.inside + c.after - c.width + 1
         # a filter belongs to the part that its middle is in
         middle = np.arange(n) + c.width // 2
@@ -193,35 +222,55 @@ class CharacterConvolution:
         d_e = np.stack([np.bincount(symbols.ravel(), d_seen[:, :, e].ravel(), 130) for e in range(c.embedding)], 1)
         return {"u": features.T @ error, "b": error.sum(keepdims=True), "W": np.einsum("npf,npfw->wf", d, picked), "c": d.sum((0, 1)), "E": d_e}
 
-    def fit(self, views: np.ndarray, labels: np.ndarray, owners: np.ndarray | None = None, base: np.ndarray | None = None) -> CharacterConvolution:
+    def fit(self, views: np.ndarray, labels: np.ndarray, owners: np.ndarray | None = None, base: np.ndarray | None = None, shapes: np.ndarray | None = None) -> CharacterConvolution:
         """owners: the number of each view's candidate, from 0; a candidate is held out, and counts, as a whole. base:
-        by candidate, whether a base pattern finds it, so that the threshold never decides on it."""
+        by candidate, whether a base pattern finds it, so that the threshold never decides on it. shapes: by candidate."""
         c, rng = self.config, np.random.default_rng(self.config.seed)
         owners = np.arange(len(views)) if owners is None else owners
-        order = rng.permutation(int(owners.max()) + 1)
-        out = np.zeros(len(order), bool)
-        out[order[: len(order) // 5]] = True
-        check, train = np.flatnonzero(out[owners]), np.flatnonzero(~out[owners])
+        total = int(owners.max()) + 1
+        order = rng.permutation(total)
+        part = np.zeros(total, int)  # 0 trains, 1 calibrates, 2 sets thresholds, 3 reports
+        for name, share in ((1, (0, 1)), (2, (1, 4)), (3, (4, 5))):
+            part[order[share[0] * total // 20 : share[1] * total // 20]] = name
+        base = np.zeros(total, bool) if base is None else base
+        shapes = np.full(total, len(SHAPES) - 1) if shapes is None else shapes
+        train, check = np.flatnonzero(part[owners] == 0), np.flatnonzero(part[owners] > 0)
         steps = Adam(self.weights, c.rate)
         for epoch in range(c.epochs):
             steps.rate = c.rate * (1 - epoch / c.epochs)
-            for part in np.array_split(rng.permutation(train), max(1, len(train) // c.batch)):
-                steps.update(self.slopes(views[part], labels[part]))
-        logits, truth = np.full(len(order), -np.inf), np.zeros(len(order))
+            for some in np.array_split(rng.permutation(train), max(1, len(train) // c.batch)):
+                steps.update(self.slopes(views[some], labels[some]))
+        logits, truth = np.full(total, -np.inf), np.zeros(total)
         np.maximum.at(logits, owners[check], self.logits(views[check]))
         np.maximum.at(truth, owners[check], labels[check])
-        logits, truth = logits[out], truth[out]
-        self.slope, self.offset = calibrate(logits, truth)
-        asked = truth > 0.5 if base is None else (truth > 0.5) & ~base[out]
-        true = np.sort(sigmoid(self.slope * logits + self.offset)[asked])
-        # the highest threshold that keeps the recall; never so low that a coin's toss would pass, whatever that costs
-        self.threshold = max(0.5, float(true[int((1 - c.least_recall) * len(true))])) if len(true) else 0.5
-        self.recall = float((true >= self.threshold).mean()) if len(true) else None
+        self.slope, self.offset = calibrate(logits[part == 1], truth[part == 1])
+        score = sigmoid(self.slope * logits + self.offset)
+        asked = (part == 2) & (truth > 0.5) & ~base
+
+        def highest(which: np.ndarray, otherwise: float) -> float:
+            """The highest threshold that keeps the recall of these findings."""
+            true = np.sort(score[which])
+            return float(true[int((1 - c.least_recall) * len(true))]) if len(true) else otherwise
+
+        every = highest(asked, 0.5)
+        self.thresholds = np.array([highest(asked & (shapes == i), max(0.5, every)) for i in range(len(SHAPES))])
+        passed = score >= self.thresholds[shapes]
+        true, false = (part == 3) & (truth > 0.5) & ~base, (part == 3) & (truth < 0.5)
+        self.recall = float(passed[true].mean()) if true.any() else None
+        self.false_share = float(passed[false].mean()) if false.any() else None
         return self
 
+    def found(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The candidates whose likeliest window reaches the threshold of their shape."""
+        if not spans:
+            return []
+        kinds = [shape(text[s:e], self.config.inside) for s, e in spans]
+        return [span for span, yes in zip(spans, self.likeliest(text, spans) >= self.thresholds[kinds], strict=True) if yes]
 
-def made_up_examples(rng: random.Random, context: list[str], n: int) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): findings and look-alikes in public formats, between words of the given contexts."""
+
+def made_up_examples(rng: random.Random, context: list[str], n: int, kinds: tuple[int, ...] | None = None) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): findings and look-alikes in public formats, between words of the given contexts.
+    kinds: the numbers of the formats of findings to use, all if None."""
     alnum, hexa, b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     word = lambda: rng.choice(context)
@@ -236,6 +285,7 @@ def made_up_examples(rng: random.Random, context: list[str], n: int) -> list[tup
         lambda: ("", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ""),
         lambda: (rng.choice(["token = ", "password=", 'secret: "']), pick(hexa, rng.choice([18, 32, 40])), ""),
     ]
+    secret = secret if kinds is None else [secret[i] for i in kinds]
     harmless = [
         lambda: ("", pick("0123456789", rng.randint(16, 19)), ""),
         lambda: (f"{plain()}.{rng.randint(1, 99)}@", f"mail{rng.randint(0, 99)}.{plain()[:8]}.{rng.choice(['com', 'org', 'net'])}", ""),
@@ -271,15 +321,15 @@ def made_up_examples(rng: random.Random, context: list[str], n: int) -> list[tup
     return out
 
 
-def train_scanner(docs: DataFrame, config: SecretConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> CharacterConvolution:
+def train_scanner(docs: DataFrame, config: SecretConfig | None = None, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[int, ...] | None = None) -> CharacterConvolution:
     """Fits the network on a bounded sample: what the base patterns find in it are findings, its other candidates are
-    not, but for those of a known key format, which are left out; both are joined by made-up ones, which alone are used
-    if there are no documents."""
+    not, but for those of a known key format and those beside a finding, which are left out; both are joined by made-up
+    ones (kinds: of these formats alone), which alone are used if there are no documents."""
     config = config or SecretConfig()
     model, rng = CharacterConvolution(config), random.Random(config.seed)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= config.sample_chars)
     texts = [r.text for r in sampled(source, F.xxhash64("id", F.lit(3)), config.sample_rows, docs.count()).collect()]
-    views, labels, owners, base, words, n = [], [], [], [], set(), 0
+    views, labels, owners, base, shapes, words, n = [], [], [], [], [], set(), 0
 
     def add(text: str, start: int, end: int, label: int, known: bool | None = None) -> None:
         """A candidate's windows; around a key within a run, those that hold at least 20 characters of it or none."""
@@ -293,6 +343,7 @@ def train_scanner(docs: DataFrame, config: SecretConfig | None = None, id_col: s
         labels.append(true[use])
         owners.append(np.full(int(use.sum()), n))
         base.append(any(s < run[1] and run[0] < e for _, s, e in base_spans(text)) if known is None else known)
+        shapes.append(shape(text[run[0] : run[1]], config.inside))
         n += 1
 
     for text in texts:
@@ -301,13 +352,13 @@ def train_scanner(docs: DataFrame, config: SecretConfig | None = None, id_col: s
             run = CANDIDATE.search(text, start, end) if kind == "assign" else None
             add(text, *(run.span() if run else (start, end)), 1, True)
         for start, end in candidates(text, found):
-            if not KEY_FORMAT.search(text, start, end):
+            if not KEY_FORMAT.search(text, start, end) and not any(s == end or e == start for _, s, e in found):
                 add(text, start, end, 0, False)
         if len(words) < 20_000:
             words.update(text.split()[:200])
-    for text, start, end, label in made_up_examples(rng, sorted(words) or ["some", "words", "here"], config.made_up):
+    for text, start, end, label in made_up_examples(rng, sorted(words) or ["some", "words", "here"], config.made_up, kinds):
         add(text, start, end, label)
-    return model.fit(np.concatenate(views), np.concatenate(labels).astype(float), np.concatenate(owners), np.array(base))
+    return model.fit(np.concatenate(views), np.concatenate(labels).astype(float), np.concatenate(owners), np.array(base), np.array(shapes))
 
 
 def all_spans(text: str, model: CharacterConvolution | None) -> list[Span]:
@@ -315,10 +366,7 @@ def all_spans(text: str, model: CharacterConvolution | None) -> list[Span]:
     found = base_spans(text)
     if model is None:
         return found
-    asked = candidates(text, found)
-    if not asked:
-        return found
-    return in_order(found + [("network", s, e) for (s, e), x in zip(asked, model.likeliest(text, asked), strict=True) if x >= model.threshold])
+    return in_order(found + [("network", s, e) for s, e in model.found(text, candidates(text, found))])
 
 
 SPAN_TYPE = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))
