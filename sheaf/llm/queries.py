@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, neardup, packing, quality, secrets, suffix, topk, warc
+from . import ann, bpe, chat, clusters, divergence, langid, neardup, packing, quality, secrets, suffix, topk, warc
 from .common import scratch_path, table
 
 
@@ -69,11 +69,38 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "digest_ok")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_chat_format, op3_bpe, op4_exact_top_k, op5_packing, op6_quality, op7_near_duplicates, op8_neighbours, op9_suffix_dedup, op10_warc)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.described(*clusters.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = langid.identify_languages(docs, langid.train_languages(docs), ["doc_id"])
+    return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_chat_format, op3_bpe, op4_exact_top_k, op5_packing, op6_quality, op7_near_duplicates, op8_neighbours, op9_suffix_dedup, op10_warc, op11_centroids, op12_language_id, op13_source_divergence)}
 
 #: base32's letters.
 SQL_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '')"
 
+
+
+def _rounds_of_means(rounds: int) -> str:
+    """Assignments a0, a1, ... to centroids c0, c1, ... as the steps of one WITH."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS (SELECT row, vec_id, v, arg_min(c, (d, c))::INT AS cluster, min(d) AS distance FROM (SELECT row, vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}) GROUP BY ALL)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (SELECT cluster, list(t ORDER BY i) AS m FROM (SELECT cluster, i, floor(sum(v[i]) / count(*)) AS t FROM a{i}, range(1, 65) AS r(i) GROUP BY cluster, i) GROUP BY cluster)""")
+            out.append(f"""c{i + 1} AS (SELECT c, coalesce(s.m, o.m) AS m FROM c{i} AS o LEFT JOIN s{i} AS s ON s.cluster = o.c)""")
+    return ",\n".join(out).replace("GROUP BY ALL", "GROUP BY row, vec_id, v")
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'),
 o AS (SELECT *, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
@@ -106,4 +133,20 @@ q AS (SELECT doc_id, sum(high - low)::BIGINT AS gone, count(*) AS spans, max(hig
 SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN q USING (doc_id)""",
     "op10_warc": f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
 SELECT page_id, url, strlen(body)::BIGINT AS payload_bytes, {SQL_BASE32} AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to, CASE WHEN page_id < top THEN NULL ELSE true END AS digest_ok FROM m""",
+    "op11_centroids": f"""WITH e AS (SELECT vec_id, embedding AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(x, lambda y: floor(256 * y::DOUBLE)) AS v FROM e),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) - 1)::INT AS c, v AS m FROM v QUALIFY c < 40),
+{_rounds_of_means(5)},
+h AS (SELECT c, sha256(array_to_string(list_transform(m, lambda x: x::BIGINT), ',')) AS digest FROM c5)
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, digest AS centroid_sha256 FROM a5 JOIN h ON c = cluster""",
+    "op13_source_divergence": r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+k AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(terms)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 30), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS t FROM d) JOIN k USING (lang, t) GROUP BY lang, source, t),
+c AS (SELECT lang, source, t, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN o USING (lang, source, t)),
+p AS (SELECT lang, source, t, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM c JOIN v USING (lang)),
+l AS (SELECT lang, t, sum(n) AS n FROM c GROUP BY lang, t), q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM l JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT lang, source, 'term', t, (p - q)::BIGINT FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM f QUALIFY part = 'pair' OR rank <= 50""",
 }
