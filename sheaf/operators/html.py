@@ -1,10 +1,9 @@
-"""HTML to Markdown: a small renderer over the standard library's parser, run in Arrow batches."""
+"""HTML to Markdown: the page's tree, and a renderer with its own stack, run in Arrow batches."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Generator, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,75 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.arrow import arrow_function
 from ..functions.text import let, trim_ws
 from .dispatch import Source, result
+from .html_tree import Node, parse, preorder
 
-#: Elements whose content isn't shown, elements without content, and elements that stand alone.
-HIDDEN = {"script", "style", "head", "noscript", "iframe", "input", "textarea", "template"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "li", "tbody", "thead", "tfoot"}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
-
-
-class Tree(HTMLParser):
-    """A lenient tree: end tags close what is open up to them, paragraphs and list items close themselves."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#root")
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and any(n.tag == "p" for n in self.open):
-            self._close("p")
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            self._close(tag, within=("ul", "ol", "dl", "table", "select") if tag not in ("td", "th") else ("tr", "table"))
-        node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Node(tag, dict(attrs)))
-
-    def handle_endtag(self, tag):
-        self._close(tag)
-
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-    def _close(self, tag, within=()):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in within:
-                return
-
-
-def parse(text: str) -> Node:
-    tree = Tree()
-    tree.feed(text)
-    tree.close()
-    return tree.root
+#: Elements whose content isn't shown, elements that stand alone, and those that mark up text.
+HIDDEN = frozenset("script style head noscript iframe input textarea template".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li listing main menu nav ol p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
+MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
 
 
 def find(node: Node, tag: str) -> Node | None:
-    """The first element of that name, in document order, outside scripts and styles."""
-    stack = [node]
-    while stack:
-        here = stack.pop()
-        if isinstance(here, Node):
-            if here.tag == tag:
-                return here
-            if here.tag not in ("script", "style"):
-                stack += reversed(here.children)
-    return None
+    """The first element of that name, in document order."""
+    return next((n for n in preorder(node) if n.tag == tag), None)
 
 
 def text_of(node: Node) -> str:
@@ -101,125 +42,170 @@ def escaped(text: str) -> str:
     return re.sub(r"<(?=[A-Za-z/!])", r"\\<", text)
 
 
+def flag_blocks(root: Node) -> None:
+    """Marks every element that is a block or holds one."""
+    for node in reversed(list(preorder(root))):
+        node.block = node.tag in BLOCK or any(isinstance(c, Node) and c.block and c.tag not in HIDDEN for c in node.children)
+
+
+def around(inner: str, before: str, after: str) -> str:
+    """White space and line breaks at the ends stay outside of marks; without text there are none."""
+    blank = " \t\n\v\f\r\x00"
+    core = inner.strip(blank)
+    return f"{inner[: len(inner) - len(inner.lstrip(blank))]}{before}{core}{after}{inner[len(inner.rstrip(blank)) :]}" if core else inner
+
+
+def link_marks(node: Node) -> tuple[str, str] | None:
+    href, title = node.attrs.get("href"), node.attrs.get("title")
+    named = f' "{title}"' if title else ""
+    return None if href is None else ("[", f"]({href}{named})")
+
+
+def run(made: Generator) -> object:
+    """The result of a generator that yields the generators whose results it needs: calls without Python's own stack."""
+    stack, value = [made], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 class Renderer:
-    """Inline elements become strings with single spaces, blocks lists of paragraphs."""
+    """Inline elements become strings with single spaces, blocks lists of paragraphs. `marks` are the kinds of marks that
+    are on: text that is bold needs no second pair, and there are no links in links. Marks around blocks go around each
+    of their paragraphs."""
 
-    def inline(self, children: list) -> str:
-        return re.sub(r"[ \t\n\f\r]+", " ", "".join(self._inline(c) for c in children)).replace("\x00", "  \n").strip(" ")
+    def inline(self, children: list, marks: frozenset = frozenset()) -> Generator:
+        parts = []
+        for child in children:
+            parts.append(escaped(child) if isinstance(child, str) else (yield self._inline(child, marks)))
+        return "".join(parts)
 
-    def _wrapped(self, node: Node, mark: str) -> str:
-        inner = "".join(self._inline(c) for c in node.children)
-        core = inner.strip()
-        if not core:
-            return inner
-        return inner[: len(inner) - len(inner.lstrip())] + mark + core + mark + inner[len(inner.rstrip()) :]
+    @staticmethod
+    def line(text: str) -> str:
+        return re.sub(r"[ \t\n\f\r]+", " ", text).strip(" \x00").replace(" \x00", "\x00").replace("\x00 ", "\x00").replace("\x00", "  \n")
 
-    def _inline(self, node) -> str:
-        if isinstance(node, str):
-            return escaped(node)
+    def _inline(self, node: Node, marks: frozenset) -> Generator:
         tag = node.tag
         if tag in HIDDEN:
             return ""
         if tag == "br":
             return "\x00"
-        if tag in ("strong", "b"):
-            return self._wrapped(node, "**")
-        if tag in ("em", "i"):
-            return self._wrapped(node, "*")
         if tag in ("code", "kbd", "samp", "tt"):
             inner = text_of(node)
             ticks = "`" * (max((len(r) for r in re.findall("`+", inner)), default=0) + 1)
             return f"{ticks}{inner}{ticks}" if inner.strip() else ""
         if tag == "img":
             return f"![{escaped(node.attrs.get('alt') or '')}]({node.attrs.get('src') or ''})" if node.attrs.get("src") else ""
-        inner = "".join(self._inline(c) for c in node.children)
-        if tag == "a":
-            core, href = inner.strip(), node.attrs.get("href")
-            if href is None or not core:
-                return inner
-            title = node.attrs.get("title")
-            named = f' "{title}"' if title else ""
-            return f"{inner[: len(inner) - len(inner.lstrip())]}[{core}]({href}{named}){inner[len(inner.rstrip()) :]}"
+        mark, pair = self._marks(node, marks)
+        inner = yield self.inline(node.children, marks | {mark})
+        if pair:
+            return around(inner, *pair)
         return f" {inner} " if tag in BLOCK else inner
 
-    def blocks(self, children: list) -> list[str]:
+    @staticmethod
+    def _marks(node: Node, marks: frozenset) -> tuple[str, tuple[str, str] | None]:
+        """The kind of mark that an element is, and what it puts before and after its text, if that isn't on already."""
+        mark = MARKS.get(node.tag, node.tag if node.tag == "a" else "")
+        if not mark or mark in marks:
+            return mark, None
+        return mark, link_marks(node) if mark == "a" else (mark, mark)
+
+    def blocks(self, children: list, marks: frozenset = frozenset(), pairs: tuple = ()) -> Generator:
         out: list[str] = []
-        run: list = []
+        held: list = []
 
-        def flush() -> None:
-            line = self.inline(run)
-            if line:
-                out.append(re.sub(r"^(#{1,6} |[-+>](?= )|\d+[.)](?= ))", r"\\\1", line))
-            run.clear()
+        def flush() -> Generator:
+            text = yield self.inline(held, marks)
+            for pair in pairs:
+                text = around(text, *pair)
+            text = self.line(text)
+            if text:
+                out.append(re.sub(r"^(\d+)([.)])(?= )", r"\1\\\2", re.sub(r"^(#{1,6} |[-+>](?= ))", r"\\\1", text)))
+            held.clear()
 
         for child in children:
             if isinstance(child, Node) and child.tag in HIDDEN:
                 continue
-            if isinstance(child, Node) and (child.tag in BLOCK or self._holds_block(child)):
-                flush()
-                out += self._block(child)
+            if isinstance(child, Node) and child.block:
+                yield flush()
+                out += yield self._block(child, marks, pairs)
             else:
-                run.append(child)
-        flush()
+                held.append(child)
+        yield flush()
         return out
 
-    def _holds_block(self, node: Node) -> bool:
-        stack = [node]
-        while stack:
-            for c in stack.pop().children:
-                if isinstance(c, Node):
-                    if c.tag in BLOCK:
-                        return True
-                    stack.append(c)
-        return False
-
-    def _block(self, node: Node) -> list[str]:
+    def _block(self, node: Node, marks: frozenset, pairs: tuple) -> Generator:
         tag = node.tag
-        if re.fullmatch("h[1-6]", tag):
-            line = self.inline(node.children).replace("  \n", " ")
+        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            text = yield self.inline(node.children, marks)
+            line = self.line(text).replace("  \n", " ")
             return [f"{'#' * int(tag[1])} {line}"] if line else []
         if tag == "hr":
             return ["* * *"]
-        if tag == "pre":
+        if tag in ("pre", "listing", "plaintext", "xmp"):
             code = text_of(node).strip("\n")
             child = next((c for c in node.children if isinstance(c, Node) and c.tag == "code"), None)
             found = re.search(r"language-(\S+)", (child.attrs.get("class") or "") if child else "")
             fence = "`" * max(3, 1 + max((len(r) for r in re.findall("`+", code)), default=0))
             return [f"{fence}{found[1] if found else ''}\n{code}\n{fence}"]
         if tag == "blockquote":
-            inner = "\n\n".join(self.blocks(node.children))
+            parts = yield self.blocks(node.children, marks, pairs)
+            inner = "\n\n".join(parts)
             return ["\n".join("> " + x if x else ">" for x in inner.split("\n"))] if inner else []
-        if tag in ("ul", "ol"):
-            items, number = [], int(node.attrs.get("start") or 1) if (node.attrs.get("start") or "1").isdigit() else 1
+        if tag in ("ul", "ol", "menu", "dir"):
+            items, start = [], node.attrs.get("start") or "1"
+            number = int(start) if start.isdecimal() else 1
             for child in node.children:
                 if isinstance(child, Node) and child.tag not in HIDDEN:
-                    parts = self.blocks(child.children)
+                    parts = yield self.blocks(child.children if child.tag == "li" else [child], marks, pairs)
                     mark = f"{number}. " if tag == "ol" else "- "
                     number += 1
-                    tight = all(not re.search("\n\n", p) for p in parts) and len(parts) <= 2
+                    tight = all("\n\n" not in p for p in parts) and len(parts) <= 2
                     body = ("\n" if tight else "\n\n").join(parts)
                     if body:
                         items.append(mark + body.replace("\n", "\n" + " " * len(mark)))
             return ["\n".join(items)] if items else []
-        if tag in ("tr", "thead", "tbody", "tfoot", "table", "td", "th"):
-            return self.blocks(node.children)
-        if tag == "p" or tag.startswith("d") or tag in BLOCK:
-            return self.blocks(node.children)
-        return self.blocks(node.children)
+        if tag == "tr" and not any(isinstance(c, Node) and any(isinstance(x, Node) and x.block for x in c.children) for c in node.children):
+            # a row of plain cells is one line
+            cells = [c for x in node.children for c in ([x, " "] if isinstance(x, Node) else [x])]
+            return (yield self.blocks([c if isinstance(c, str) else self._plain_cell(c) for c in cells], marks, pairs))
+        mark, pair = self._marks(node, marks)
+        return (yield self.blocks(node.children, marks | {mark} if mark else marks, (pair, *pairs) if pair else pairs))
+
+    @staticmethod
+    def _plain_cell(cell: Node) -> Node:
+        inline = Node("span")
+        inline.children = cell.children
+        return inline
 
 
 def html_to_markdown(text: str) -> tuple[str, str]:
     """(Markdown, title) of an HTML text: the body if there is one, else all of it."""
     root = parse(text)
-    title = find(root, "title")
-    body = find(root, "body")
-    return "\n\n".join(Renderer().blocks((body or root).children)), text_of(title).strip() if title else ""
+    title, body = find(root, "title"), find(root, "body")
+    flag_blocks(root)
+    return "\n\n".join(run(Renderer().blocks((body or root).children))), text_of(title).strip() if title else ""
+
+
+def attempted(text: str | None) -> tuple[str | None, str | None, str | None]:
+    """(Markdown, title, error): whatever a page breaks on is its own row's error."""
+    if text is None:
+        return None, None, None
+    try:
+        return *html_to_markdown(text), None
+    except Exception as e:  # noqa: BLE001
+        return None, None, f"{type(e).__name__}: {e}"
 
 
-@arrow_function("struct<markdown:string,title:string>")
+@arrow_function("struct<markdown:string,title:string,error:string>")
 def render_html(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame([html_to_markdown(x) if x is not None else (None, None) for x in batch], columns=["markdown", "title"])
+        yield pd.DataFrame([attempted(x) for x in batch], columns=["markdown", "title", "error"])
 
 
 def maybe_html(text: Column) -> Column:
@@ -247,4 +233,4 @@ def title_of(html: Column) -> Column:
 
 
 def html(source: Source) -> Column:
-    return let(render_html(source.text), lambda r: result(r["markdown"], r["title"]))
+    return let(render_html(source.text), lambda r: result(r["markdown"], r["title"], r["error"]))

@@ -352,7 +352,7 @@ def q26_html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_escaped(x: str) -> str:
     """Text as Markdown: a backslash before what would mean something."""
-    return rf"regexp_replace({x}, '([\\\\`*_\\[\\]])', '\\\\\\1', 'g')"
+    return rf"regexp_replace({x}, '([\\`*_\[\]])', '\\\1', 'g')"
 
 
 @query(f"""SELECT p_partkey, p_name AS title, '## ' || {sql_escaped('p_name')} || {SQL_GAP} || 'A **' || {sql_escaped('p_brand')} || '** of *' || {sql_escaped('lower(p_type)')} || '*, see [size ' || p_size || '](/parts/' || p_partkey || ')' || {SQL_GAP} || '- first' || chr(10) || '- ' || {sql_escaped('p_brand')} || {SQL_GAP} || '1. one' || chr(10) || '2. two' || {SQL_GAP} || '> kept' || {SQL_GAP} || {SQL_FENCE} || chr(10) || p_type || chr(10) || {SQL_FENCE} AS markdown FROM part""")
@@ -367,6 +367,73 @@ def q27_html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("source_id").alias("p_partkey"), "title", normalize_markdown(F.col("markdown")).alias("markdown"))
 
 
+SQL_PAGE_REST = r"regexp_replace(html, '(?s)^.*?</nav>', '')"
+SQL_PAGE_PARTS = rf"regexp_split_to_array({SQL_PAGE_REST}, '<!--.*?-->|</?(?:div|article|p|footer|body|html)[^>]*>|</h1>')"
+
+
+def sql_page_text(x: str) -> str:
+    """A stretch of a page without its tags, references read, in one line."""
+    for reference, sign in (("&copy;", "'©'"), ("&middot;", "'·'"), ("&quot;", "chr(34)")):
+        x = f"replace({x}, '{reference}', {sign})"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&amp;?', '&', 'g'), '[ \t\n\f\r]+', ' ', 'g'))"
+
+
+@query(f"""WITH s AS (SELECT page_id, unnest({SQL_PAGE_PARTS}) AS s, generate_subscripts({SQL_PAGE_PARTS}, 1) AS i FROM pages),
+t AS (SELECT page_id, i, contains(s, '<h1>') AS heading, bool_or(contains(s, '<b>')) OVER (PARTITION BY page_id ORDER BY i) AS bold, {sql_page_text("s")} AS text FROM s),
+b AS (SELECT page_id, string_agg(CASE WHEN heading THEN '# ' || e WHEN bold THEN '**' || e || '**' ELSE e END, {SQL_GAP} ORDER BY i) AS body FROM (SELECT *, {sql_escaped("text")} AS e FROM t WHERE text <> '') GROUP BY page_id),
+n AS (SELECT page_id, array_to_string(list_transform(list_zip({SQL_NAV}, 2), {SQL_NAV}, 1)), lambda x: '- [' || x[1] || '](' || x[2] || ')'), chr(10)) AS nav, {sql_trim(sql_page_text(SQL_TITLE))} AS title FROM pages)
+SELECT page_id, title, {sql_normalize(f"nav || {SQL_GAP} || body")} AS markdown, NULL::VARCHAR AS error FROM n JOIN b USING (page_id)""")
+def q40_pages_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The real pages, in which bold text is opened in paragraphs and never closed."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), F.encode("html", "utf-8").alias("content"))
+    done = dispatch.converted(pages, html.html)
+    return done.select(F.col("source_id").alias("page_id"), "title", normalize_markdown(F.col("markdown")).alias("markdown"), "error")
+
+
+#: Misnested, unclosed and misplaced tags around a part's name (N), brand (B) and type (T), and what they mean.
+MISNESTED = [
+    ("<p>N <b>see <i>B</b> or</i> T", "N **see *B*** *or* T"),
+    ("<b>1 N<p>B</b> T</p>", "**1 N**|**B** T"),
+    ("<table><b><tr><td>N</td></tr>B</table>T", "**B**|N|**T**"),
+    ("<a href=/1>N<a href=/2>B</a>", "[N](/1)[B](/2)"),
+    ("<ul><li>N<li>B<ol><li>T</ol></ul>", "- N/- B/  1. T"),
+    ("<table>B<tr><td>N<td>T<tr><th>B</table>", "B|N T|B"),
+    ("<h2>N<h3>B</h2>T", "## N|### B|T"),
+    ("<p>N</p></p>B<textarea><p>hidden</textarea><div>T", "N|B|T"),
+    ("<svg><g>N<p>B</svg>", "N|B"),
+    ("<i>" * 300 + "N<p>B", "*N*|*B*"),
+    ("<dl><dt>N<dd>B<dt>T</dl>", "N|B|T"),
+    ("<script><!--<script></script>--></script>N<!--><p>B<!-- c --!>", "N|B"),
+    ("<b><p>N<p>B</b>T", "**N**|**B**T"),
+    ("<template><td>N</template><td>B</td>", "B"),
+]
+
+
+def _misnested_sql() -> str:
+    def written(form: str) -> str:
+        for sign, value in (("|", SQL_GAP), ("/", "chr(10)")):
+            form = form.replace("](/", "](\0") if sign == "|" else form
+            form = form.replace(sign, f"' || {value} || '")
+        for letter, column in (("N", sql_escaped("p_name")), ("B", sql_escaped("p_brand")), ("T", sql_escaped("lower(p_type)"))):
+            form = form.replace(letter, f"' || {{{letter}}} || '")
+        for letter, column in (("N", sql_escaped("p_name")), ("B", sql_escaped("p_brand")), ("T", sql_escaped("lower(p_type)"))):
+            form = form.replace(f"{{{letter}}}", column)
+        return "'" + form.replace("\0", "/") + "'"
+
+    return "SELECT p_partkey, CASE p_partkey % " + str(len(MISNESTED)) + "".join(f" WHEN {i} THEN {written(form)}" for i, (_, form) in enumerate(MISNESTED)) + " END AS markdown FROM part"
+
+
+@query(_misnested_sql())
+def q41_html_misnested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = F.get(F.array(*(F.lit(form) for form, _ in MISNESTED)), (F.col("p_partkey") % len(MISNESTED)).cast("int"))
+    for letter, column in (("N", F.col("p_name")), ("B", F.col("p_brand")), ("T", F.lower("p_type"))):
+        # letters stand between marks that no name has, so that no name is taken for a letter
+        forms = F.regexp_replace(forms, f"(?<![A-Za-z\x02]){letter}(?![A-Za-z\x03])", F.concat(F.lit("\x02"), F.regexp_replace(_xml(column), r"([\\$])", r"\\$1"), F.lit("\x03")))
+    page = F.concat(F.lit("<!doctype html>"), F.translate(forms, "\x02\x03", ""))
+    done = dispatch.converted(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_id"), F.encode(page, "utf-8").alias("content")), html.html)
+    return done.select(F.col("source_id").alias("p_partkey"), normalize_markdown(F.col("markdown")).alias("markdown"))
+
+
 @query("""SELECT position, name || chr(9) || '(priority ' || priority || ')' AS line FROM (VALUES (0::BIGINT, 'ipynb', 10), (1, 'docx', 12), (2, 'pptx', 13), (3, 'pdf', 14), (4, 'xlsx', 15), (5, 'xls', 16), (6, 'csv', 20), (7, 'epub', 25), (8, 'rss', 30), (9, 'zip', 35), (10, 'html', 40), (11, 'text', 100)) AS t(position, name, priority)""")
 def q28_list_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame([(n, float(p)) for n, p, _ in dispatch.default_entries()], "name string, priority double")

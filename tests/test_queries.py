@@ -76,7 +76,7 @@ def test_html_goldens():
         "<ol><li>one</li><li>two<ul><li>in</li></ul></li></ol>": "1. one\n2. two\n   - in",
         "<blockquote><p>q</p></blockquote><pre><code class='language-py'>a\n b</code></pre>": "> q\n\n```py\na\n b\n```",
         "<p>1 * 2 [x] <code>a`b</code></p>": "1 \\* 2 \\[x\\] ``a`b``",
-        "<p><b>open<p>next</b>": "**open**\n\nnext",
+        "<p><b>open<p>next</b> on": "**open**\n\n**next** on",
         "<a href='/u' title='t'>n</a> <img src='i.png' alt='p'>": '[n](/u "t") ![p](i.png)',
     }
     for source, want in cases.items():
