@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import drop_blank_rows, greatest_width, render_table
 from .dispatch import Source
-from .office import BUILT_IN, GRID, general, read_once, reader, shown_number
+from .number_formats import BUILT_IN, general, shown_number, shown_text
+from .office import GRID, read_once, reader
 
 #: The compound file's signature and its marks for sectors that end a chain or aren't used.
 SIGNATURE = bytes.fromhex("D0CF11E0A1B11AE1")
@@ -167,11 +168,10 @@ def parse_xls(data: bytes) -> list[dict]:
         elif number == DATEMODE:
             epoch = body[:1] == b"\x01"
 
+    code = lambda style: codes.get(styles[style]) if style < len(styles) else None
+
     def shown(value: float, style: int) -> str:
-        try:
-            return shown_number(value, codes.get(styles[style]) if style < len(styles) else None, epoch) or general(value)
-        except (OverflowError, ValueError):
-            return general(value)
+        return shown_number(value, code(style), epoch) or general(value)
 
     out = []
     for index, (place, name) in enumerate(sheets):
@@ -190,9 +190,9 @@ def parse_xls(data: bytes) -> list[dict]:
                     if number in (LABELSST, LABEL, RSTRING, NUMBER, RK, FORMULA, BOOLERR):
                         row, column, style = struct.unpack_from("<HHH", body)
                     if number == LABELSST:
-                        cells[row, column] = shared[struct.unpack_from("<I", body, 6)[0]]
+                        cells[row, column] = shown_text(shared[struct.unpack_from("<I", body, 6)[0]], code(style))
                     elif number in (LABEL, RSTRING):
-                        cells[row, column] = short_string(body, 6, True)
+                        cells[row, column] = shown_text(short_string(body, 6, True), code(style))
                     elif number == NUMBER:
                         cells[row, column] = shown(struct.unpack_from("<d", body, 6)[0], style)
                     elif number == RK:

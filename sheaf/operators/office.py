@@ -3,7 +3,6 @@ blocks become Markdown natively."""
 
 from __future__ import annotations
 
-import datetime
 import io
 import posixpath
 import re
@@ -23,6 +22,7 @@ from .archives import book_metadata
 from .dispatch import Source, result
 from .feeds import local
 from .html import html_to_markdown
+from .number_formats import BUILT_IN, shown_number, shown_text
 
 #: Limits of a package, as nothing else bounds what a small file unpacks to.
 PACKAGE_ENTRIES, PACKAGE_BYTES = 10_000, 256 << 20
@@ -281,71 +281,6 @@ def render_slides(slides: Column) -> Column:
 
 # -- workbooks
 
-#: The number formats that have no code of their own in a workbook.
-BUILT_IN = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0", 38: "#,##0", 39: "#,##0.00", 40: "#,##0.00", 45: "mm:ss", 46: "h:mm:ss", 47: "mm:ss", 49: "@"}
-
-
-def general(value: float) -> str:
-    return str(int(value)) if value == int(value) and abs(value) < 1e15 else f"{value:.15g}"
-
-
-def shown_date(value: float, code: str, epoch_1904: bool) -> str:
-    start = datetime.datetime(1904, 1, 1) if epoch_1904 else datetime.datetime(1899, 12, 30)
-    when = start + datetime.timedelta(seconds=round(value * 86400))
-    half = "am/pm" in code.lower()
-    hour = (when.hour % 12 or 12) if half else when.hour
-    out, minutes = [], False
-    for token in re.findall(r"(?i)am/pm|y+|m+|d+|h+|s+|\"[^\"]*\"|\\.|.", code):
-        low = token.lower()
-        if low == "am/pm":
-            out.append("AM" if when.hour < 12 else "PM")
-        elif low[0] == "y":
-            out.append(f"{when.year:04d}" if len(token) > 2 else f"{when.year % 100:02d}")
-        elif low[0] == "h":
-            out.append(f"{hour:02d}" if len(token) > 1 else str(hour))
-            minutes = True
-            continue
-        elif low[0] == "s":
-            out.append(f"{when.second:02d}" if len(token) > 1 else str(when.second))
-        elif low[0] == "m" and (minutes or re.search(r"(?i)^:s", code[len("".join(out)) :]) or code.lower() in ("mm:ss",)):
-            out.append(f"{when.minute:02d}" if len(token) > 1 else str(when.minute))
-        elif low[0] == "m":
-            out.append({1: str(when.month), 2: f"{when.month:02d}", 3: when.strftime("%b")}.get(len(token), when.strftime("%B")))
-        elif low[0] == "d":
-            out.append({1: str(when.day), 2: f"{when.day:02d}", 3: when.strftime("%a")}.get(len(token), when.strftime("%A")))
-        else:
-            out.append(token[1:] if token[0] == "\\" else token.strip('"'))
-            if token != ":":
-                minutes = False
-            continue
-        minutes = False
-    return "".join(out)
-
-
-def shown_number(value: float, code: str | None, epoch_1904: bool = False) -> str:
-    """As the number format shows it: dates and times, percents, fixed decimals, thousands, exponents."""
-    if not code or code.lower() == "general" or code == "@":
-        return general(value)
-    sections = code.split(";")
-    part = sections[1] if value < 0 and len(sections) > 1 else sections[0]
-    bare = re.sub(r"\[[^\]]*\]|\"[^\"]*\"|\\.|_.|\*.", "", part)
-    if re.search("[ymdhs]", bare, re.I) and not re.search("[0#]", bare):
-        return shown_date(value, re.sub(r"\[\$?[^\]]*\]|_.|\*.", "", part), epoch_1904)
-    number = abs(value) if value < 0 and len(sections) > 1 else value
-    decimals = len(m[1]) if (m := re.search(r"\.([0#]+)", bare)) else 0
-    if "E+" in bare.upper():
-        mantissa, _, exponent = f"{number:.{decimals}E}".partition("E")
-        return f"{mantissa}E{exponent[0]}{int(exponent[1:]):02d}"
-    if "%" in bare:
-        return f"{number * 100:.{decimals}f}%"
-    if not re.search("[0#?]", bare):
-        return general(value)
-    text = f"{number:,.{decimals}f}" if re.search(r"[#0],[#0]", bare) else f"{number:.{decimals}f}"
-    front = re.match(r"(?:\[\$([^\]-]*)[^\]]*\]|\"([^\"]*)\"|\\(.)|([$€£(-]))*", part)
-    lead = "".join(x for x in front.groups() if x) if front else ""
-    tail = ")" if lead.endswith("(") else ""
-    return lead + text + tail
-
 
 def cell_place(name: str) -> tuple[int, int]:
     letters, digits = re.fullmatch(r"([A-Za-z]+)(\d+)", name).groups()
@@ -384,17 +319,18 @@ def parse_xlsx(data: bytes) -> list[dict]:
     def value(c: ET.Element) -> str:
         kind, v = attribute(c, "t"), child(c, "v")
         raw = (v.text or "") if v is not None else ""
+        style = attribute(c, "s")
+        code = formats[int(style)] if style.isdigit() and int(style) < len(formats) else None
         if kind == "s":
-            return shared[int(raw)] if raw.isdigit() and int(raw) < len(shared) else ""
+            return shown_text(shared[int(raw)], code) if raw.isdigit() and int(raw) < len(shared) else ""
         if kind == "inlineStr":
-            return rich_text(child(c, "is"))
+            return shown_text(rich_text(child(c, "is")), code)
         if kind == "b":
             return "TRUE" if raw == "1" else "FALSE" if raw else ""
         if kind in ("str", "e", "d") or not raw:
             return raw
-        style = attribute(c, "s")
         try:
-            return shown_number(float(raw), formats[int(style)] if style.isdigit() and int(style) < len(formats) else None, epoch)
+            return shown_number(float(raw), code, epoch)
         except (ValueError, OverflowError):
             return raw
 

@@ -88,6 +88,11 @@ def pptx(slides: list[dict]) -> bytes:
     return zipped(members)
 
 
+def column_name(at: int) -> str:
+    """A to Z, AA to AZ, and so on."""
+    return (column_name(at // 26 - 1) if at >= 26 else "") + chr(65 + at % 26)
+
+
 def xlsx(sheets: dict[str, list[list]]) -> bytes:
     """A cell is a text (shared), a number, a truth value, (number, format code), or None."""
     shared: dict[str, int] = {}
@@ -101,12 +106,12 @@ def xlsx(sheets: dict[str, list[list]]) -> bytes:
         if isinstance(value, str):
             return f'<c r="{place}" t="s"><v>{shared.setdefault(value, len(shared))}</v></c>'
         if isinstance(value, tuple):
-            return f'<c r="{place}" s="{codes.setdefault(value[1], len(codes)) + 1}"><v>{value[0]}</v></c>'
+            return f'<c r="{place}" s="{codes.setdefault(value[1], len(codes)) + 1}"><v>{value[0]!r}</v></c>'
         return f'<c r="{place}"><v>{value}</v></c>'
 
     space, members = f'xmlns="{SHEETS}" xmlns:r="{LINKS}"', {}
     for i, rows in enumerate(sheets.values()):
-        lines = "".join(f'<row r="{r + 1}">' + "".join(cell(f"{chr(65 + c)}{r + 1}", v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows) if row)
+        lines = "".join(f'<row r="{r + 1}">' + "".join(cell(f"{column_name(c)}{r + 1}", v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows) if row)
         members[f"xl/worksheets/grid{i + 1}.xml"] = f"<worksheet {space}><sheetData>{lines}</sheetData></worksheet>"
     members["xl/workbook.xml"] = f"<workbook {space}><sheets>" + "".join(f'<sheet name={quoteattr(n)} sheetId="{i + 1}" r:id="g{i + 1}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>"
     members["xl/_rels/workbook.xml.rels"] = part_links({f"g{i + 1}": f"worksheets/grid{i + 1}.xml" for i in range(len(sheets))})
@@ -137,12 +142,14 @@ def pdf(lines: list[str], compressed: bool = True) -> bytes:
 
 
 def xls(name: str, rows: list[list]) -> bytes:
-    """A BIFF8 workbook of one sheet in a compound file. A cell is a text (shared), a number, or (number, "date")."""
+    """A BIFF8 workbook of one sheet in a compound file. A cell is a text (shared), a number, (number, "date") or (number,
+    format code)."""
     record = lambda kind, body=b"": struct.pack("<HH", kind, len(body)) + body
     counted = lambda form, text: struct.pack(form, len(text), 0) + text.encode("latin-1")
     texts = list(dict.fromkeys(c for row in rows for c in row if isinstance(c, str)))
     begin = record(0x0809, struct.pack("<HHHHII", 0x0600, 5, 0, 0, 0, 0))
-    styles = record(0x041E, struct.pack("<H", 180) + counted("<HB", "yyyy-mm-dd")) + b"".join(record(0x00E0, struct.pack("<HH", 0, code) + bytes(16)) for code in (0, 180))
+    codes = list(dict.fromkeys("yyyy-mm-dd" if c[1] == "date" else c[1] for row in rows for c in row if isinstance(c, tuple)))
+    styles = b"".join(record(0x041E, struct.pack("<H", 180 + i) + counted("<HB", code)) for i, code in enumerate(codes)) + b"".join(record(0x00E0, struct.pack("<HH", 0, code) + bytes(16)) for code in (0, *range(180, 180 + len(codes))))
     table = record(0x00FC, struct.pack("<II", len(texts), len(texts)) + b"".join(counted("<HB", t) for t in texts))
     cells = b""
     for r, row in enumerate(rows):
@@ -150,7 +157,7 @@ def xls(name: str, rows: list[list]) -> bytes:
             if isinstance(value, str):
                 cells += record(0x00FD, struct.pack("<HHHI", r, c, 0, texts.index(value)))
             elif isinstance(value, tuple):
-                cells += record(0x0203, struct.pack("<HHHd", r, c, 1, value[0]))
+                cells += record(0x0203, struct.pack("<HHHd", r, c, 1 + codes.index("yyyy-mm-dd" if value[1] == "date" else value[1]), value[0]))
             elif isinstance(value, int) and abs(value) < 1 << 29:
                 cells += record(0x027E, struct.pack("<HHHi", r, c, 0, value << 2 | 2))
             elif value is not None:

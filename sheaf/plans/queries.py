@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions.arrow import arrow_function
-from ..functions.charset import decode_text
+from ..functions.charset import ENCODINGS, decode_text
 from ..functions.tables import drop_blank_rows, render_table
 from ..functions.text import inline_text, normalize_markdown, truncate_data_uris
 from ..operators import archives, delimited, dispatch, feeds, html, layout, legacy_xls, notebooks, office, pdf, stream_info
@@ -558,3 +558,98 @@ def q39_content_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     mime = F.when(which < 2, "application/json").when(which == 5, "text/xml")
     names = dispatch.candidates(dispatch.default_entries(), extension, mime, F.encode(F.get(texts, which.cast("int")), "utf-8"))
     return read(spark, sf_dir, "part").select("p_partkey", F.get(names, F.lit(0)).alias("converter"))
+
+
+SQL_DAY = "(DATE '2023-03-15' + (k % 5000)::INT)"
+SQL_CLOCK = "(TIMESTAMP '2000-01-01 00:00:00' + to_seconds(1800 * (k % 48)))"
+#: Format codes, a number for each key k, and SQL for what shows.
+SHOWN: list[tuple[str, Callable[[int], float], str]] = [
+    ("000000", lambda k: k, "lpad(k::VARCHAR, 6, '0')"),
+    ("#,##0", lambda k: k * 1234, "format('{:,}', k * 1234)"),
+    ("0.00", lambda k: k / 4, "printf('%.2f', k / 4)"),
+    ("0.0", lambda k: k / 4, "printf('%.1f', floor(k * 2.5 + 0.5)::DOUBLE / 10)"),
+    ("0%", lambda k: k % 8 / 8, "floor(k % 8 * 12.5 + 0.5)::INT || '%'"),
+    ("0.000%", lambda k: k % 8 / 8, "printf('%.3f', (k % 8 * 12.5)::DOUBLE) || '%'"),
+    ("#,##0,", lambda k: k * 1000 + 500, "format('{:,}', k + 1)"),
+    ('0.0,,"M"', lambda k: k * 100_000, "printf('%.1f', k / 10) || 'M'"),
+    ("[h]:mm", lambda k: k / 24, "k || ':00'"),
+    ("[mm]:ss", lambda k: k / 1440, "CASE WHEN k < 10 THEN '0' ELSE '' END || k || ':00'"),
+    ("[s]", lambda k: k / 86400, "k::VARCHAR"),
+    ("yyyy-mm-dd", lambda k: 45000 + k % 5000, f"strftime({SQL_DAY}, '%Y-%m-%d')"),
+    ("m/d/yy", lambda k: 45000 + k % 5000, f"month({SQL_DAY}) || '/' || day({SQL_DAY}) || strftime({SQL_DAY}, '/%y')"),
+    ("d-mmm-yyyy", lambda k: 45000 + k % 5000, f"day({SQL_DAY}) || strftime({SQL_DAY}, '-%b-%Y')"),
+    ("dddd, mmmm dd", lambda k: 45000 + k % 5000, f"strftime({SQL_DAY}, '%A, %B %d')"),
+    ('ddd mmmmm yyyy"y"', lambda k: 45000 + k % 5000, f"strftime({SQL_DAY}, '%a ') || left(strftime({SQL_DAY}, '%B'), 1) || strftime({SQL_DAY}, ' %Yy')"),
+    ("h:mm AM/PM", lambda k: k % 48 / 48, f"strftime({SQL_CLOCK}, '%-I:%M %p')"),
+    ("hh:mm:ss", lambda k: k % 86400 / 86400, "strftime(TIMESTAMP '2000-01-01 00:00:00' + to_seconds(k % 86400), '%H:%M:%S')"),
+    ("mm:ss.0", lambda k: k / 864_000, "lpad((k // 600 % 60)::VARCHAR, 2, '0') || ':' || lpad((k // 10 % 60)::VARCHAR, 2, '0') || '.' || k % 10"),
+    ("yyyy-mm-dd hh:mm", lambda k: 45000 + k % 5000 + k % 48 / 48, f"strftime({SQL_DAY}, '%Y-%m-%d ') || strftime({SQL_CLOCK}, '%H:%M')"),
+    ('0;(0);"none"', lambda k: k % 3 - 1, "CASE k % 3 WHEN 0 THEN '(1)' WHEN 1 THEN 'none' ELSE '1' END"),
+    ("0;[Red](0)", lambda k: -k, "CASE WHEN k = 0 THEN '0' ELSE '(' || k || ')' END"),
+    ('[<100]"low "0;[>=1000]"high "0;"mid "0', lambda k: k, "CASE WHEN k < 100 THEN 'low ' WHEN k >= 1000 THEN 'high ' ELSE 'mid ' END || k"),
+    ("0.0;-0.0", lambda k: -k / 4, "CASE WHEN k = 0 THEN '' ELSE '-' END || printf('%.1f', floor(k * 2.5 + 0.5)::DOUBLE / 10)"),
+    ('"<"# ?/?">"', lambda k: k / 2, "CASE WHEN k % 2 = 0 THEN '<' || k // 2 || '    >' ELSE '<' || CASE WHEN k > 1 THEN (k // 2)::VARCHAR ELSE '' END || ' 1/2>' END"),
+    ('"<"?/?">"', lambda k: k % 4 + 0.5, "'<' || 2 * (k % 4) + 1 || '/2>'"),
+    ('"<"# ??/16">"', lambda k: k % 16 / 16 + 1, "CASE WHEN k % 16 = 0 THEN '<1      >' ELSE '<1 ' || lpad((k % 16)::VARCHAR, 2, ' ') || '/16>' END"),
+    ("0.000000E+00", lambda k: k * 1000.0, "CASE WHEN k = 0 THEN '0.000000E+00' ELSE printf('%.6E', (k * 1000)::DOUBLE) END"),
+    ("##0.00000E+0", lambda k: k, "CASE WHEN k < 1000 THEN printf('%.5f', k::DOUBLE) || 'E+0' ELSE printf('%.5f', k / 1000) || 'E+3' END"),
+    ("000-00-0000", lambda k: 100_000_000 + k, "'100-' || lpad((k // 10000)::VARCHAR, 2, '0') || '-' || lpad((k % 10000)::VARCHAR, 4, '0')"),
+    ("(###) ###-####", lambda k: 5_550_000_000 + k, "'(555) ' || lpad((k // 10000)::VARCHAR, 3, '0') || '-' || lpad((k % 10000)::VARCHAR, 4, '0')"),
+    ("[$€-407]#,##0.00", lambda k: k / 4, "'€' || format('{:,.2f}', k / 4)"),
+    ("$#,##0.00;($#,##0.00)", lambda k: k / 4 - 10, "CASE WHEN k < 40 THEN '($' || format('{:,.2f}', 10 - k / 4) || ')' ELSE '$' || format('{:,.2f}', k / 4 - 10) END"),
+    ('General" kg"', lambda k: k / 2, "k // 2 || CASE WHEN k % 2 = 1 THEN '.5' ELSE '' END || ' kg'"),
+    ("#.##", lambda k: k / 4, "CASE WHEN k < 4 THEN '' ELSE (k // 4)::VARCHAR END || CASE k % 4 WHEN 0 THEN '.' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END"),
+    ('"<"0.0?">"', lambda k: k / 4, "'<' || k // 4 || CASE k % 4 WHEN 0 THEN '.0 ' WHEN 1 THEN '.25' WHEN 2 THEN '.5 ' ELSE '.75' END || '>'"),
+    ("\\x0\\y", lambda k: k, "'x' || k || 'y'"),
+    ('*-0"kg"', lambda k: k, "k || 'kg'"),
+    ("00000.000", lambda k: k / 8, "lpad(printf('%.3f', k / 8), 9, '0')"),
+    ('[=1]"one";[=0]"nil";0', lambda k: k % 3, "CASE k % 3 WHEN 0 THEN 'nil' WHEN 1 THEN 'one' ELSE '2' END"),
+]
+SQL_SHOWN = " || ".join(f"chr(10) || '| f{i} | ' || {shown.replace('k / ', 'k::DOUBLE / ')} || ' |'" for i, (_, _, shown) in enumerate(SHOWN))
+
+
+def _shown_rows(key: int) -> list[list]:
+    return [["code", "shown"], *([f"f{i}", (value(int(key)), code)] for i, (code, value, _) in enumerate(SHOWN))]
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k FROM part) SELECT k AS source_id, '## Card' || {SQL_GAP} || '| code | shown |' || chr(10) || '| --- | --- |' || {SQL_SHOWN} AS markdown FROM p""")
+def q42_number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each part, with a number in each of the formats of SHOWN."""
+    files = built(read(spark, sf_dir, "part"), "p_partkey", lambda key, _: packages.xlsx({"Card": _shown_rows(key)}), "p_partkey", "p_size")
+    return dispatch.converted(files, office.xlsx).select("source_id", "markdown")
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS k FROM supplier) SELECT k AS source_id, '## Card' || {SQL_GAP} || '| code | shown |' || chr(10) || '| --- | --- |' || {SQL_SHOWN.replace("'€'", "'E'")} AS markdown FROM p""")
+def q43_legacy_number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in legacy workbooks, one for each supplier."""
+    rows = lambda key: [[(v[0], v[1].replace("€", "E")) if isinstance(v, tuple) else v for v in row] for row in _shown_rows(key)]
+    files = built(read(spark, sf_dir, "supplier"), "s_suppkey", lambda key, _: packages.xls("Card", rows(key)), "s_suppkey", "s_nationkey")
+    return dispatch.converted(files, legacy_xls.xls).select("source_id", "markdown")
+
+
+#: Some bytes in each encoding (in hexadecimal digits) and what they say.
+PROBES = {
+    "utf-8": ("c3a9e282ac", "é€"), "ibm866": ("8fe0a8", "При"), "iso-8859-2": ("b3f3", "łó"), "iso-8859-3": ("a6b1", "Ĥħ"), "iso-8859-4": ("b6fe", "ļū"), "iso-8859-5": ("bfe0d8", "При"), "iso-8859-6": ("c8c7c8", "باب"), "iso-8859-7": ("a4c1", "€Α"),
+    "iso-8859-8": ("e0e1a1", "אב�"), "iso-8859-8-i": ("f9fa", "שת"), "iso-8859-10": ("bdfe", "―þ"), "iso-8859-13": ("b4d0", "“Š"), "iso-8859-14": ("a1f0", "Ḃŵ"), "iso-8859-15": ("a4bd", "€œ"), "iso-8859-16": ("a4aa", "€Ș"),
+    "koi8-r": ("f0d2c9", "При"), "koi8-u": ("a4aebe", "єўЎ"), "macintosh": ("dba5", "€•"), "windows-874": ("80a1dbff", "€ก��"), "windows-1250": ("9cb3", "śł"), "windows-1251": ("cff0e898", "При\x98"), "windows-1252": ("8081e9", "€\x81é"), "windows-1253": ("c1aae1", "Α�α"),
+    "windows-1254": ("d0fd", "Ğı"), "windows-1255": ("e0cad9", "אֺ�"), "windows-1256": ("c8fd", "ب\u200e"), "windows-1257": ("e0a1", "ą�"), "windows-1258": ("d0fe", "Đ₫"), "x-mac-cyrillic": ("8ff0a2ff", "ПрҐ€"),
+    "gbk": ("c4e380ff", "你€�"), "gb18030": ("a2e39439fc3680ff", "€😀€�"), "big5": ("a741ff", "你�"), "euc-jp": ("a4c68fb0a1", "て丂"), "iso-2022-jp": ("1b2442244624391b2842", "てす"), "shift_jis": ("82c4b1a0", "てｱ�"), "euc-kr": ("b0a1c8fe", "가힝"),
+    "replacement": ("c3a9", ""), "utf-16be": ("20ac0041", "€A"), "utf-16le": ("ac204100", "€A"), "x-user-defined": ("80ff", "\uf780\uf7ff"),
+}
+CHARSETS = sorted(ENCODINGS.items())
+_sql_list = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+SQL_ASCII = r"regexp_replace(text, '[^\x{0A}\x{20}-\x{7E}]', '?', 'g')"
+
+
+@query(f"""SELECT doc_id, label, CASE encoding WHEN 'replacement' THEN chr(65533) ELSE {SQL_ASCII} || probe END AS decoded FROM (SELECT doc_id, text, {_sql_list([label for label, _ in CHARSETS])}[doc_id % {len(CHARSETS)} + 1] AS label, {_sql_list([name for _, name in CHARSETS])}[doc_id % {len(CHARSETS)} + 1] AS encoding, {_sql_list([PROBES[name][1] for _, name in CHARSETS])}[doc_id % {len(CHARSETS)} + 1] AS probe FROM documents)""")
+def q44_charset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's ASCII text and some bytes of the encoding, by one of the standard's labels in turn."""
+    at = (F.col("doc_id") % len(CHARSETS)).cast("int")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), at)
+    plain = F.regexp_replace("text", r"[^\x0A\x20-\x7E]", "?")
+    encoding = pick([name for _, name in CHARSETS])
+    begin = F.when(encoding == "utf-16le", F.encode(plain, "UTF-16LE")).when(encoding == "utf-16be", F.encode(plain, "UTF-16BE")).otherwise(F.encode(plain, "UTF-8"))
+    label = pick([label for label, _ in CHARSETS])
+    given = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper(label), F.lit("\n"))).otherwise(label)
+    decoded = decode_text(F.concat(begin, F.unhex(pick([PROBES[name][0] for _, name in CHARSETS]))), given)
+    return read(spark, sf_dir, "documents").select("doc_id", label.alias("label"), decoded.alias("decoded"))

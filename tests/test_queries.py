@@ -4,6 +4,8 @@ import os
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheaf.functions import charset, text
@@ -51,9 +53,22 @@ def test_clean_path(spark):
 
 
 def test_charsets():
-    assert charset.decode_bytes(b"caf\xe9", "windows-1252") == "café"
-    assert charset.decode_bytes(b"a\xff\xfe\xffb", None) == "a�b"
-    assert charset.decode_bytes(b"\x80", "latin1") == "€" and charset.decode_bytes(b"x", "no-such") == "x"
+    decode = charset.decode_bytes
+    assert len(charset.ENCODINGS) == 228 and set(charset.ENCODINGS.values()) == set(queries.PROBES)
+    assert decode(b"caf\xe9", "windows-1252") == "café" and decode(b"\x80", " Latin1\n") == "€"
+    assert decode(b"a\xff\xfe\xffb", None) == "a�b" and decode(b"\xef\xbb\xbfx", "utf-8") == "﻿x"
+    # labels that only Python has, or nobody, mean UTF-8
+    for label in ("rot13", "hex", "base64", "zip", "bz2", "punycode", "unicode_escape", "cp037", "utf-7", "no-such", ""):
+        assert decode(b"x-1", label) == "x-1" and decode(b"\xe9", label) == "�"
+    errors = [(b"\x81\x20a", "gbk", "� a"), (b"\x80\xff", "x-gbk", "€�"), (b"\x81\xffq", "big5", "��q"), (b"\xfd\xa0\x80", "x-sjis", "��\x80"), (b"\x81", "euc-kr", "�"), (b"\x81\xffz", "ks_c_5601-1987", "��z"), (b"a\x00\xff", "utf-16", "a�"), (b"\x00\xd8a\x00", "utf-16le", "�a"), (b"", "iso-2022-kr", ""), (b"abc", "iso-2022-kr", "�")]
+    for data, label, want in errors:
+        assert decode(data, label) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=40), st.sampled_from(sorted(charset.ENCODINGS)))
+def test_no_bytes_fail_under_any_label(data, label):
+    assert isinstance(charset.decode_bytes(data, label), str)
 
 
 def test_csv_rules():
