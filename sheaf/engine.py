@@ -4,20 +4,17 @@ from __future__ import annotations
 
 import io
 import os
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import WS_CHARACTERS, base_name, extension, normalize_markdown
-from .operators import archives, delimited, dispatch, feeds, html, legacy_xls, notebooks, office, pdf, stream_info
+from .operators import archives, delimited, dispatch, feeds, html, legacy_xls, notebooks, office, pdf, stream_info, trees
 from .sources import uris
 
 SOURCE_COLUMNS = ("mime_type", "extension", "charset", "filename", "local_path", "url")
-LIMIT = "archive limit"
 
 
 @dataclass(frozen=True)
@@ -57,95 +54,6 @@ def placeholder(source: dispatch.Source) -> Column:
     return dispatch.result(F.lit(None).cast("string"))
 
 
-def unzip_trees(rows: DataFrame, limits: archives.ArchiveLimits) -> DataFrame:
-    """(source_id, path, name, content, archive_error) of all entries of each archive, and of the archives among them, in
-    one pass, row by row. A path holds the numbers of an entry and of the archives around it. Directories are left out.
-    What an archive breaks on comes as a row of its own with that archive's path: its entries don't matter then."""
-
-    def has_entries(name: str, body: bytes) -> bool:
-        ext = os.path.splitext(name)[1].lower()
-        return ext == ".zip" or (body[:4] == b"PK\x03\x04" and ext not in stream_info.EXTENSION_TYPES)
-
-    def opened(content: bytes, path: str, level: int) -> Iterator[tuple]:
-        if level >= limits.depth:
-            yield path, None, None, f"{LIMIT}: recursion depth limit of {limits.depth}"
-            return
-        found, total = [], 0
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for n, info in enumerate(i for i in archive.infolist() if not i.is_dir()):
-                    total += info.file_size
-                    broken = "entry limit" if n >= limits.entries else "entry size limit" if info.file_size > limits.entry_bytes else "total size limit" if total > limits.total_bytes else None
-                    if not broken:
-                        with archive.open(info) as f:
-                            body = f.read(limits.entry_bytes + 1)
-                        broken = "entry size limit" if len(body) > limits.entry_bytes else None
-                    if broken:
-                        yield path, None, None, f"{LIMIT}: {broken}"
-                        return
-                    found.append((f"{path}/{n}".lstrip("/"), info.filename, body))
-        except Exception as e:  # noqa: BLE001  broken archives fail in many ways
-            yield path, None, None, f"{type(e).__name__}: {e}"
-            return
-        for inner, name, body in found:
-            yield inner, name, body, None
-            if has_entries(name, body):
-                yield from opened(body, inner, level + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                made = list(opened(batch.column(1)[i].as_py() or b"", "", 0))
-                columns = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)] if made else [pa.array([], t) for t in (pa.string(), pa.string(), pa.binary(), pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(made), pa.int64())), *columns], ["source_id", "path", "name", "content", "archive_error"])
-
-    schema = rows.select("source_id").schema.add("path", "string").add("name", "string").add("content", "binary").add("archive_error", "string")
-    return rows.select("source_id", "content").mapInArrow(run, schema)
-
-
-def render_trees(rows: DataFrame) -> DataFrame:
-    """(source_id, tries) of each archive, from all rows of its tree with their tries: an archive's text is made of its
-    entries' texts, the innermost first. A group is one archive, which the limits bound."""
-
-    def run(table: pa.Table) -> pa.Table:
-        errors, nodes, inside = {}, {}, {}
-        for row in table.select(["path", "name", "label", "tries", "archive_error"]).to_pylist():
-            if row["archive_error"] is not None:
-                errors[row["path"]] = row["archive_error"]
-            else:
-                nodes[row["path"]] = row
-        for path in nodes:
-            if path:
-                inside.setdefault(path.rpartition("/")[0], []).append(path)
-
-        def solved(path: str) -> list[dict]:
-            tries = nodes[path]["tries"] or []
-            for attempt in tries:
-                if attempt["converter"] == "zip":
-                    attempt["markdown"], attempt["error"] = written(path)
-            return tries
-
-        def written(path: str) -> tuple[str | None, str | None]:
-            if path in errors:
-                return None, errors[path]
-            sections = [f"Content from zip file `{nodes[path]['label']}`"]
-            for inner in sorted(inside.get(path, ()), key=lambda p: int(p.rpartition("/")[2])):
-                tries = solved(inner)
-                good = next((t for t in tries if t["error"] is None), None)
-                limit = next((t["error"] for t in tries if t["error"] and LIMIT in t["error"]), None)
-                if good is None and limit:  # a limit that an inner archive breaks is the whole archive's failure
-                    return None, limit
-                body = ((good or {}).get("markdown") or "").strip(WS_CHARACTERS)
-                if body:
-                    sections.append(f"## File: {nodes[inner]['name']}\n\n{body}")
-            return "\n\n".join(sections), None
-
-        tries = pa.array([solved("")], table.schema.field("tries").type)
-        return pa.Table.from_arrays([table.column("source_id").slice(0, 1), tries], ["source_id", "tries"])
-
-    return rows.groupBy("source_id").applyInArrow(run, rows.select("source_id", "tries").schema)
-
-
 class Engine:
     """Converters by priority; sources are DataFrames of bytes and hints."""
 
@@ -190,26 +98,23 @@ class Engine:
         """(source_id, converter, status, markdown, title, error, attempts), from source_id (unique), content and any
         of the hints mime_type, extension, charset, filename, local_path, url.
 
-        Sources that aren't archives are converted row by row. Archives are taken apart to all levels at once; their
-        entries go through the same pass, and one shuffle by source puts each archive's texts together. No job runs
-        before an action, and nothing is kept.
+        One pass, row by row, without a shuffle: archives are taken apart to all levels where they are met, their
+        entries go through the same converters, and an archive's texts are put together from the rows that follow it.
+        No job runs before an action, and nothing is kept.
         """
         registry = self.registry()
         found, tried = self._offered(sources, registry), dispatch.trying(registry)
         if not self.defaults:
             return self._outcomes(tried(found).select("source_id", "tries"))
-        archive = F.array_contains("candidates", "zip")
-        plain = tried(found.where(~archive)).select("source_id", "tries")
-        none = F.lit(None).cast("string")
-        tops = found.where(archive).withColumns({"path": F.lit(""), "name": none, "archive_error": none})
-        entries = unzip_trees(found.where(archive), archives.ArchiveLimits())
-        named = entries.withColumns({"extension": F.lower(extension(F.col("name"))), "filename": base_name(F.col("name"))})
-        tree = tops.unionByName(self._offered(named, registry, "path", "name", "archive_error"))
+        given = found.withColumn("is_archive", F.coalesce(F.array_contains("candidates", "zip"), F.lit(False))).drop("candidates")
+        rows = trees.opened(given, archives.ArchiveLimits())
+        inner = F.col("path") != ""
+        named = rows.withColumns({"extension": F.when(inner, F.lower(extension(F.col("name")))).otherwise(F.col("extension")), "filename": F.when(inner, base_name(F.col("name"))).otherwise(F.col("filename"))})
         label = archives.archive_label(F.col("url"), F.col("local_path"), F.col("filename"))
-        done = tried(tree.withColumn("label", label))
-        neat = F.transform("tries", lambda t: F.struct(t["converter"].alias("converter"), normalize_markdown(t["markdown"], self.options.keep_data_uris).alias("markdown"), t["title"].alias("title"), t["error"].alias("error")))
-        whole = render_trees(done.select("source_id", "path", "name", "label", "archive_error", neat.alias("tries")))
-        return self._outcomes(plain.unionByName(whole))
+        done = tried(self._offered(named, registry, "path", "name", "archive_error", "is_archive").withColumn("label", label))
+        neat = lambda t: F.struct(t["converter"].alias("converter"), normalize_markdown(t["markdown"], self.options.keep_data_uris).alias("markdown"), t["title"].alias("title"), t["error"].alias("error"))
+        tries = F.when(inner, F.transform("tries", neat)).otherwise(F.col("tries"))  # a source's own text is normalized in the end
+        return self._outcomes(trees.joined(done.select("source_id", "path", "name", "label", "archive_error", "is_archive", tries.alias("tries"))))
 
     @staticmethod
     def _offered(sources: DataFrame, registry: dispatch.Registry, *others: str) -> DataFrame:

@@ -12,10 +12,13 @@ from ..functions.text import clean_path, trim_ws
 
 @dataclass(frozen=True)
 class ArchiveLimits:
+    """Limits of each archive, and of the bytes that a source's archives are inflated to on all levels together."""
+
     entries: int = 256
     entry_bytes: int = 8 << 20
     total_bytes: int = 32 << 20
     depth: int = 4
+    tree_bytes: int = 128 << 20
 
 
 def first_violation(entries: DataFrame, archive: str, position: str, size: str, limits: ArchiveLimits | None = None) -> DataFrame:

@@ -128,26 +128,31 @@ def offered(sources: DataFrame, registry: Registry) -> DataFrame:
 
 def trying(registry: Registry) -> Callable[[DataFrame], DataFrame]:
     """A step that puts `tries` in place of the content of rows (with content, charset and candidates): what each of a
-    row's candidates gives, first to be tried first. Its columns are made once, for any number of frames.
+    row's candidates gives, first to be tried first, up to the first that succeeds.
 
-    One pass over the rows, without a shuffle: every converter is a column that is null in rows that aren't for it, so
-    a Python function only gets its own format. Most rows have one candidate, or one and plain text.
+    One pass over the rows, without a shuffle: every converter is a column, made in order of priority, that is null in
+    rows that aren't for it or that an earlier one has settled. So a Python function only gets rows of its own format
+    that are still open, and nothing is made that isn't looked at. A text that is null settles nothing: it is yet to
+    come.
     """
-    text = F.when(F.arrays_overlap("candidates", F.array(*(F.lit(n) for n, *_ in registry.ordered() if n not in BINARY)) if registry.entries else F.array().cast("array<string>")), F.col("content"))
-    decoded = decode_text(text, F.col("charset"))
-    found = []
-    for name, _, _, convert in registry.ordered():
-        mine = F.array_contains("candidates", name)
-        r = convert(Source(F.when(mine, F.col("content")), F.when(mine, F.col("__text"))))
-        found.append(F.when(mine, F.struct(F.lit(name).alias("converter"), r)))
-    flat = lambda c: F.struct(c["converter"].alias("converter"), c["col2"]["markdown"].alias("markdown"), c["col2"]["title"].alias("title"), c["col2"]["error"].alias("error"))
-    tries = F.array(*(F.when(F.col(f"__r{i}").isNotNull(), flat(F.col(f"__r{i}"))) for i in range(len(found)))).cast(TRIES)
-    tries = F.filter(tries, lambda t: t.isNotNull()).alias("tries")
+    ordered = registry.ordered()
+    readers = F.array(*(F.lit(n) for n, *_ in ordered if n not in BINARY)) if registry.entries else F.array().cast("array<string>")
+    decoded = decode_text(F.when(F.arrays_overlap("candidates", readers), F.col("content")), F.col("charset"))
+    own = F.array_contains
 
     def step(rows: DataFrame) -> DataFrame:
-        # each converter's result is made once, then the results are put together
-        made = rows.withColumn("__text", decoded).select(*rows.columns, *(f.alias(f"__r{i}") for i, f in enumerate(found)))
-        return made.select(*(c for c in rows.columns if c != "content"), tries)
+        made = rows.select("*", decoded.alias("__text"), F.lit(False).alias("__settled"))
+        for i, (name, _, _, convert) in enumerate(ordered):
+            mine = own("candidates", name) & ~F.col("__settled")
+            r = convert(Source(F.when(mine, F.col("content")), F.when(mine, F.col("__text"))))
+            flat = lambda r, name=name: F.struct(F.lit(name).alias("converter"), r["markdown"].alias("markdown"), r["title"].alias("title"), r["error"].alias("error"))
+            # what isn't deterministic isn't put into the steps after it, where it would be made again for each use
+            once = F.monotonically_increasing_id() >= 0
+            made = made.select("*", F.when(mine & once, flat(r)).alias(f"__r{i}"))
+            settled = F.coalesce(F.col(f"__r{i}.error").isNull() & F.col(f"__r{i}.markdown").isNotNull(), F.lit(False))
+            made = made.withColumn("__settled", (F.col("__settled") | settled) & once)
+        tries = F.filter(F.array(*(F.col(f"__r{i}") for i in range(len(ordered)))).cast(TRIES), lambda t: t.isNotNull())
+        return made.select(*(c for c in rows.columns if c != "content"), tries.alias("tries"))
 
     return step
 
@@ -174,8 +179,8 @@ def outcome(tries: Column, keep_data_uris: bool = False) -> dict[str, Column]:
 def convert_sources(sources: DataFrame, registry: Registry, keep_data_uris: bool = False) -> DataFrame:
     """(source_id, converter, status, markdown, title, error, attempts) of each source, row by row.
 
-    sources: source_id, content, mime_type, extension, charset. All candidates of a row are tried in the same pass, and
-    the first that succeeds in order of priority counts; so nothing is joined back, and no job runs before an action.
+    sources: source_id, content, mime_type, extension, charset. The candidates of a row are tried in order of priority in
+    one pass, up to the first that succeeds; so nothing is joined back, and no job runs before an action.
     """
     done = trying(registry)(offered(sources, registry))
     return done.select("source_id", *(c.alias(n) for n, c in outcome(F.col("tries"), keep_data_uris).items()))

@@ -15,7 +15,7 @@ from ..functions.arrow import arrow_function
 from ..functions.charset import ENCODINGS, decode_text
 from ..functions.tables import drop_blank_rows, render_table
 from ..functions.text import inline_text, normalize_markdown, truncate_data_uris
-from ..operators import archives, delimited, dispatch, feeds, html, layout, legacy_xls, notebooks, office, pdf, stream_info
+from ..operators import archives, delimited, dispatch, feeds, html, layout, legacy_xls, notebooks, office, pdf, stream_info, trees
 from ..sources import uris
 from . import packages
 
@@ -653,3 +653,19 @@ def q44_charset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper(label), F.lit("\n"))).otherwise(label)
     decoded = decode_text(F.concat(begin, F.unhex(pick([PROBES[name][0] for _, name in CHARSETS]))), given)
     return read(spark, sf_dir, "documents").select("doc_id", label.alias("label"), decoded.alias("decoded"))
+
+
+@query("""WITH e AS (SELECT s_suppkey, unnest([{'path': '0', 'name': 'name.txt', 'said': s_name, 'error': NULL}, {'path': '1', 'name': 'in/deep.zip', 'said': NULL, 'error': NULL}, {'path': '1/0', 'name': 'nation.txt', 'said': 'nation ' || s_nationkey, 'error': NULL},
+ CASE s_suppkey % 3 WHEN 0 THEN {'path': '1/1', 'name': 'empty.txt', 'said': '', 'error': NULL} WHEN 1 THEN {'path': '1/1', 'name': 'bad.zip', 'said': 'no archive', 'error': NULL} ELSE {'path': '1', 'name': NULL, 'said': NULL, 'error': 'archive limit: entry size limit'} END,
+ CASE WHEN s_suppkey % 3 = 1 THEN {'path': '1/1', 'name': NULL, 'said': NULL, 'error': 'BadZipFile: File is not a zip file'} END]) AS e FROM supplier)
+SELECT s_suppkey, e.path AS path, e.name AS name, e.said AS said, e.error AS error FROM e WHERE e IS NOT NULL""")
+def q45_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives' entries on all levels by a table function in SQL."""
+
+    def build(key: int, name: str, nation: int) -> bytes:
+        third = {0: {"empty.txt": ""}, 1: {"bad.zip": "no archive"}, 2: {"large.bin": b"0" * 5000}}[key % 3]
+        return packages.zipped({"name.txt": name, "in/deep.zip": packages.zipped({"nation.txt": f"nation {nation}", **third})})
+
+    trees.register_entries(spark, "archive_entries", archives.ArchiveLimits(entry_bytes=2000))
+    built(read(spark, sf_dir, "supplier"), "s_suppkey", build, "s_suppkey", "s_name", "s_nationkey").createOrReplaceTempView("supplier_archives")
+    return spark.sql("SELECT a.source_id AS s_suppkey, e.path, e.name, CASE WHEN e.name LIKE '%.txt' OR e.name = 'bad.zip' THEN string(e.content) END AS said, e.error FROM supplier_archives AS a, LATERAL archive_entries(a.content) AS e")

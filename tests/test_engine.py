@@ -1,12 +1,14 @@
 """Every format end to end, dispatch with fall-through, archives and the streaming and single-document ways in."""
 
 import io
+import tracemalloc
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sheaf.engine import Engine, FailedAttempts, Options, UnsupportedFormat
-from sheaf.operators import dispatch, pdf
+from sheaf.operators import archives, dispatch, pdf, trees
 from sheaf.sources import uris
 from sheaf.streaming.files import convert_stream
 
@@ -43,13 +45,13 @@ CASES = {
     "bundle.zip": (fixtures.package({"crew.csv": "who,job\nIda,mate", "todo.txt": " paint \n", "junk.bin": b"\x00\x01", "void.txt": "", "hold/in.zip": fixtures.package({"x.md": "# in"})}), None, "zip", ["Content from zip file `bundle.zip`\n\n## File: crew.csv\n\n| who | job |", "## File: todo.txt\n\npaint", "## File: hold/in.zip\n\nContent from zip file `in.zip`\n\n## File: x.md\n\n# in"]),
 }
 BROKEN = {
-    "bad.xls": (b"not an xls\x00", "failed", "xls: "),
-    "bad.zip": (b"not a zip archive\x00", "failed", "zip: "),
+    "cut.xls": (fixtures.xls()[:700], "failed", "xls: "),
+    "cut.zip": (fixtures.package({"log.txt": "ebb " * 50})[:-30], "failed", "zip: "),
     "many.zip": (fixtures.package({f"{i}.txt": "x" for i in range(300)}), "failed", "entry limit"),
     "deep.zip": (nested(6), "failed", "recursion depth"),
-    "broken.docx": (fixtures.package({"[Content_Types].xml": "<Types/>"}), "unsupported", "unsupported"),
-    "broken.pptx": (fixtures.package({"[Content_Types].xml": "<Types/>"}), "unsupported", "unsupported"),
-    "broken.epub": (fixtures.package({"OPS/content.opf": "<package/>"}), "unsupported", "unsupported"),
+    "hollow.docx": (fixtures.package({"word/styles.xml": "<styles/>"}), "unsupported", "unsupported"),
+    "hollow.pptx": (fixtures.package({"ppt/media/gull.txt": "kee"}), "unsupported", "unsupported"),
+    "lost.epub": (fixtures.package({"text/one.xhtml": "<p>no book says where</p>"}), "unsupported", "unsupported"),
     "blob": (b"\x00\x01\x02", "unsupported", "unsupported"),
 }
 
@@ -121,6 +123,67 @@ def test_own_converters_come_by_priority(spark):
         Engine(spark, defaults=False).convert_one(b"x")
 
 
+def test_later_converters_are_not_called_after_a_success(spark):
+    calls = {name: spark.sparkContext.accumulator(0) for name in ("first", "second", "third")}
+    registry = dispatch.Registry()
+
+    def converter(name: str, fails: bool):
+        counter = calls[name]
+
+        @F.pandas_udf("string")
+        def call(content: pd.Series) -> pd.Series:
+            counter.add(int(content.notna().sum()))
+            return content.map(lambda x: None if x is None else name)
+
+        def convert(source):
+            made = call(source.content)
+            return dispatch.result(made, None, F.when((source.content == F.lit(b"bad")) & F.lit(fails), "broken"))
+
+        return convert
+
+    for priority, name in enumerate(calls):
+        registry.register(name, priority, lambda e, m, c, name=name: F.lit(True) if name != "second" else c != F.lit(b"skip"), converter(name, name != "third"))
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([b"good", b"bad", b"skip", b"good"])], "source_id long, content binary").selectExpr("*", "string(null) AS mime_type", "string(null) AS extension", "string(null) AS charset")
+    got = {r.source_id: (r.converter, len(r.attempts)) for r in dispatch.convert_sources(rows, registry).collect()}
+    assert got == {0: ("first", 0), 1: ("third", 2), 2: ("first", 0), 3: ("first", 0)}
+    assert {name: c.value for name, c in calls.items()} == {"first": 4, "second": 1, "third": 1}
+
+
+def bomb(levels: int, breadth: int, size: int) -> bytes:
+    inner = {f"{i}.txt": b"0" * size for i in range(4)}
+    for _ in range(levels):
+        inner = {f"{i}.zip": fixtures.package(inner) for i in range(breadth)}
+    return fixtures.package(inner)
+
+
+def test_nested_bombs_end_in_a_limit():
+    data = bomb(2, 60, 7 << 20)  # 100 GB in all, each archive within its own limits
+    tracemalloc.start()
+    *_, last = trees.tree_entries(data, archives.ArchiveLimits())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert last[3] == f"archive limit: {128 << 20} bytes of all levels" and peak < 256 << 20
+    few = list(trees.tree_entries(data, archives.ArchiveLimits(tree_bytes=1 << 20)))
+    assert few[-1][3] == f"archive limit: {1 << 20} bytes of all levels"
+    lying = bytearray(fixtures.package({"x.txt": b"0" * 100_000}))
+    at = lying.rindex((100_000).to_bytes(4, "little"))
+    lying[at : at + 4] = (10).to_bytes(4, "little")
+    assert [r[3] is not None for r in trees.tree_entries(bytes(lying), archives.ArchiveLimits(entry_bytes=50))] == [True]
+
+
+def test_trees_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        files = [fixtures.package({f"{i}-{j}.txt": f"t{j}" for j in range(i)}) for i in range(6)]
+        rows = [(2 * i + k, bytearray(files[i] if k else b"plain"), ".zip" if k else ".txt") for i in range(6) for k in range(2)]
+        got = {r.source_id: r for r in Engine(spark).convert(spark.createDataFrame(rows, "source_id long, content binary, extension string").coalesce(1)).collect()}
+        for i in range(6):
+            assert got[2 * i].markdown == "plain"
+            assert got[2 * i + 1].markdown == "\n\n".join(["Content from zip file `archive.zip`", *(f"## File: {i}-{j}.txt\n\nt{j}" for j in range(i))])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_formats(spark):
     assert [f.split("\t")[0] for f in Engine(spark).formats()] == ["ipynb", "docx", "pptx", "pdf", "xlsx", "xls", "csv", "epub", "rss", "zip", "html", "text"]
 
