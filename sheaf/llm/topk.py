@@ -19,11 +19,18 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     edges = np.linspace(0, x.shape[1], segments + 1).astype(int)
     length = np.diff(edges)
     mean = np.add.reduceat(x, edges[:-1], axis=1) / length
-    square = np.add.reduceat(x * x, edges[:-1], axis=1) / length
-    deviation = np.sqrt(np.maximum(square - mean * mean, 0))
+    # deviations from the mean are squared, not squares taken from each other: those would cancel
+    deviation = np.sqrt(np.add.reduceat((x - np.repeat(mean, length, axis=1)) ** 2, edges[:-1], axis=1) / length)
     return np.concatenate([mean, deviation], 1) * np.sqrt(np.r_[length, length])
 
 
+def rounding(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What rounding may take from a bound, at most: a part of the product of the lengths that grows with the number of
+    components, and is much greater than any sum of so many roundings."""
+    lengths = [np.sqrt((rows * rows).sum(1)) for rows in (q, x)]
+    return 0.5 + (x.shape[1] + 16) * 2.0**-46 * np.outer(*lengths)
+
+
 def large_rows(x: np.ndarray) -> np.ndarray:
     """Rows so large that doubles may not hold their inner products exactly: any two others' products are exact."""
     return np.abs(x).max(1, initial=0) > np.sqrt(2.0**53 / max(1, x.shape[1]))
@@ -59,7 +66,7 @@ def compare_by_segments(levels: tuple[int, ...], tile: int = 256, head: int = 25
                 alive = other[:, head:].copy()
                 for sq, sx in statistics:
                     columns = np.flatnonzero(alive.any(0))
-                    alive[:, columns] &= sq[rows] @ sx[columns].T + 0.5 >= floor[:, None]
+                    alive[:, columns] &= sq[rows] @ sx[columns].T + rounding(q[rows], x[head + columns]) >= floor[:, None]
                 columns = np.flatnonzero(alive.any(0))
                 scores = q[rows] @ x[head + columns].T
                 at_q, at_x = np.nonzero(alive[:, columns] & (scores >= floor[:, None]))

@@ -152,3 +152,23 @@ def test_top_k_with_outliers_and_many_blocks(spark):
     for q in range(0, 1500, 20):
         scores = [(-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in enumerate(whole) if i != q]
         assert got[q] == [(i, -s) for s, i in sorted(scores)[:20]]
+
+
+def test_bounds_of_large_and_nearly_equal_components():
+    """Segments whose variance is far below the square of their mean: differences of squares would lose it."""
+    rng = np.random.default_rng(12)
+    for made in range(60):
+        x = np.full((60, 100), 6_700_698.0 + made)
+        x[np.arange(20, 50), rng.integers(2, 100, 30)] -= 1 + made % 3
+        x[0, 0] += 1  # the longest, with a small product
+        q = rng.integers(1000, 8000, (4, 100)).astype(float) * rng.choice([-1, 1], (4, 100))
+        q[:, 0] = 10
+        q[:, 1] -= q.sum(1)
+        assert not topk.large_rows(x).any()
+        ids, q_ids, k = np.arange(60), np.arange(100, 104), 1 + made % 4
+        at_q, at_x, score = topk.compare_by_segments((1, 4, 16), head=8)(q_ids, q, ids, x, k)
+        want = topk.whole_products(q, x)
+        for i in range(4):
+            best = sorted((-s, j) for j, s in enumerate(want[i].tolist()))[:k]
+            got = sorted((-s, j) for a, j, s in zip(at_q.tolist(), at_x.tolist(), score.tolist(), strict=True) if a == i)[:k]
+            assert got == best
