@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..functions.arrow import arrow_function
 from ..functions.charset import ENCODINGS, decode_text
+from ..functions.scratch import scratch_path
 from ..functions.tables import drop_blank_rows, render_table
 from ..functions.text import inline_text, normalize_markdown, truncate_data_uris
 from ..operators import archives, delimited, dispatch, feeds, html, layout, legacy_xls, notebooks, office, pdf, stream_info, trees
+from ..sinks import files
 from ..sources import uris
+from ..streaming.files import convert_stream
 from . import packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -669,3 +672,29 @@ def q45_archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees.register_entries(spark, "archive_entries", archives.ArchiveLimits(entry_bytes=2000))
     built(read(spark, sf_dir, "supplier"), "s_suppkey", build, "s_suppkey", "s_name", "s_nationkey").createOrReplaceTempView("supplier_archives")
     return spark.sql("SELECT a.source_id AS s_suppkey, e.path, e.name, CASE WHEN e.name LIKE '%.txt' OR e.name = 'bad.zip' THEN string(e.content) END AS said, e.error FROM supplier_archives AS a, LATERAL archive_entries(a.content) AS e")
+
+
+@query("""SELECT s_suppkey || '.md' AS name, '# ' || s_name || chr(10) || chr(10) || 'From nation *' || s_nationkey || '*' AS markdown FROM supplier""")
+def q46_file_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Markdown file for each source, written by tasks that commit, and read back."""
+    files.register(spark)
+    page = F.concat(F.lit("<h1>"), _xml(F.col("s_name")), F.lit("</h1><p>From nation <i>"), "s_nationkey")
+    sources = read(spark, sf_dir, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".md")).alias("source_id"), F.encode(page, "utf-8").alias("content"))
+    folder = scratch_path(spark, "markdown")
+    dispatch.converted(sources, html.html).select(F.col("source_id").alias("name"), normalize_markdown(F.col("markdown")).alias("content")).write.format("document_files").mode("append").save(folder)
+    back = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    return back.select(F.substring_index("path", "/", -1).alias("name"), F.col("content").cast("string").alias("markdown"))
+
+
+@query(f"""SELECT s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.html' ELSE '.bin' END AS name, CASE s_suppkey % 3 WHEN 0 THEN 'csv' WHEN 1 THEN 'html' END AS converter, CASE WHEN s_suppkey % 3 < 2 THEN 'ok' ELSE 'unsupported' END AS status,
+ CASE s_suppkey % 3 WHEN 0 THEN '| name | nation |' || {SQL_RULE} || '| ' || s_name || ' | ' || s_nationkey || ' |' WHEN 1 THEN '# ' || s_name END AS markdown FROM supplier""")
+def q47_stream_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over a folder of files that come from a table, up to all that there are."""
+    files.register(spark)
+    kind = F.col("s_suppkey") % 3
+    content = F.when(kind == 0, F.encode(F.concat(F.lit("name,nation\n"), "s_name", F.lit(","), "s_nationkey"), "utf-8")).when(kind == 1, F.encode(F.concat(F.lit("<h1>"), _xml(F.col("s_name"))), "utf-8")).otherwise(F.lit(b"\x00\xff"))
+    name = F.concat(F.col("s_suppkey").cast("string"), F.when(kind == 0, ".csv").when(kind == 1, ".html").otherwise(".bin"))
+    folder, output, checkpoint = (scratch_path(spark, label) for label in ("incoming", "converted", "progress"))
+    read(spark, sf_dir, "supplier").select(name.alias("name"), content.alias("content")).write.format("document_files").mode("append").save(folder)
+    convert_stream(Engine(spark), folder, output, checkpoint, "*.*").awaitTermination()
+    return spark.read.parquet(output).select(F.substring_index("path", "/", -1).alias("name"), "converter", "status", "markdown")

@@ -10,16 +10,20 @@ from ..functions.text import base_name, extension
 
 
 def convert_stream(engine: Engine, folder: str, output: str, checkpoint: str, pattern: str = "*", files_per_trigger: int = 1000):
-    """Starts a query that converts each new file of a folder once and appends (path, converter, status, markdown,
-    title, error) as Parquet. It ends when what is there has been converted; started again, it goes on from there."""
+    """Starts a query that converts each new file of a folder into rows (path, converter, status, markdown, title,
+    error, batch) of Parquet. It ends when what is there has been converted; started again, it goes on from there.
+
+    A batch is written into a folder of its own number, in place of what is there: one that is done again after a
+    failure leaves its rows once.
+    """
     spark = engine.spark
     schema = spark.read.format("binaryFile").load(folder).schema
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
         name = base_name(F.col("path"))
-        sources = rows.select(F.xxhash64("path").alias("source_id"), "content", extension(name).alias("extension"), name.alias("filename"), F.col("path").alias("url"), "path")
-        done = engine.convert(sources.drop("path"))
-        done.join(sources.select("source_id", "path"), "source_id").select("path", "converter", "status", "markdown", "title", "error").write.mode("append").parquet(output)
+        sources = rows.select(F.col("path").alias("source_id"), "content", extension(name).alias("extension"), name.alias("filename"), F.col("path").alias("url"))
+        done = engine.convert(sources).withColumnRenamed("source_id", "path")
+        done.select("path", "converter", "status", "markdown", "title", "error").write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.engine import Engine, FailedAttempts, Options, UnsupportedFormat
 from sheaf.operators import archives, dispatch, pdf, trees
+from sheaf.sinks import files
 from sheaf.sources import uris
 from sheaf.streaming.files import convert_stream
 
@@ -188,17 +189,40 @@ def test_formats(spark):
     assert [f.split("\t")[0] for f in Engine(spark).formats()] == ["ipynb", "docx", "pptx", "pdf", "xlsx", "xls", "csv", "epub", "rss", "zip", "html", "text"]
 
 
-def test_stream(spark, tmp_path):
+def test_stream_and_a_batch_that_is_done_again(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.txt").write_text("one")
     (folder / "b.csv").write_text("x,y\n1,2")
-    for more in ("c.md", None):
+
+    def run():
         convert_stream(Engine(spark), f"file://{folder}", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").awaitTermination()
-        if more:
-            (folder / more).write_text("# three")
-    rows = {r.path.rpartition("/")[2]: r for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
-    assert {k: r.converter for k, r in rows.items()} == {"a.txt": "text", "b.csv": "csv", "c.md": "text"}
+        return sorted((r.path.rpartition("/")[2], r.converter, r.batch) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+
+    first = [("a.txt", "text", 0), ("b.csv", "csv", 0)]
+    assert run() == first
+    for name in ("0", ".0.crc"):  # as if the driver had been lost before it could note the batch
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    assert run() == first
+    (folder / "c.md").write_text("# three")
+    assert run() == [*first, ("c.md", "text", 1)]
+
+
+def test_file_sink(spark, tmp_path):
+    files.register(spark)
+    made = spark.range(20).selectExpr("concat(id, '.md') AS name", "concat('# ', id) AS content", "id")
+    write = lambda df, mode="append": df.repartition(3).write.format("document_files").mode(mode).save(str(tmp_path / "out"))
+    write(made)
+    names = lambda: sorted(p.name for p in (tmp_path / "out").iterdir() if p.name != "_SUCCESS")
+    assert names() == sorted(f"{i}.md" for i in range(20)) and (tmp_path / "out" / "7.md").read_text() == "# 7"
+    for bad in ("CASE WHEN id = 11 THEN raise_error('lost') ELSE concat('n', id) END", "'same'", "CASE WHEN id = 3 THEN '../up' ELSE concat('n', id) END"):
+        with pytest.raises(Exception):  # noqa: B017
+            write(spark.range(20).selectExpr(f"{bad} AS name", "'x' AS content"))
+        assert len(names()) == 20
+    write(spark.range(2).selectExpr("concat(id, '.txt') AS name", "encode('é', 'utf-8') AS content"), "overwrite")
+    assert names() == ["0.txt", "1.txt"] and (tmp_path / "out" / "0.txt").read_text() == "é"
+    with pytest.raises(Exception, match="columns are missing"):
+        write(spark.range(1).selectExpr("'a' AS name"))
 
 
 def test_local_files(spark, tmp_path):
