@@ -40,19 +40,41 @@ EXTENSION_TYPES = {
     ".zip": "application/zip",
 }
 
-#: Signatures of content that isn't text, as hex, and their types.
+#: Signatures of content, as hex with __ for any byte, and their types, in the order of the sniffing standard.
 SIGNATURES = (
     ("255044462D", "application/pdf"),
-    ("504B0304", "application/zip"),
-    ("1F8B08", "application/x-gzip"),
-    ("89504E470D0A1A0A", "image/png"),
+    ("252150532D41646F62652D", "application/postscript"),
+    ("FEFF____", "text/plain; charset=utf-16be"),
+    ("FFFE____", "text/plain; charset=utf-16le"),
+    ("EFBBBF__", "text/plain; charset=utf-8"),
+    ("00000100", "image/x-icon"),
+    ("00000200", "image/x-icon"),
+    ("424D", "image/bmp"),
     ("474946383761", "image/gif"),
     ("474946383961", "image/gif"),
+    ("52494646________574542505650", "image/webp"),
+    ("89504E470D0A1A0A", "image/png"),
     ("FFD8FF", "image/jpeg"),
-    ("424D", "image/bmp"),
+    ("464F524D________41494646", "audio/aiff"),
+    ("494433", "audio/mpeg"),
+    ("4F67675300", "application/ogg"),
+    ("4D54686400000006", "audio/midi"),
+    ("52494646________41564920", "video/avi"),
+    ("52494646________57415645", "audio/wave"),
+    ("MP4", "video/mp4"),
+    ("1A45DFA3", "video/webm"),
+    ("__" * 34 + "4C50", "application/vnd.ms-fontobject"),
+    ("00010000", "font/ttf"),
+    ("4F54544F", "font/otf"),
+    ("74746366", "font/collection"),
+    ("774F4646", "font/woff"),
+    ("774F4632", "font/woff2"),
+    ("1F8B08", "application/x-gzip"),
+    ("504B0304", "application/zip"),
+    ("526172211A0700", "application/x-rar-compressed"),
+    ("526172211A070100", "application/x-rar-compressed"),
+    ("0061736D", "application/wasm"),
 )
-#: Byte order marks, as hex, and their types.
-MARKS = (("FEFF", "text/plain; charset=utf-16be"), ("FFFE", "text/plain; charset=utf-16le"), ("EFBBBF", "text/plain; charset=utf-8"))
 #: What HTML begins with, in any case, before a space or a closing sign.
 HTML_TAGS = ("<!DOCTYPE HTML", "<HTML", "<HEAD", "<SCRIPT", "<IFRAME", "<H1", "<DIV", "<FONT", "<TABLE", "<A", "<STYLE", "<TITLE", "<B", "<BODY", "<BR", "<P", "<!--")
 
@@ -107,8 +129,19 @@ def extension_of_type(mime: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), mime)
 
 
+def has_signature(digits: Column, signature: str) -> Column:
+    """Whether content, as hex, begins with a signature. MP4's is the walk over a file's first box: its size, `ftyp`, and
+    among its brands, without the version behind the first one, one that begins with mp4."""
+    if signature != "MP4":
+        return digits.like(f"{signature}%") if "_" in signature else digits.startswith(signature)
+    size = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long")
+    whole = (F.substring(digits, 9, 8) == "66747970") & (size >= 12) & (size % 4 == 0) & (size * 2 <= F.length(digits))
+    brands = F.sequence(F.lit(8), (size - 4).cast("int"), F.lit(4))
+    return F.when(whole, F.exists(brands, lambda at: (at != 12) & (F.substr(digits, at * 2 + 1, F.lit(6)) == "6D7034"))).otherwise(False)
+
+
 def sniffed_type(content: Column) -> Column:
-    """By the first 512 bytes: marks, HTML and XML openings, signatures, else text if no control byte is among them."""
+    """By the first 512 bytes: HTML and XML openings, signatures, else text if no control byte is among them."""
     head = F.substring(content, 1, 512)
     digits = F.hex(head)
     bare = F.regexp_replace(digits, r"\A(?:09|0A|0C|0D|20)+", "")
@@ -116,9 +149,8 @@ def sniffed_type(content: Column) -> Column:
     tags = "|".join("".join(f"(?:{ord(c):02X}|{ord(c.lower()):02X})" for c in tag) for tag in HTML_TAGS if tag != "<!--")
     out = out.when(bare.rlike(rf"\A(?:{tags})(?:20|3E)") | bare.rlike(r"\A3C212D2D"), "text/html; charset=utf-8")
     out = out.when(bare.startswith("3C3F786D6C"), "text/xml; charset=utf-8")
-    for signature, kind in (*SIGNATURES, *MARKS):
-        out = out.when(digits.startswith(signature), kind)
-    out = out.when(digits.rlike(r"\A52494646.{8}574542505650"), "image/webp")
+    for signature, kind in SIGNATURES:
+        out = out.when(has_signature(digits, signature), kind)
     control = digits.rlike(r"\A(?:..)*(?:0[0-8BEF]|1[0-9ACDEF])")  # tab, line feeds, form feed and escape may stand in text
     return out.when(control, "application/octet-stream").otherwise("text/plain; charset=utf-8")
 

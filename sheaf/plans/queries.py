@@ -97,18 +97,29 @@ def q03_stream_info_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", *(info[c].alias(c) for c in ("mime_type", "extension", "charset", "filename")))
 
 
-@query(r"""WITH s AS (SELECT 'p' AS kind, page_id AS id, html AS t FROM pages UNION ALL SELECT 'd', doc_id, text FROM documents UNION ALL SELECT 'e', event_id, props FROM events)
-SELECT kind, id, CASE WHEN id % 9 = 1 THEN 'application/pdf' WHEN id % 9 = 2 THEN 'application/zip' WHEN id % 9 = 3 THEN 'text/xml; charset=utf-8' WHEN id % 9 = 4 THEN 'text/html; charset=utf-8'
- WHEN id % 9 = 5 THEN 'application/octet-stream' WHEN id % 9 = 6 THEN 'image/gif' WHEN id % 9 = 7 THEN 'text/html; charset=utf-8' WHEN regexp_matches(t, '^[ \t\r\n\f]*(?i:<!doctype html|<html|<body|<p|<div|<a|<b)[ >]') THEN 'text/html; charset=utf-8' ELSE 'text/plain; charset=utf-8' END AS sniffed FROM s""")
+#: What contents begin with (bytes in hexadecimal digits), and their types; None leaves it to what follows.
+FRONTS = [
+    ("", None), ("255044462d312e3420", "application/pdf"), ("504b0304", "application/zip"), ("0a203c3f786d6c2076657273696f6e3d22312e30223f3e", "text/xml; charset=utf-8"), ("200d0a3c48744d6c3e", "text/html; charset=utf-8"), ("6100", "application/octet-stream"), ("474946383961", "image/gif"), ("3c212d2d2078", "text/html; charset=utf-8"),
+    ("252150532d41646f62652d332e30", "application/postscript"), ("feff0041", "text/plain; charset=utf-16be"), ("fffe4100", "text/plain; charset=utf-16le"), ("efbbbf41", "text/plain; charset=utf-8"), ("00000100", "image/x-icon"), ("00000200", "image/x-icon"), ("424d", "image/bmp"), ("474946383761", "image/gif"),
+    ("524946462400000057454250565038", "image/webp"), ("524946462400000057454250515150", "application/octet-stream"), ("89504e470d0a1a0a", "image/png"), ("ffd8ffe0", "image/jpeg"), ("464f524d0000001041494646", "audio/aiff"), ("49443303", "audio/mpeg"), ("4f67675300", "application/ogg"), ("4d54686400000006", "audio/midi"),
+    ("524946462400000041564920", "video/avi"), ("524946462400000057415645", "audio/wave"), ("000000146674797069736f6d000002006d703432", "video/mp4"), ("000000106674797069736f6d6d703431", "application/octet-stream"), ("0000000f667479706d703432000000", "application/octet-stream"), ("1a45dfa3", "video/webm"), ("00" * 34 + "4c50", "application/vnd.ms-fontobject"),
+    ("00010000", "font/ttf"), ("4f54544f", "font/otf"), ("74746366", "font/collection"), ("774f4646", "font/woff"), ("774f4632", "font/woff2"), ("1f8b08", "application/x-gzip"), ("526172211a0700", "application/x-rar-compressed"), ("526172211a070100", "application/x-rar-compressed"), ("0061736d", "application/wasm"),
+    ("1b5b31", "text/plain; charset=utf-8"), ("20202020", None),
+]
+SQL_FRONTS = "".join(f" WHEN id % {len(FRONTS)} = {i} THEN '{kind}'" for i, (_, kind) in enumerate(FRONTS) if kind)
+
+
+@query(rf"""WITH s AS (SELECT 'p' AS kind, page_id AS id, html AS t FROM pages UNION ALL SELECT 'd', doc_id, text FROM documents UNION ALL SELECT 'e', event_id, props FROM events)
+SELECT kind, id, CASE{SQL_FRONTS} WHEN regexp_matches(t, '^[ \t\r\n\f]*(?i:<!doctype html|<html|<body|<p|<div|<a|<b)[ >]') THEN 'text/html; charset=utf-8' ELSE 'text/plain; charset=utf-8' END AS sniffed FROM s""")
 def q04_sniff_mime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signature in turn before the whole texts of three tables."""
     parts = (("p", "pages", "page_id", "html"), ("d", "documents", "doc_id", "text"), ("e", "events", "event_id", "props"))
     rows = None
     for kind, name, key, text in parts:
         part = read(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(text).alias("t"))
         rows = part if rows is None else rows.unionByName(part)
-    fronts = ["", "%PDF-1.4 ", "PK\x03\x04", '\n <?xml version="1.0"?>', " \r\n<HtMl>", "a\x00", "GIF89a", "<!-- x", ""]
-    front = F.get(F.array(*map(F.lit, fronts)), (F.col("id") % 9).cast("int"))
-    return rows.select("kind", "id", stream_info.sniffed_type(F.encode(F.concat(front, F.substring("t", 1, 600)), "utf-8")).alias("sniffed"))
+    front = F.unhex(F.get(F.array(*(F.lit(digits) for digits, _ in FRONTS)), (F.col("id") % len(FRONTS)).cast("int")))
+    return rows.select("kind", "id", stream_info.sniffed_type(F.concat(front, F.encode("t", "utf-8"))).alias("sniffed"))
 
 
 @query(rf"""SELECT page_id, {SQL_PATH} AS path, {SQL_NAME} AS filename, lower(regexp_extract({SQL_NAME}, '(\.[^./]*)$', 1)) AS extension FROM pages""")
