@@ -44,10 +44,16 @@ def rendered(text: str) -> str:
 
 
 def parse_feed(text: str) -> tuple:
+    """What a feed holds, or what it breaks on, which is its own row's error."""
     try:
-        root = parse_xml(text)
+        return read_root(parse_xml(text))
     except ET.ParseError as e:
         return None, None, None, None, f"malformed feed: {e}"
+    except Exception as e:  # noqa: BLE001
+        return None, None, None, None, f"{type(e).__name__}: {e}"
+
+
+def read_root(root: ET.Element) -> tuple:
     kind = local(root.tag).lower()
     if kind == "rss":
         channel = next((c for c in root if local(c.tag) == "channel"), ET.Element("channel"))

@@ -1,5 +1,6 @@
 """Each query against its SQL on the smallest tables, and rules that the tables don't reach."""
 
+import json
 import os
 
 import duckdb
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sheaf.functions import charset, text
-from sheaf.operators import delimited, html, layout
+from sheaf.operators import delimited, dispatch, html, layout, notebooks
 from sheaf.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +72,34 @@ def test_no_bytes_fail_under_any_label(data, label):
     assert isinstance(charset.decode_bytes(data, label), str)
 
 
+def test_notebooks_of_odd_kinds(spark):
+    book = lambda *cells, **more: json.dumps({"nbformat": 4, "cells": list(cells)} | more)
+    code = {"cell_type": "code", "source": ["a", "b\n"]}
+    fence = "```"
+    cases = [
+        (book(code), f"{fence}\nab\n{fence}", None),
+        (book(code, metadata={"language_info": {"name": "r"}}), f"{fence}r\nab\n{fence}", None),
+        (book(code, metadata={"language_info": {"name": 5}}), f"{fence}\nab\n{fence}", None),
+        (book({"cell_type": "markdown", "source": " # é\u00a0 "}, {"source": None}, {}), "# é", None),
+        (book({"cell_type": "raw", "source": ["x", None]}, {"cell_type": 7, "source": ["y", 1]}, {"cell_type": "raw", "source": []}), "", None),
+        (book(code | {"outputs": [{"text": ["1\n", "2"]}, 5, {"data": {"text/plain": "p"}}, {"text": " ", "data": {"text/plain": ["q"]}}, {"data": []}]}), f"{fence}\nab\n{fence}\n\n{fence}text\n1\n2\np\nq\n{fence}", None),
+        (book(code | {"outputs": None}), f"{fence}\nab\n{fence}", None),
+        (book(), "", None),
+        (book(code, 5), None, "unsupported"),
+        (book(code, nbformat=0), None, "unsupported"),
+        (book(code, nbformat="4"), None, "unsupported"),
+        (book(cells={"a": 1}), None, "unsupported"),
+        ("[1]", None, "unsupported"),
+        ("{", None, "malformed notebook"),
+        ("[" * 5000, None, "malformed notebook"),
+        ("", None, "malformed notebook"),
+    ]
+    rows = spark.createDataFrame([(i, text) for i, (text, _, _) in enumerate(cases)], "source_id long, text string").selectExpr("source_id", "encode(text, 'utf-8') AS content")
+    got = {r.source_id: (r.markdown, r.error) for r in dispatch.converted(rows, notebooks.notebook).collect()}
+    for i, (_, markdown, error) in enumerate(cases):
+        assert got[i] == (markdown, error), cases[i]
+
+
 def test_csv_rules():
     assert delimited.parse_csv('a,"b ""x"", y"\n\n1,2\r\n') == [["a", 'b "x", y'], ["1", "2"]]
     assert delimited.parse_csv("a,b\n1\n", ragged=True) == [["a", "b"], ["1"]]
