@@ -101,7 +101,8 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
     """One row a conversation, computed from the segments alone: the written turns are parsed and unescaped again.
 
     (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid). It reads format_conversations'
-    output as it lies and keeps a running digest, never a conversation.
+    output as it lies and keeps a running digest, never a conversation. Turns that don't follow each other, as when the
+    output has been dealt or ordered otherwise, are an error.
     """
     template = template or Template()
 
@@ -124,7 +125,10 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
             for conv, position, fine, segments in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5)), strict=True):
                 if position == 0:
                     close()
-                    open_ = {"id": conv, "n": 0, "turns": hashlib.sha256(), "loss_n": 0, "loss": hashlib.sha256(), "chars": 0, "fine": True, "last": ""}
+                    open_ = {"id": conv, "at": 0, "n": 0, "turns": hashlib.sha256(), "loss_n": 0, "loss": hashlib.sha256(), "chars": 0, "fine": True, "last": ""}
+                elif open_ is None or conv != open_["id"] or position != open_["at"] + 1:
+                    raise ValueError(f"turn {position} of conversation {conv} doesn't follow the one before it")
+                open_["at"] = position
                 written = "".join(x["text"] for x in segments)
                 for role, text in template.parse(written):
                     open_["n"] += 1

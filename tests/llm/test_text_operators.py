@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sheaf.llm import bpe, chat, packing, warc
@@ -133,3 +134,14 @@ def test_warc_of_no_pages(spark, tmp_path):
 
 def test_base32(spark):
     assert spark.range(1).select(warc.base32_sha1(__import__("pyspark").sql.functions.lit("abc"))).head()[0] == base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+
+
+def test_reading_back_turns_out_of_order(spark):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t}") for c in (1, 2) for t in range(6)]
+    formatted = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).coalesce(1)
+    assert {r.conv_id: r.n_turns for r in chat.read_back(formatted).collect()} == {1: 6, 2: 6}
+    for order in ("position", "-position", "conv_id, -position"):
+        with pytest.raises(Exception, match="doesn't follow the one before it"):
+            chat.read_back(formatted.coalesce(1).sortWithinPartitions(*(F.expr(o) for o in order.split(", ")))).collect()
+    with pytest.raises(Exception, match="doesn't follow the one before it"):
+        chat.read_back(formatted.where("position <> 2")).collect()
