@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, release, stored
+from .common import partitions_for, plan_bytes, release, stored
 
 #: What stands between documents, and the id that rows without one are ordered by.
 PAD = 256
@@ -233,36 +233,56 @@ def _find_anchors(config: SuffixConfig, parts: int):
 FINDING = np.dtype([("k", "<i8"), ("h", "<i8"), ("a", "<u8"), ("n", "<u4"), ("place", "<u4")])
 
 
+#: Findings or ranges that are held before they are sent on.
+SENT = 1 << 20
+
 #: Set in n: the anchor's contexts are so many that they are split.
 SPLIT = np.uint32(1 << 31)
 
 
-def in_buckets(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """(bucket, payload): rows with fields k and h, dealt by their document, in order otherwise."""
-    bucket = ((rows["k"] ^ (rows["h"] >> 33)) % buckets).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    first = runs(bucket[order])
-    return pa.RecordBatch.from_arrays([pa.array(bucket[order[first]]), binaries(rows[order], np.r_[first, len(order)])], ["bucket", "payload"])
+def in_buckets(rows: np.ndarray, buckets: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """(bucket, payload): rows with fields k and h, dealt by their document, in order otherwise; in batches of about
+    `most` rows, which are cut where no context's places are under way."""
+    whole = np.arange(len(rows)) if "a" not in rows.dtype.names else np.flatnonzero((rows["a"] == 0) | (rows["n"] > 0))
+    edges = np.unique(np.r_[np.r_[whole, len(rows)][np.searchsorted(whole, np.arange(0, len(rows), most))], len(rows)])
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        some = rows[low:high]
+        bucket = ((some["k"] ^ (some["h"] >> 33)) % buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        first = runs(bucket[order])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[first]]), binaries(some[order], np.r_[first, len(order)])], ["bucket", "payload"])
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The (part, n, h, payload) of one part after the other, from rows that are sorted by part."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
 def _match_anchors(buckets: int, split: int):
-    """One partition's anchors: findings in the buckets of their documents. A context is asked for once, with all its
+    """A partition's anchors, one part after the other: findings in the buckets of their documents. A context is asked for once, with all its
     places in its smallest document, and told whether its anchor is to be split."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def findings(rows: list[tuple]) -> list[np.ndarray]:
         tables, pieces, out, base = [], [], [], 0
-        for batch in batches:
-            for part, n, h, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if part < 0:
-                    places = np.frombuffer(payload, "<u4")
-                    early = np.zeros(len(places), FINDING)
-                    early["k"], early["h"], early["place"] = n, h, places
-                    out.append(early)
-                    continue
-                tables.append(np.frombuffer(payload, "<i8", 2 * n).reshape(n, 2))
-                made = np.frombuffer(payload, ANCHOR, offset=16 * n)
-                pieces.append((made["a"], made["c"], made["doc"].astype(np.int64) + base, made["place"]))
-                base += n
+        for part, n, h, payload in rows:
+            if part < 0:
+                places = np.frombuffer(payload, "<u4")
+                early = np.zeros(len(places), FINDING)
+                early["k"], early["h"], early["place"] = n, h, places
+                out.append(early)
+                continue
+            tables.append(np.frombuffer(payload, "<i8", 2 * n).reshape(n, 2))
+            made = np.frombuffer(payload, ANCHOR, offset=16 * n)
+            pieces.append((made["a"], made["c"], made["doc"].astype(np.int64) + base, made["place"]))
+            base += n
         if pieces:
             table = np.concatenate(tables)
             a, c, number, place = (np.concatenate(x) for x in zip(*pieces, strict=True))
@@ -294,8 +314,20 @@ def _match_anchors(buckets: int, split: int):
                     contexts = np.add.reduceat((asked["n"] > 0).astype(np.int64), of)
                     asked["n"][first[np.repeat(contexts > split, contexts)]] |= SPLIT
                 out.append(asked)
-        if out and sum(map(len, out)):
-            yield in_buckets(np.concatenate(out), buckets)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        size = 0
+        for rows in by_part(batches):
+            found = findings(rows)
+            out += found
+            size += sum(map(len, found))
+            if size > SENT:
+                yield from in_buckets(np.concatenate(out), buckets)
+                out, size = [], 0
+        if size:
+            yield from in_buckets(np.concatenate(out), buckets)
 
     return run
 
@@ -501,7 +533,7 @@ def shared_strings(contexts: np.ndarray, least: int) -> tuple[np.ndarray, np.nda
 
 
 def _compare_contexts(config: SuffixConfig, buckets: int):
-    """One partition's contexts: what is repeated, as ranges in the buckets of their documents."""
+    """A partition's contexts, one part after the other: what is repeated, as ranges in the buckets of their documents."""
     kind = _context_type(config)
     reach, least = config.reach, config.least
 
@@ -529,14 +561,9 @@ def _compare_contexts(config: SuffixConfig, buckets: int):
         larger = doc[context] > least_doc
         return context[larger], start[larger]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, places = [], []
-        for batch in batches:
-            for n, payload in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                made.append(np.frombuffer(payload, kind, n))
-                places.append(np.frombuffer(payload, "<u4", offset=n * kind.itemsize))
-        if not made:
-            return
+    def repeated(rows: list[tuple]) -> np.ndarray:
+        made = [np.frombuffer(payload, kind, n) for _, n, _, payload in rows]
+        places = [np.frombuffer(payload, "<u4", offset=n * kind.itemsize) for _, n, _, payload in rows]
         every, place = np.concatenate(made), np.concatenate(places)
         first_place = np.cumsum(every["n"], dtype=np.int64) - every["n"]
         order = np.argsort(every["a"], kind="stable")
@@ -562,11 +589,23 @@ def _compare_contexts(config: SuffixConfig, buckets: int):
                 where = np.repeat(first_place[context], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 anchor = place[where].astype(np.int64)
                 out.append((np.repeat(every["k"][context], times), np.repeat(every["h"][context], times), anchor + np.repeat(low, times), anchor + np.repeat(high, times)))
-        if out:
-            ks, hs, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
-            ranges = np.zeros(len(ks), RANGE)
-            ranges["k"], ranges["h"], ranges["low"], ranges["high"] = ks, hs, low, high
-            yield in_buckets(ranges, buckets)
+        ranges = np.zeros(sum(len(x[0]) for x in out), RANGE)
+        for i, name in enumerate(("k", "h", "low", "high")):
+            if out:
+                ranges[name] = np.concatenate([x[i] for x in out])
+        return ranges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        size = 0
+        for rows in by_part(batches):
+            out.append(repeated(rows))
+            size += len(out[-1])
+            if size > SENT:
+                yield from in_buckets(np.concatenate(out), buckets)
+                out, size = [], 0
+        if size:
+            yield from in_buckets(np.concatenate(out), buckets)
 
     return run
 
@@ -620,15 +659,17 @@ def repeated_substrings(docs: DataFrame, config: SuffixConfig | None = None, id_
         base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("others"))
     base = base.withColumns({"k": F.coalesce("id", F.lit(LAST)), "h": F.xxhash64("text")})
     partitions = partitions_for(docs, config.partition_bytes)
-    parts = min(1 << 15, 4 << (partitions - 1).bit_length())
+    # beyond the most partitions there are, parts go on growing: a task takes one of its parts at a time
+    size = plan_bytes(docs)
+    parts = 4 << (max(partitions, size // (64 * config.partition_bytes) if size < 1 << 60 else 0) - 1).bit_length()
 
     sent = base.select("k", "h", "text").mapInArrow(_find_anchors(config, parts), MESSAGES)
     in_bucket = "bucket int, payload binary"
-    found = stored(sent.repartition(partitions, "part").mapInArrow(_match_anchors(parts, config.split), in_bucket), "anchors")
+    found = stored(sent.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_match_anchors(parts, config.split), in_bucket), "anchors")
     release(spark)
 
     contexts = _beside(base.select("k", "h", "text"), [found], parts, partitions).mapInArrow(_fetch_contexts(config, parts), MESSAGES)
-    ranges = stored(contexts.repartition(partitions, "part").mapInArrow(_compare_contexts(config, parts), in_bucket), "ranges")
+    ranges = stored(contexts.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_compare_contexts(config, parts), in_bucket), "ranges")
     release(spark)
     return _beside(base.select("k", "h", "text", "id", *["others"] * (others is not None)), [found, ranges], parts, partitions)
 

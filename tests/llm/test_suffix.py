@@ -143,3 +143,19 @@ def test_whole_characters():
     assert suffix.whole_characters(data, [(2, 5)]) == "aé" + "€c"
     assert suffix.whole_characters(data, [(1, 7)]) == "a" + "c"
     assert suffix.whole_characters(data, []) == "aéb€c"
+
+
+def test_findings_in_pieces():
+    """Pieces hold all rows once, and a context's places stay together behind its first."""
+    rng = np.random.default_rng(4)
+    rows = np.zeros(900, suffix.FINDING)
+    rows["k"], rows["place"] = np.repeat(rng.integers(0, 40, 300), 3), np.arange(900)
+    rows["a"][300:], rows["n"][300::3] = 7, 3
+    pieces = list(suffix.in_buckets(rows, 8, most=50))
+    assert len(pieces) > 10
+    seen = [np.frombuffer(x, suffix.FINDING) for p in pieces for x in p.column(1).to_pylist()]
+    assert sorted(np.concatenate(seen)["place"].tolist()) == list(range(900))
+    for part in seen:
+        for at in np.flatnonzero(part["n"]):
+            assert part["place"][at : at + 3].tolist() == list(range(part["place"][at], part["place"][at] + 3))
+    assert sum(p.num_rows for p in suffix.in_buckets(rows, 8)) <= 8 and not list(suffix.in_buckets(rows[:0], 8))
