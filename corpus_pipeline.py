@@ -30,9 +30,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = neardup.near_duplicates(docs, neardup.NearDupConfig(words=5, percent=80))
     gone = groups.where(~F.col("kept")).select("doc_id", F.col("text_hash").alias("__hash")).distinct()
     own = Window.partitionBy("doc_id", "__hash").orderBy("__hash")
-    rest = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string"))).join(gone, ["doc_id", "__hash"], "left_anti")
-    copies = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return rest.withColumn("__nth", F.row_number().over(own)).where((F.col("__nth") == 1) | ~copies).select(*docs.columns)
+    named = docs.where("doc_id is not null")  # rows without an id are compared with nothing, and stay where they are
+    rest = named.withColumn("__hash", F.xxhash64(F.col("text").cast("string"))).join(gone, ["doc_id", "__hash"], "left_anti")
+    copies = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = rest.withColumn("__nth", F.row_number().over(own)).where((F.col("__nth") == 1) | ~copies)
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +45,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with REDACTED in place of each secret. n_chars follows."""
-    scanned = secrets.scan_secrets(docs, secrets.train_scanner(docs), docs.columns, replacement=REDACTED)
-    clean = scanned.withColumn("text", F.col("redacted").cast(docs.schema["text"].dataType)).select(*docs.columns)
+    scanned = secrets.scan_secrets(docs, secrets.train_scanner(docs), docs.columns, replacement=REDACTED, spans_col="__spans", redacted_col="__redacted")
+    clean = scanned.withColumn("text", F.col("__redacted").cast(docs.schema["text"].dataType)).select(*docs.columns)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 

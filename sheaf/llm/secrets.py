@@ -373,14 +373,16 @@ SPAN_TYPE = T.ArrayType(T.StructType().add("kind", "string").add("start", "long"
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def scan_secrets(docs: DataFrame, model: CharacterConvolution | None, columns: list[str], text_col: str = "text", replacement: str | None = None) -> DataFrame:
-    """The given columns and secret_spans, array<struct<kind, start, end>> in code points, of each row's whole text.
+def scan_secrets(docs: DataFrame, model: CharacterConvolution | None, columns: list[str], text_col: str = "text", replacement: str | None = None, spans_col: str = "secret_spans", redacted_col: str = "redacted") -> DataFrame:
+    """The given columns and spans_col, array<struct<kind, start, end>> in code points, of each row's whole text.
 
-    With a replacement, also redacted: the text with each union of overlapping spans replaced by it. Null texts count
-    as empty and have no spans. Rows stay as they are, repeated ones too; no shuffle.
+    With a replacement, also redacted_col: the text with each union of overlapping spans replaced by it. Null texts count
+    as empty and have no spans. Rows stay as they are, repeated ones too; no shuffle. Given columns that have one of the
+    two names give way.
     """
+    columns = [c for c in columns if c != spans_col and (c != redacted_col or replacement is None)]
     n, at_text = len(columns), columns.index(text_col) if text_col in columns else len(columns)
-    names = [*columns, "secret_spans"] + ["redacted"] * (replacement is not None)
+    names = [*columns, spans_col] + [redacted_col] * (replacement is not None)
 
     def redact(text: str, spans: list[Span]) -> str:
         out, at = [], 0
@@ -412,5 +414,5 @@ def scan_secrets(docs: DataFrame, model: CharacterConvolution | None, columns: l
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(spans, SPANS), *extra], names)
 
     source = docs.select(*columns, *[text_col] * (at_text == n))
-    schema = docs.select(*columns).schema.add("secret_spans", SPAN_TYPE)
-    return source.mapInArrow(run, schema.add("redacted", "string") if replacement is not None else schema)
+    schema = docs.select(*columns).schema.add(spans_col, SPAN_TYPE)
+    return source.mapInArrow(run, schema.add(redacted_col, "string") if replacement is not None else schema)

@@ -68,3 +68,14 @@ def test_near_duplicates_are_judged_by_row(spark):
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
     assert got == sorted([(5, base), (5, other), (7, ""), (7, ""), (8, None), (None, base), (None, base)], key=repr)
+
+
+def test_redaction_with_clashing_columns_repeats_and_long_texts(spark):
+    secret, long = "so password=abcdef123456 it is", "quiet water " * 40_000 + "token: abcdef123456"
+    rows = [(1, secret), (1, secret), (2, None), (None, ""), (3, long)]
+    docs = spark.createDataFrame([(i, t, "x", "s", 1, "mine", 2) for i, t in rows], SCHEMA + ", redacted string, secret_spans int")
+    out = corpus_pipeline.redact_secrets(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    got = sorted(((r.doc_id, r.text, r.redacted, r.secret_spans) for r in out.collect()), key=repr)
+    clean = f"so {corpus_pipeline.REDACTED} it is"
+    assert got == sorted([(i, {secret: clean, long: "quiet water " * 40_000 + corpus_pipeline.REDACTED}.get(t, t), "mine", 2) for i, t in rows], key=repr)
