@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import escape_cell
+from .text import escape_cell, let
 
 
 def format_row(row: Column, width: Column, escape: Callable[[Column], Column] | None = None) -> Column:
@@ -30,11 +30,17 @@ def greatest_width(grid: Column) -> Column:
 
 
 def render_table(grid: Column, width: Column | None = None, escape: Callable[[Column], Column] = escape_cell) -> Column:
-    """The first row is the header. Without rows, or with a width of 0, the table is empty."""
-    width = greatest_width(grid) if width is None else width
-    rows = F.transform(grid, lambda row: format_row(row, width, escape))
-    lines = F.concat(F.slice(rows, 1, 1), F.array(separator_row(width)), F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))))
-    return F.when((F.size(grid) < 1) | (width < 1), "").otherwise(F.array_join(lines, "\n"))
+    """The first row is the header. Without rows, or with a width of 0, the table is empty. Grid and width are made once,
+    not again for each row, and each row is written once."""
+    if width is None:
+        return let(grid, lambda g: render_table(g, greatest_width(g), escape))
+
+    def table(t: Column) -> Column:
+        below = lambda i: F.when(i == 0, F.concat(F.lit("\n"), separator_row(t["width"]))).otherwise("")
+        rows = F.transform(t["grid"], lambda row, i: F.concat(format_row(row, t["width"], escape), below(i)))
+        return F.when((F.size(t["grid"]) < 1) | (t["width"] < 1), "").otherwise(F.array_join(rows, "\n"))
+
+    return let(F.struct(grid.alias("grid"), width.alias("width")), table)
 
 
 def drop_blank_rows(grid: Column) -> Column:

@@ -24,3 +24,23 @@ def test_workbooks_with_the_same_styles_have_them_read_once():
     shown = [office.parse_xlsx(book(key))[0]["grid"][1] for key in range(20)]
     assert shown == [[str(key), f"{key / 4:.3f}"] for key in range(20)]
     assert office.cell_formats.kept.cache_info().misses <= before + 1
+
+
+def test_a_tables_width_is_found_once(spark):
+    """Eight times the rows take about eight times as long, not 64 times."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from sheaf.functions.tables import greatest_width, render_table
+
+    def seconds(rows: int) -> float:
+        grids = spark.range(0, 20, 1, 1).select(F.expr(f"transform(sequence(1, {rows}), i -> array(string(i), string(i * id)))").alias("g"))
+        began = time.time()
+        grids.select(render_table(F.col("g"), greatest_width(F.col("g")))).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(4000) < 30 * max(0.2, min(seconds(500) for _ in range(2)))
+    table = spark.sql("SELECT array(array('a'), array('b', 'c|d')) AS g, array() AS none").select(render_table(F.col("g")), render_table(F.col("none").cast("array<array<string>>"))).head()
+    assert tuple(table) == ("| a |  |\n| --- | --- |\n| b | c\\|d |", "")
