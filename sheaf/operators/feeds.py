@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.arrow import arrow_function
+from ..functions.arrow import arrow_function, slices
 from ..functions.text import let, trim_ws
 from .dispatch import Source, result
 from .html import html_to_markdown
@@ -67,7 +67,7 @@ def read_root(root: ET.Element) -> tuple:
 
 @arrow_function(FEED)
 def read_feed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in (x for whole in batches for x in slices(whole)):
         out = [(None,) * 5 if x is None else parse_feed(x) for x in batch]
         frame = pd.DataFrame(out, columns=["kind", "title", "about", "items", "error"])
         frame["items"] = [None if i is None else [{"title": t, "date": d, "body": b} for t, d, b in i] for i in frame["items"]]
