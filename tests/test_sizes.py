@@ -44,3 +44,30 @@ def test_a_tables_width_is_found_once(spark):
     assert seconds(4000) < 30 * max(0.2, min(seconds(500) for _ in range(2)))
     table = spark.sql("SELECT array(array('a'), array('b', 'c|d')) AS g, array() AS none").select(render_table(F.col("g")), render_table(F.col("none").cast("array<array<string>>"))).head()
     assert tuple(table) == ("| a |  |\n| --- | --- |\n| b | c\\|d |", "")
+
+
+def test_functions_hand_on_what_they_make_in_short_runs():
+    """A batch of 10,000 rows was held whole, read and made."""
+    import pandas as pd
+
+    from sheaf.functions.arrow import SLICE_BYTES, SLICE_ROWS, slices
+    from sheaf.operators import delimited, feeds, html
+
+    for function, text in ((html.render_html, "<p>a"), (feeds.read_feed, "<feed><title>a</title></feed>"), (delimited._strict, "a,b")):
+        made = list(function.__wrapped__(iter([pd.Series([text, None] * 500), pd.Series([], dtype=object)])))
+        assert sum(map(len, made)) == 1000 and max(map(len, made)) <= SLICE_ROWS
+    long = ["x" * (SLICE_BYTES // 2 + 1)] * 5
+    assert [len(run) for run in slices(long)] == [2, 2, 1] and list(slices([])) == [[]]
+
+
+def test_a_stream_of_small_files_takes_few_batches(spark, tmp_path):
+    """Each 1,000 files were a batch of their own, and each 32 a task."""
+    from sheaf.engine import Engine
+    from sheaf.streaming.files import convert_stream
+
+    (tmp_path / "in").mkdir()
+    for i in range(1001):
+        (tmp_path / "in" / f"{i}.txt").write_text(f"n {i}")
+    convert_stream(Engine(spark), f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/progress").awaitTermination()
+    rows = spark.read.parquet(f"file://{tmp_path}/out").select("markdown", "batch").collect()
+    assert sorted(r.markdown for r in rows) == sorted(f"n {i}" for i in range(1001)) and {r.batch for r in rows} == {0}
