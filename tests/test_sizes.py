@@ -71,3 +71,15 @@ def test_a_stream_of_small_files_takes_few_batches(spark, tmp_path):
     convert_stream(Engine(spark), f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/progress").awaitTermination()
     rows = spark.read.parquet(f"file://{tmp_path}/out").select("markdown", "batch").collect()
     assert sorted(r.markdown for r in rows) == sorted(f"n {i}" for i in range(1001)) and {r.batch for r in rows} == {0}
+
+
+def test_runs_of_a_document_are_not_looked_at_without_need(monkeypatch):
+    """Each run was searched for its way with space, for all its elements, even where nothing follows it."""
+    asked = []
+    attribute = office.attribute
+    monkeypatch.setattr(office, "attribute", lambda node, *names: asked.append(node) or attribute(node, *names))
+    runs = lambda n: "<w:r><w:t>a</w:t></w:r>" * n
+    body = f'<w:p>{runs(500)}</w:p><w:p><w:r><w:t xml:space="preserve">b </w:t></w:r></w:p><w:p><w:r><w:t xml:space="preserve">c</w:t></w:r>{runs(1)}</w:p>'
+    made = packages.zipped({"word/document.xml": f'<w:document xmlns:w="{packages.WORD}"><w:body>{body}</w:body></w:document>'})
+    assert [b["text"] for b in office.parse_docx(made)[0]] == ["a" * 500, "b", "c a"]
+    assert len(asked) <= 2
