@@ -1,7 +1,7 @@
 """How work is dealt out and bounded where tables are large."""
 
 from sheaf.functions.spread import spread
-from sheaf.operators import office
+from sheaf.operators import office, pdf
 from sheaf.plans import packages, queries
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,13 @@ def test_runs_of_a_document_are_not_looked_at_without_need(monkeypatch):
     made = packages.zipped({"word/document.xml": f'<w:document xmlns:w="{packages.WORD}"><w:body>{body}</w:body></w:document>'})
     assert [b["text"] for b in office.parse_docx(made)[0]] == ["a" * 500, "b", "c a"]
     assert len(asked) <= 2
+
+
+def test_words_of_pages_are_read_once_for_all_files():
+    """Each name, number and operator was taken apart again for each file and each place."""
+    made = [packages.pdf([f"crane {key}", "", "field   value", f"size   ({key})"], key % 2 == 0) for key in range(50)]
+    assert pdf.parse_pdf(made[0]) == "crane 0\n\nfield   value\nsize   (0)\n"
+    before = pdf.short_word.cache_info().misses
+    assert [pdf.parse_pdf(data) for data in made] == [f"crane {key}\n\nfield   value\nsize   ({key})\n" for key in range(50)]
+    assert pdf.short_word.cache_info().misses <= before + 50  # lengths of streams
+    assert list(pdf.values(b"/A#42 (a\\(b(c)\\)\\101\\\n) 1.5 7 R (" + b"x" * 99 + b")"))[:2] == [("AB", 5), (b"a(b(c))A", 23)]
