@@ -1,7 +1,7 @@
 """How work is dealt out and bounded where tables are large."""
 
 from sheaf.functions.spread import spread
-from sheaf.operators import office, pdf
+from sheaf.operators import legacy_xls, office, pdf
 from sheaf.plans import packages, queries
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +93,12 @@ def test_words_of_pages_are_read_once_for_all_files():
     assert [pdf.parse_pdf(data) for data in made] == [f"crane {key}\n\nfield   value\nsize   ({key})\n" for key in range(50)]
     assert pdf.short_word.cache_info().misses <= before + 50  # lengths of streams
     assert list(pdf.values(b"/A#42 (a\\(b(c)\\)\\101\\\n) 1.5 7 R (" + b"x" * 99 + b")"))[:2] == [("AB", 5), (b"a(b(c))A", 23)]
+
+
+def test_legacy_workbooks_with_the_same_strings_have_them_read_once():
+    book = lambda key: packages.xls("Card", [["n", "shown"], [f"f{i}" for i in range(30)], [key, (key / 4, "0.000")]])
+    made = [book(key) for key in range(20)]
+    before = legacy_xls.small_strings.cache_info().misses
+    grids = [legacy_xls.parse_xls(data)[0]["grid"] for data in made]
+    assert grids == [[["n", "shown"], [f"f{i}" for i in range(30)], [str(key), f"{key / 4:.3f}"]] for key in range(20)]
+    assert legacy_xls.small_strings.cache_info().misses <= before + 1
