@@ -102,3 +102,20 @@ def test_legacy_workbooks_with_the_same_strings_have_them_read_once():
     grids = [legacy_xls.parse_xls(data)[0]["grid"] for data in made]
     assert grids == [[["n", "shown"], [f"f{i}" for i in range(30)], [str(key), f"{key / 4:.3f}"]] for key in range(20)]
     assert legacy_xls.small_strings.cache_info().misses <= before + 1
+
+
+def test_strings_of_one_record_are_taken_at_once(monkeypatch):
+    """A string took two steps through the records, or more; those that run across records still do."""
+    import struct
+
+    taken = []
+    take = legacy_xls.Strings.take
+    monkeypatch.setattr(legacy_xls.Strings, "take", lambda self, n: taken.append(n) or take(self, n))
+    want = ["tide", "", "é" * 300, "Žluť"]
+    body = b"".join(struct.pack("<HB", len(t), wide) + t.encode("utf-16-le" if wide else "latin1") for t in want for wide in [t[:1] == "Ž"])
+    read = lambda *parts: [s.string() for s in [legacy_xls.Strings(list(parts))] for _ in want]
+    assert read(body) == want and not taken
+    assert read(body[:5], b"\0" + body[5:]) == want  # cut in the first string, whose flag is repeated
+    assert read(body[:7], body[7:]) == want and read(body[:2], body[2:]) == want
+    rich = struct.pack("<HBHI", 2, 12, 1, 3) + b"ab" + bytes(4 + 3)
+    assert legacy_xls.Strings([rich + body]).string() == "ab"
